@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, sharding
+from . import decontamination, language_id, packing, sharding, topk
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": language_id.query,
         "op3_packing": packing.query,
+        "op4_topk": topk.query,
         "op8_decontamination": decontamination.query,
         "op10_sharding": sharding.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op8_decontamination": decontamination.oracle(), "op10_sharding": sharding.oracle()}
+    return {
+        "op4_topk": topk.oracle(),
+        "op8_decontamination": decontamination.oracle(),
+        "op10_sharding": sharding.oracle(),
+    }
