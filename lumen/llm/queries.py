@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, packing, sharding, topk
+from . import decontamination, jaccard_join, language_id, packing, pii, sharding, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_language_id": language_id.query,
         "op3_packing": packing.query,
         "op4_topk": topk.query,
+        "op6_pii": pii.query,
         "op7_jaccard_join": jaccard_join.query,
         "op8_decontamination": decontamination.query,
         "op10_sharding": sharding.query,
