@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, packing, pii, sharding, topk
+from . import decontamination, jaccard_join, language_id, packing, pii, sharding, topk, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_pii": pii.query,
         "op7_jaccard_join": jaccard_join.query,
         "op8_decontamination": decontamination.query,
+        "op9_toxicity": toxicity.query,
         "op10_sharding": sharding.query,
     }
 
