@@ -22,17 +22,9 @@ BROADCAST_WINDOWS = 500_000
 
 
 def words(text: Column) -> Column:
-    """Normalised words; none for null."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), 0), F.array().cast("array<string>"))
-
-
-def _starts(n: Column, length: int) -> Column:
-    return F.when(n >= length, F.sequence(F.lit(1), (n - (length - 1)).cast("int"))).otherwise(F.array().cast("array<int>"))
-
-
-def _candidates(length: int) -> Column:
-    """Place (from 1), length and hash of each window of `length` words of column `_w`."""
-    return F.transform(_starts(F.size("_w"), length), lambda i: F.struct(i.alias("at"), F.lit(length).alias("len"), F.xxhash64(F.slice("_w", i, length), F.lit(length)).alias("h")))
+    """Normalised words; none for null. For a text of ASCII alone, lower() does the same as translate() and is faster."""
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.coalesce(F.regexp_extract_all(low, F.lit(WORD), 0), F.array().cast("array<string>"))
 
 
 def windows(benchmark: DataFrame, n: int = N_WORDS) -> DataFrame:
@@ -61,12 +53,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, id_col: str =
     lengths = sorted(r[0] for r in wins.select("_len").distinct().limit(n).collect())
     few = wins.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     base = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep], words(F.col(text_col)).alias("_w")).withColumn("_row", F.monotonically_increasing_id())
-    parts = [_candidates(length) for length in lengths]
-    none = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h")))
-    # place 0 stands for the document itself, so that documents without a hit stay
-    base = base.withColumn("_all", F.concat(none, *parts))
+    # a window's code is its place (from 1) times n + 1, plus its length; code 0 stands for the document itself, so that documents without a hit stay
+    unit, size = n + 1, F.size("_w")
+    none = F.array().cast("array<int>")
+    codes = [F.when(size >= k, F.sequence(F.lit(unit + k), ((size - (k - 1)) * unit + k).cast("int"), F.lit(unit))).otherwise(none) for k in lengths]
     kept = [f"_keep_{c}" for c in keep]
-    rows = base.select("_row", "_id", *kept, "_w", F.explode("_all").alias("_x")).select("_row", "_id", *kept, "_w", "_x.at", "_x.len", "_x.h")
+    rows = base.withColumn("_codes", F.concat(F.array(F.lit(0)), *codes)).select("_row", "_id", *kept, "_w", F.explode("_codes").alias("_code"))
+    rows = rows.select("_row", "_id", *kept, "_w", F.expr(f"_code div {unit}").cast("int").alias("at"), (F.col("_code") % unit).alias("len"))
+    rows = rows.withColumn("h", F.when(F.col("at") > 0, F.xxhash64(F.slice("_w", F.col("at"), F.col("len")), F.col("len"))))
     side = wins.select("_h", F.col("_len").alias("_wlen"), "_words", "_items")
     joined = rows.join(F.broadcast(side) if few else side, (F.col("h") == F.col("_h")) & (F.col("len") == F.col("_wlen")) & (F.slice("_w", F.greatest("at", F.lit(1)), F.greatest("len", F.lit(1))) == F.col("_words")), "left")
     found = joined.where((F.col("at") == 0) | F.col("_words").isNotNull()).select("_row", "_id", *kept, F.size("_w").alias("_n"), F.when(F.col("at") > 0, F.struct((F.col("at") - 1).alias("s"), (F.col("at") - 1 + F.col("len")).alias("e"))).alias("_span"), "_items")
