@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, packing, pii, sharding, topk, toxicity
+from . import decontamination, jaccard_join, language_id, packing, pii, quality, sharding, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.query,
         "op2_language_id": language_id.query,
         "op3_packing": packing.query,
         "op4_topk": topk.query,
