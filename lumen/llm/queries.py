@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, packing, pii, quality, sharding, topk, toxicity
+from . import decontamination, jaccard_join, language_id, packing, pii, quality, sharding, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language_id": language_id.query,
         "op3_packing": packing.query,
         "op4_topk": topk.query,
+        "op5_suffix_dedup": suffix_dedup.query,
         "op6_pii": pii.query,
         "op7_jaccard_join": jaccard_join.query,
         "op8_decontamination": decontamination.query,
