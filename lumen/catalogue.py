@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .queries import drift, evaluation, features, models, planning, prep, profile  # noqa: F401 - they register themselves
+from .queries.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
