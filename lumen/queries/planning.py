@@ -1 +1,89 @@
-"""Queries."""
+"""Task texts to plans; the expected rows are written out."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..plans import semantics
+from ..plans import task_text as T
+from .registry import query
+
+#: text, capacity, latency, fp, fn, interpretable, forecast, protected, objective
+CASES = [
+    ("We can only call 100 customers a month", 100, None, 1, 1, False, False, "", "rank"),
+    ("score the top 50 leads for the sales team", 50, None, 1, 1, False, False, "", "rank"),
+    ("the fraud team can review 20 cases/day", 20, None, 1, 1, False, False, "", "rank"),
+    ("we have capacity for 1,200 inspections", 1200, None, 1, 1, False, False, "", "rank"),
+    ("give me a shortlist of 25 candidates", 25, None, 1, 1, False, False, "", "rank"),
+    ("target the top 10% of leads", None, None, 1, 1, False, False, "", "rank"),
+    ("forecast demand for the next 3 months", None, None, 1, 1, False, True, "", "estimate"),
+    ("we can only spend $5000 on this", None, None, 1, 1, False, False, "", "classify"),
+    ("must respond in under 50ms", None, 50, 1, 1, False, False, "", "classify"),
+    ("scoring latency must be under 2 seconds", None, 2000, 1, 1, False, False, "", "classify"),
+    ("retraining should finish in under 30 minutes", None, None, 1, 1, False, False, "", "classify"),
+    ("we need real-time scoring at checkout", None, 100, 1, 1, False, False, "", "classify"),
+    ("missing a fraud case costs 10x a false alarm", None, None, 1, 10, False, False, "", "classify"),
+    ("a false positive costs 5x more than a missed detection", None, None, 5, 1, False, False, "", "classify"),
+    ("false positives are expensive for us", None, None, 3, 1, False, False, "", "classify"),
+    ("we can’t afford to miss any fraud", None, None, 1, 10, False, False, "", "classify"),
+    ("we don't really care about false positives here", None, None, 1, 1, False, False, "", "classify"),
+    ("we need to explain decisions to regulators", None, None, 1, 1, True, False, "", "classify"),
+    ("it can't be a black box", None, None, 1, 1, True, False, "", "classify"),
+    ("we can only audit 20 accounts a day", 20, None, 1, 1, False, False, "", "rank"),
+    ("this is a time series problem", None, None, 1, 1, False, True, "", "estimate"),
+    ("don't discriminate by gender or age", None, None, 1, 1, False, False, "gender,age", "classify"),
+    ("must be fair and must not use race, gender or zip code", None, None, 1, 1, False, False, "race,gender,zip_code", "classify"),
+    ("estimate the mileage of used cars from usage data", None, None, 1, 1, False, False, "", "estimate"),
+    ("do not discriminate by sexual orientation", None, None, 1, 1, False, False, "sexual_orientation", "classify"),
+    ("don't let age_group drive the decision", None, None, 1, 1, False, False, "age", "classify"),
+    ("rank leads by likelihood to convert", None, None, 1, 1, False, False, "", "rank"),
+    ("estimate how much a customer will spend", None, None, 1, 1, False, False, "", "estimate"),
+    ("", None, None, 1, 1, False, False, "", "classify"),
+    (None, None, None, 1, 1, False, False, "", "classify"),
+]
+
+
+def _sql(v) -> str:
+    if v is None:
+        return "NULL"
+    return str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+_ROWS = ", ".join(f"({i}, {', '.join(map(_sql, c))})" for i, c in enumerate(CASES))
+
+
+@query("plan_text", f"SELECT i, capacity_k, CAST(latency_ms AS DOUBLE) AS latency_ms, CAST(cost_fp AS DOUBLE) AS cost_fp, CAST(cost_fn AS DOUBLE) AS cost_fn, interpretable, forecast, protected, objective FROM (VALUES {_ROWS}) AS v(i, t, capacity_k, latency_ms, cost_fp, cost_fn, interpretable, forecast, protected, objective)")
+def plan_text(spark, d):
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, text string")
+    return T.plan(df).select("i", "capacity_k", "latency_ms", "cost_fp", "cost_fn", "interpretable", "forecast", F.array_join("protected", ",").alias("protected"), "objective")
+
+
+#: text, task, imbalance, metric, metric of the search, beta squared
+METRICS = [
+    ("call 100 customers a month at most 100", "binary", 0.4, "precision_at_k", "f1", 1),
+    ("predict churn", "binary", 0.01, "pr_auc", "roc_auc", 1),
+    ("predict churn", "binary", 0.1, "roc_auc", "roc_auc", 1),
+    ("predict churn", "binary", 9.0, "roc_auc", "roc_auc", 1),
+    ("predict churn", "binary", 0.5, "f1", "f1", 1),
+    ("predict churn", "binary", 0.95, "accuracy", "accuracy", 1),
+    ("predict churn", "binary", None, "roc_auc", "roc_auc", 1),
+    ("missing a fraud case costs 9x a false alarm", "binary", 0.5, "fbeta", "fbeta", 9),
+    ("missing a fraud case costs 9x a false alarm", "multiclass", None, "f1_macro", "f1_macro", 9),
+    ("predict house prices", "regression", None, "rmse", "rmse", 1),
+    ("a few extreme outliers shouldn't dominate", "regression", None, "mae", "rmse", 1),
+    ("predict churn", None, None, "f1_macro", "f1_macro", 1),
+]
+
+
+@query("plan_metric", "SELECT i, metric, search_metric, sqrt(CAST(b AS DOUBLE)) AS beta, round(1e0 / (1 + b), 6) AS threshold FROM (VALUES " + ", ".join(f"({i}, '{m}', '{s}', {b})" for i, (_, _, _, m, s, b) in enumerate(METRICS)) + ") AS v(i, metric, search_metric, b)")
+def plan_metric(spark, d):
+    df = spark.createDataFrame([(i, t, k, r) for i, (t, k, r, *_) in enumerate(METRICS)], "i int, text string, task string, imbalance double")
+    out = T.plan(df).select("i", *T.resolve(F.col("task"), F.col("imbalance")))
+    return out.select("i", "metric", "search_metric", "beta", F.round("threshold", 6).alias("threshold"))
+
+
+@query("plan_semantics", "SELECT * FROM (VALUES ('customer_age', true, false), ('account_age_days', false, false), ('genderCode', true, false), ('churned_flag', false, true), ('mileage', false, false)) AS v(\"column\", sensitive, leakage)")
+def plan_semantics(spark, d):
+    names = ["customer_age", "account_age_days", "genderCode", "churned_flag", "mileage"]
+    s, k = semantics.sensitive_columns(names), semantics.leakage_suspects(names, "churned")
+    return spark.createDataFrame([(c, c in s, c in k) for c in names], "column string, sensitive boolean, leakage boolean")
