@@ -1 +1,61 @@
-"""Queries."""
+"""Model queries. What is fitted iteratively has no SQL form; closed-form fits are checked."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import explain as X
+from ..operators import training as T
+from ..operators.prep import hash_fold
+from .profile import rounded
+from .registry import query, table
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _rows(spark, d, label="cast(l_returnflag = 'R' as int)"):
+    df = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity / 50 AS l_quantity", "l_extendedprice / 100000 AS l_extendedprice", "l_discount * 10 AS l_discount", "l_tax * 10 AS l_tax", f"{label} AS y")
+    return hash_fold(T.assemble(df, FEATURES, "y"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], 3)
+
+
+@query("train_least_squares", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
+def train_least_squares(spark, d):
+    df = T.assemble(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice")
+    m = T.REGISTRY["ridge"].build("regression", {"alpha": 0.0}, T.facts(df, ["l_quantity"])).fit(df)
+    return rounded(spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double"), 4)
+
+
+@query("train_leaderboard")
+def train_leaderboard(spark, d):
+    """Two families searched by cross-validation, and the Pareto set of score and latency."""
+    df = _rows(spark, d, "cast(l_extendedprice * l_discount > 1500 as int)").cache()
+    results = [T.search(df, FEATURES, m, "binary", "roc_auc", trials=1) for m in ("logistic_regression", "decision_tree")]
+    return T.leaderboard(spark, results, "roc_auc")
+
+
+@query("train_voting")
+def train_voting(spark, d):
+    df = _rows(spark, d, "cast(l_extendedprice * l_discount > 1500 as int)")
+    f = T.facts(df, FEATURES)
+    members = [T.REGISTRY[m].build("binary", {}, f).fit(df) for m in ("logistic_regression", "naive_bayes")]
+    out = T.VotingModel(members, "binary").transform(df)
+    return out.groupBy("y", "prediction").agg(F.count("*").alias("n"))
+
+
+@query("explain_linear_shapley", "SELECT 'l_quantity' AS feature, round(avg(abs(2 * (l_quantity - m))), 6) AS importance FROM lineitem, (SELECT avg(l_quantity) AS m FROM lineitem) UNION ALL SELECT 'l_tax', round(avg(abs(-3 * (l_tax - m))), 6) FROM lineitem, (SELECT avg(l_tax) AS m FROM lineitem)")
+def explain_linear_shapley(spark, d):
+    return rounded(X.linear_shapley(table(spark, d, "lineitem"), [2.0, -3.0], ["l_quantity", "l_tax"]))
+
+
+@query("explain_partial_dependence")
+def explain_partial_dependence(spark, d):
+    df = _rows(spark, d, "cast(l_extendedprice * l_discount > 1500 as int)")
+    model = T.REGISTRY["decision_tree"].build("binary", {}, T.facts(df, FEATURES)).fit(df)
+    return X.partial_dependence(df.drop("features"), model, FEATURES, "l_discount", 5)
+
+
+@query("explain_permutation")
+def explain_permutation(spark, d):
+    df = _rows(spark, d, "cast(l_extendedprice * l_discount > 1500 as int)")
+    model = T.REGISTRY["decision_tree"].build("binary", {}, T.facts(df, FEATURES)).fit(df)
+    return X.permutation_importance(df, model, FEATURES, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "accuracy", 1)
