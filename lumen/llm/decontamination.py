@@ -58,14 +58,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, id_col: str =
     none = F.array().cast("array<int>")
     codes = [F.when(size >= k, F.sequence(F.lit(unit + k), ((size - (k - 1)) * unit + k).cast("int"), F.lit(unit))).otherwise(none) for k in lengths]
     kept = [f"_keep_{c}" for c in keep]
-    rows = base.withColumn("_codes", F.concat(F.array(F.lit(0)), *codes)).select("_row", "_id", *kept, "_w", F.explode("_codes").alias("_code"))
-    rows = rows.select("_row", "_id", *kept, "_w", F.expr(f"_code div {unit}").cast("int").alias("at"), (F.col("_code") % unit).alias("len"))
-    rows = rows.withColumn("h", F.when(F.col("at") > 0, F.xxhash64(F.slice("_w", F.col("at"), F.col("len")), F.col("len"))))
+    place = F.expr(f"_code div {unit}").cast("int").alias("at")
+    rows = base.withColumn("_codes", F.concat(F.array(F.lit(0)), *codes)).select("_row", "_id", *kept, "_w", F.explode("_codes").alias("_code")).select("_row", "_id", *kept, "_w", place, (F.col("_code") % unit).alias("len"))
+    window = F.slice("_w", F.greatest("at", F.lit(1)), F.greatest("len", F.lit(1)))
+    rows = rows.withColumn("h", F.when(F.col("at") > 0, F.xxhash64(F.slice("_w", F.col("at"), F.col("len")), F.col("len")))).withColumn("_n", F.size("_w"))
     side = wins.select("_h", F.col("_len").alias("_wlen"), "_words", "_items")
-    joined = rows.join(F.broadcast(side) if few else side, (F.col("h") == F.col("_h")) & (F.col("len") == F.col("_wlen")) & (F.slice("_w", F.greatest("at", F.lit(1)), F.greatest("len", F.lit(1))) == F.col("_words")), "left")
-    found = joined.where((F.col("at") == 0) | F.col("_words").isNotNull()).select("_row", "_id", *kept, F.size("_w").alias("_n"), F.when(F.col("at") > 0, F.struct((F.col("at") - 1).alias("s"), (F.col("at") - 1 + F.col("len")).alias("e"))).alias("_span"), "_items")
+    if few:
+        side = F.broadcast(side)
+    else:
+        # what is shuffled holds a window's own words, and the other columns once a document
+        rows = rows.select("_row", "at", "len", "h", "_n", window.alias("_win"), *[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ["_id", *kept]])
+        window = F.col("_win")
+    joined = rows.join(side, (F.col("h") == F.col("_h")) & (F.col("len") == F.col("_wlen")) & (window == F.col("_words")), "left")
+    found = joined.where((F.col("at") == 0) | F.col("_words").isNotNull()).select("_row", "_id", *kept, "_n", F.when(F.col("at") > 0, F.struct((F.col("at") - 1).alias("s"), (F.col("at") - 1 + F.col("len")).alias("e"))).alias("_span"), "_items")
     one = found.groupBy("_row").agg(
-        F.first("_id").alias("doc_id"), *[F.first(f"_keep_{c}").alias(c) for c in keep], F.max("_n").cast("long").alias("n_words"),
+        F.first("_id", ignorenulls=True).alias("doc_id"), *[F.first(f"_keep_{c}", ignorenulls=True).alias(c) for c in keep], F.max("_n").cast("long").alias("n_words"),
         F.sort_array(F.collect_set("_span")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("items"),
     )
     # runs: spans sorted by start, joined where they touch
