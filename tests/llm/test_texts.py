@@ -1,0 +1,173 @@
+"""Language, toxicity, quality and personal data."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from lumen.llm import language_id, pii, quality, toxicity
+
+from .util import odd_documents, prose
+
+SF = "/root/testdata/sf0.01"
+
+
+def held(doc_id) -> bool:
+    return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def test_language_on_held_out_texts(spark):
+    out = language_id.query(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    assert len(out) == 1000 and all(r["held_out"] == held(r["doc_id"]) and 0 <= r["score"] <= 1 for r in out)
+    there = [r for r in out if r["held_out"]]
+    assert np.mean([r["lang_pred"] == r["lang"] for r in there]) > 0.98
+
+
+def test_language_of_odd_rows(spark):
+    rng = random.Random(1)
+    teach = [(i, prose(rng, 40) if i % 2 else "ñandú está año niño " * 10, "en" if i % 2 else "es") for i in range(30)] + [(99, None, "en"), (98, "x y z", None)]
+    model = language_id.fit(spark.createDataFrame(teach, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(*d, "zz", 1.0) for d in odd_documents(rng)], "doc_id long, text string, lang string, score double")
+    out = language_id.predict(docs, model).collect()
+    assert len(out) == docs.count()
+    by = {r["doc_id"]: r for r in out}
+    for k in (3, 4, 6):
+        assert (by[k]["lang_pred"], by[k]["score"], by[k]["rejected"]) == ("und", 0.0, True)
+    assert by[1]["lang_pred"] == by[2]["lang_pred"] == "en" and by[8]["lang_pred"] in ("en", "es")
+    assert language_id.predict(docs.limit(0), model).count() == 0
+    empty = language_id.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert {r["lang_pred"] for r in language_id.predict(docs, empty).collect()} == {"und"}
+
+
+def test_far_texts_are_rejected(spark):
+    rng = random.Random(2)
+    teach = spark.createDataFrame([(i, prose(rng, 80), "en") for i in range(40)], "doc_id long, text string, lang string")
+    model = language_id.fit(teach)
+    odd = spark.createDataFrame([(1, prose(rng, 80)), (2, "ξένη γλώσσα με άλλα γράμματα " * 30)], "doc_id long, text string")
+    got = {r["doc_id"]: r["rejected"] for r in language_id.predict(odd, model).collect()}
+    assert got == {1: False, 2: True}
+
+
+def test_toxicity_on_held_out_texts(spark):
+    out = toxicity.query(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null").collect()
+    assert len(out) > 500 and all(held(r["doc_id"]) for r in out)
+    hit = [r["predicted"] for r in out if r["toxic"] == 1]
+    wrong = [r["predicted"] for r in out if r["toxic"] == 0]
+    assert np.mean(hit) > 0.8 and np.mean(wrong) < 0.03
+
+
+def test_gaps_and_inserted_characters():
+    rng = random.Random(3)
+    clean = [prose(rng, 40) + " the quiet reader walked home along the river" for _ in range(60)]
+    bad = [f"{prose(rng, 30)} you {rng.choice(['idiot', 'moron'])} {prose(rng, 10)}" for _ in range(30)]
+    model = toxicity.train(clean + bad, np.array([0] * 60 + [1] * 30))
+    p = toxicity.probabilities(["you idiot of a man", "you i.diot of a man", "you id-iot of a man", "the quiet reader walked home", "", None], model)
+    assert p[:3].min() > 0.5 > p[3:].max()
+    score, _ = toxicity.word_scores(toxicity.encode(["idiot", "idxiot", "river"])[0], model["table"], model["bias"])
+    assert score[0] > score[1] > score[2]
+
+
+def test_kernel_is_the_sum_over_subsequences():
+    """Against a literal enumeration."""
+    a, b = "idiot", "idxiot"
+
+    def features(w):
+        s, out = f"^{w}", {}
+        for i in range(len(s)):
+            for x, y in toxicity.STEPS:
+                if i + x + y < len(s):
+                    u = s[i] + s[i + x] + s[i + x + y]
+                    out[u] = out.get(u, 0) + toxicity.LAMBDA ** (x + y + 1)
+        return out
+
+    fa, fb = features(a), features(b)
+    want = sum(v * fb.get(u, 0) for u, v in fa.items())
+    norm = toxicity._NORM
+    assert np.isclose(toxicity._kernel([a], [b])[0, 0], want / norm[len(a) + 1] / norm[len(b) + 1])
+
+
+def test_toxicity_of_odd_rows(spark):
+    model = toxicity.train([], np.zeros(0))
+    docs = spark.createDataFrame([(*d, 1) for d in odd_documents(random.Random(4))], "doc_id long, text string, predicted int")
+    out = toxicity.score(docs, model).collect()
+    assert len(out) == docs.count() and all(0 <= r["score"] < 0.5 and r["predicted"] == 0 for r in out)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_quality_on_held_out_texts(spark):
+    out = quality.query(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality"), "doc_id").where("held_out").collect()
+    good = [r["keep"] for r in out if r["quality"] == 1]
+    junk = [r["keep"] for r in out if r["quality"] == 0]
+    assert np.mean(good) > 0.99 and np.mean(junk) < 0.1
+
+
+def test_quality_of_odd_rows(spark):
+    docs = spark.createDataFrame([(*d, None, 3) for d in odd_documents(random.Random(5))], "doc_id long, text string, source string, p_text int")
+    for labels in ([(1, 1), (2, 1)], []):
+        got = quality.score(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+        assert len(got) == docs.count() and len({r["score"] for r in got}) == 1
+    labels = [(i, i % 2) for i in range(40, 90)]
+    more = docs.union(spark.createDataFrame([(i, "spam " * 30 if i % 2 == 0 else prose(random.Random(i), 60), "s", 1) for i in range(40, 90)], docs.schema))
+    got = quality.score(more, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(got) == more.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert quality.score(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
+
+
+FOUND = re.compile(r"\S+@\S+\.\w+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|\b\d{16}\b|\+1 \(\d{3}\) \d{3}-\d{4}|\b[0-9a-f]{40}\b")
+
+
+def test_surrogates_leave_no_entity_and_nothing_else_changes(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.query(spark, SF).collect()}
+    assert docs.keys() == out.keys()
+    mapping: dict[str, str] = {}
+    for k, text in docs.items():
+        a, b = FOUND.findall(text), FOUND.findall(out[k])
+        assert len(a) == len(b) and not set(a) & set(b)
+        for x, y in zip(a, b, strict=True):
+            assert mapping.setdefault(x, y) == y and len(x.split("@")) == len(y.split("@"))
+        if not a and not re.search(r"\d{3}-\d{4}|[0-9a-fA-F]{32}|\d{13}", text) and "@" not in text:
+            assert out[k] == text
+    assert len(set(mapping.values())) == len(mapping) and not set(mapping) & set(mapping.values())
+
+
+def luhn(s):
+    d = [int(c) for c in reversed(s)]
+    return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
+
+
+def test_formats_are_kept(spark):
+    rows = [(1, "Mrs. Anna Smith wrote to Mr Otto Klein and Mrs. Anna Smith answered from JOE.5@MAIL.COM, joe.5@mail.com; card 4111 1111 1111 1111 or 4111111111111112, +1 (202) 555-0143, 10.0.0.7, 123-45-6789, Госпожа Анна Иванова")]
+    text = pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).first()["text"]
+    assert "Anna" not in text and "4111" not in text and "Анна" not in text
+    women = re.findall(r"Mrs\. (\w+ \w+)", text)
+    assert women[0] == women[1] and women[0].split()[0].endswith("na")
+    assert re.search(r"Mr \w+n \w+", text) and re.search(r"Госпожа [А-Яа-я]+ [А-Яа-я]+", text)
+    upper, lower = re.findall(r"\S+@\S+\.\w+", text)[:2]
+    assert upper.strip(",;") == lower.strip(",;").upper() and upper.endswith(".COM")
+    a, b = re.search(r"\d{4} \d{4} \d{4} \d{4}", text).group(), re.search(r"\d{16}", text).group()
+    assert luhn(a.replace(" ", "")) and not luhn(b)
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", text) and re.search(r"\b10\.\d+\.\d+\.\d+", text) and re.search(r"\d{3}-\d{2}-\d{4}", text)
+
+
+def test_collisions_are_resolved(spark):
+    """Two-letter names in one domain fill most of what they can be."""
+    rng = random.Random(1)
+    names = rng.sample([f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"], 500)
+    df = spark.createDataFrame([(i, f"write to {n}@x.org") for i, n in enumerate(names)], "doc_id long, text string")
+    out = [r["text"] for r in pii.replace(df).collect()]
+    assert len(set(out)) == 500 and not {f"{n}@x.org" for n in names} & {t.split()[-1] for t in out}
+
+
+def test_personal_data_in_odd_rows(spark):
+    docs = odd_documents(random.Random(6)) + [(1, "a@b.org"), (1, "a@b.org"), (None, "call 555-1234"), (1, "c@b.org " * 3000)]
+    df = spark.createDataFrame([(*d, 5, "x") for d in docs], "doc_id long, text string, n_entities int, k string")
+    out = pii.replace(df)
+    assert out.columns == ["doc_id", "text", "k", "n_entities"] and out.count() == len(docs)
+    assert out.where(F.col("text").isNull()).count() == 1 and out.where("text = ''").count() == 1
+    assert out.agg(F.max("n_entities")).first()[0] == 3000
+    assert pii.replace(df.limit(0)).count() == 0
