@@ -68,11 +68,10 @@ def missing_indicators(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def label_index(df: DataFrame, column: str, out: str = "label") -> DataFrame:
-    """`out`: place of the value among the sorted distinct texts; null stays null. The vocabulary is a small table, joined."""
+    """`out`: place of the value among the sorted distinct texts; null stays null. The vocabulary has a row a class; Spark broadcasts it if it is small."""
     values = df.select(F.col(column).cast("string").alias("_v")).where("_v is not null").distinct()
-    # one row a class
     index = values.withColumn(out, (F.row_number().over(Window.orderBy("_v")) - 1).cast("int"))
-    return df.join(F.broadcast(index), F.col(column).cast("string") == F.col("_v"), "left").drop("_v")
+    return df.join(index, F.col(column).cast("string") == F.col("_v"), "left").drop("_v")
 
 
 def sanitise(names: list[str]) -> list[str]:
