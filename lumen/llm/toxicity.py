@@ -100,14 +100,14 @@ def word_scores(sym: np.ndarray, table: np.ndarray, bias: float) -> tuple[np.nda
 
 
 def summary(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
-    """Of each text: highest word score, log of the sum of the positive ones, log of the number above SURE, their sum a word, log of the number of words."""
+    """Of each text: highest word score, log of the sum of the positive ones, log of the number above SURE, their sum a word. A text without a toxic word is the same whatever its length."""
     sym, begins = encode(texts)
     score, at = word_scores(sym, table, bias)
     own = np.searchsorted(at, begins)
     n = np.diff(np.append(own, len(at)))
     pos = np.maximum(score, 0)
     most, total, count = np.maximum.reduceat(score, own), np.add.reduceat(pos, own), np.add.reduceat((score > SURE).astype(np.float64), own)
-    return np.column_stack([np.clip(most, -3, 3), np.log1p(total), np.log1p(count), 10 * total / np.maximum(n, 1), np.log1p(n)])
+    return np.column_stack([np.clip(most, 0, 3), np.log1p(total), np.log1p(count), 10 * total / np.maximum(n, 10)])
 
 
 def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -179,7 +179,7 @@ def train(texts: list[str], labels: np.ndarray) -> dict:
     """Fit on a bounded list of texts (0/1 labels). With one label only, every text scores that label's rate."""
     rate = float(labels.mean()) if len(labels) else 0.0
     if not 0 < rate < 1:
-        return {"table": np.zeros(1 << 18, np.float32), "bias": -1.0, "beta": np.array([0, 0, 0, 0, 0, np.log((rate + 1e-3) / (1 - rate + 1e-3))]), "mean": np.zeros(5), "scale": np.ones(5)}
+        return {"table": np.zeros(1 << 18, np.float32), "bias": -1.0, "beta": np.array([0, 0, 0, 0, np.log((rate + 1e-3) / (1 - rate + 1e-3))]), "mean": np.zeros(4), "scale": np.ones(4)}
     bags = [_words(t) for t in texts]
     toxic, clean = Counter(), Counter()
     for bag, label in zip(bags, labels, strict=True):
@@ -236,14 +236,19 @@ def probabilities(texts: list[str | None], model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ model["beta"][:-1] + model["beta"][-1], -30, 30)))
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """A model of `labelled` (doc_id, text, toxic), from at most about `fit_rows` texts of each label, chosen by hash and gathered in one task."""
-    known = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull()).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
+    """A model from `docs` (doc_id, text) and `labels` (doc_id, toxic: 0 or 1, others and nulls teach nothing).
+
+    About `fit_rows` labels of each kind at most, chosen by hash, are broadcast
+    to the documents, and their texts gathered in one task.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.lit(0.0)
     for label, n in sorted(sizes.items()):
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, fit_rows / n))).otherwise(share)
+    chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known.where(hashed < share)), "doc_id")
     schema = pa.schema([("name", pa.string()), ("value", pa.list_(pa.float64()))])
 
     def run(table: pa.Table) -> pa.Table:
@@ -252,7 +257,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
         model = train([t.as_py() for t in table["text"]], table["toxic"].to_numpy())
         return pa.table([pa.array(list(model)), pa.array([np.atleast_1d(np.asarray(v, np.float64)) for v in model.values()], pa.list_(pa.float64()))], schema=schema)
 
-    rows = known.where(hashed < share).groupBy(F.lit(0).alias("g")).applyInArrow(run, "name string, value array<double>").collect()
+    rows = chosen.groupBy(F.lit(0).alias("g")).applyInArrow(run, "name string, value array<double>").collect()
     if not rows:
         return train([], np.zeros(0))
     got = {r["name"]: np.array(r["value"]) for r in rows}
@@ -285,6 +290,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import held_out, read
 
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    teach = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(docs.select("doc_id", "text").join(teach, "doc_id"))
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
     return score(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
