@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -63,3 +64,9 @@ def forget(df: DataFrame) -> None:
 def size_bound(df: DataFrame, limit: int) -> bool:
     """True if `df` has at most `limit` rows; counts no further than that."""
     return df.limit(limit + 1).count() <= limit
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now: it does so once the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()

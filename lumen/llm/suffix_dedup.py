@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget
+from .common import cut, forget, tidy
 from .jaccard_join import _mix, _powers
 
 WIDTH, K = 200, 64
 #: Grams of a string; an anchor owns strings that start up to SPAN - 1 bytes before it.
 SPAN = WIDTH - K + 1
+assert SPAN <= 256
 #: Different snippets of one anchor that a task takes, and snippets of several anchors that it takes at once.
 GROUP, BATCH = 4096, 8192
 _SEGMENT = 1 << 21
@@ -203,28 +204,37 @@ def _resolve(rows: DataFrame, lo: int, hi: int, level: int) -> list[DataFrame]:
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(base, found): base has a row a document, doc_id, dk (its key), n_bytes, sha (of the whole text); found has dk and `pairs`, the first and last byte of each run to remove, for documents with any."""
+    """(base, found): base has a row a document, doc_id, dk (its key), n_bytes, sha (of the whole text); found has dk and `p`, the first byte of each string run to remove and the one after its last, for documents with any. Both are written to the shared folder."""
+    spark = docs.sparkSession
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     key = _md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(data)).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("dk"), data.alias("data"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "dk", "n_bytes", "sha", "lo", "hi", "at", "h"]
+        names = ["doc_id", "dk", "n_bytes", "sha", "w", "h"]
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
                 texts = [x.as_py() for x in part.column(2)]
                 got = [anchors(t) for t in texts]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(g[0]) for g in got])]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([g[j] for g in got]).astype(np.int32 if j < 3 else np.int64))) for j in (0, 1, 2, 3)]
+                lo, hi, at, h = (np.concatenate([g[j] for g in got]) for j in range(4))
+                # place, bytes from the first start to it, and number of starts but one, in one number
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (at << 16 | (at - lo) << 8 | (hi - lo), h)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), *lists], names=names)
 
-    base = cut(rows.mapInArrow(scan, f"doc_id {kind}, dk binary, n_bytes long, sha string, lo array<int>, hi array<int>, at array<int>, h array<long>"), "suffix-anchors")
-    often = base.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    each = base.select("dk", F.explode(F.arrays_zip("lo", "hi", "at", "h")).alias("x")).select("dk", "x.*")
-    wanted = each.join(often, "h").groupBy("dk").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "at", "h"))).alias("want"), F.count("*").alias("rows"))
-    texts = rows.select("dk", "data").join(wanted, "dk")
+    scanned = rows.mapInArrow(scan, f"doc_id {kind}, dk binary, n_bytes long, sha string, w array<long>, h array<long>")
+    all_ = cut(scanned.withColumn("rid", F.monotonically_increasing_id()), "suffix-anchors")
+    often = all_.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    each = all_.select("rid", F.explode(F.arrays_zip("w", "h")).alias("x")).select("rid", "x.*")
+    wanted = cut(each.join(often, "h").groupBy("rid").agg(F.collect_list("w").alias("want")), "suffix-wanted")
+    base = cut(all_.select("doc_id", "dk", "rid", "n_bytes", "sha"), "suffix-base")
+    forget(all_)
+    tidy(spark)
+    # repeated rows have one key; their places are the same
+    keyed = wanted.join(base.select("rid", "dk"), "rid").groupBy("dk").agg(F.first("want").alias("want"))
+    texts = rows.select("dk", "data").join(keyed, "dk")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["dk", "at", "key", "sid", "first", "bytes"]
@@ -234,10 +244,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
                 part = batch.slice(begin, 64)
                 out: list[list] = [[] for _ in names]
                 for dk, data_, want in zip(*(part.column(j).to_pylist() for j in (0, 1, 2)), strict=True):
-                    for w in want:
-                        lo, at = w["lo"], w["at"]
-                        raw = data_[lo : w["hi"] + WIDTH]
-                        h = w["h"].to_bytes(8, "little", signed=True)
+                    for w in sorted(set(want)):
+                        at = w >> 16
+                        lo = at - (w >> 8 & 255)
+                        raw = data_[lo : lo + (w & 255) + WIDTH]
+                        h = hashlib.md5(data_[at : at + K]).digest()[:8]
                         sid = hashlib.md5(h + (at - lo).to_bytes(4, "little") + raw).digest()
                         # a snippet's bytes are sent once a task at most
                         row = (dk, at, h, sid, lo - at, None if sid in seen else raw)
@@ -248,14 +259,19 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     taken = cut(texts.select("dk", "data", "want").mapInArrow(cut_out, "dk binary, at int, key binary, sid binary, first int, bytes binary"), "suffix-snippets")
+    tidy(spark)
     snippets = cut(taken.groupBy("sid").agg(F.first("key").alias("key"), F.first("first").alias("first"), F.first("bytes", ignorenulls=True).alias("bytes"), F.count("*").alias("n")), "suffix-distinct")
+    tidy(spark)
     parts = _resolve(snippets, 1 - SPAN, 0, 0)
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.union(p)
     pairs = F.transform(F.sequence(F.lit(0), F.size("pairs") - 2, F.lit(2)), lambda i: F.struct((F.col("at") + F.get("pairs", i)).alias("s"), (F.col("at") + F.get("pairs", i + 1) + WIDTH).alias("e")))
     placed = taken.select("dk", "at", "sid").join(hits, "sid").select("dk", pairs.alias("p"))
-    found = placed.groupBy("dk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("p"))
+    found = cut(placed.groupBy("dk").agg(F.flatten(F.collect_list("p")).alias("p")), "suffix-found")
+    for table in (wanted, taken, snippets):
+        forget(table)
+    tidy(spark)
     return base.select("doc_id", "dk", "n_bytes", "sha"), found
 
 
@@ -268,7 +284,6 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     other. Null ids are kept. An empty table gives none.
     """
     base, found = spans(docs, id_col, text_col)
-    found = cut(found, "suffix-found")
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     key = _md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(data)).cast("binary"))
     texts = docs.select(key.alias("dk"), data.alias("data")).join(found, "dk")
@@ -278,7 +293,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             rows = []
             for dk, raw, p in zip(*(batch.column(j).to_pylist() for j in (0, 1, 2)), strict=True):
                 kept, at, runs, end = [], 0, 0, -1
-                for x in p:
+                for x in sorted(p, key=lambda x: (x["s"], x["e"])):
                     if x["s"] > end:
                         runs += 1
                         kept.append(raw[at : x["s"]])
