@@ -1,15 +1,18 @@
 """Toxicity by a subsequence-kernel support vector machine with Nyström landmarks.
 
-The kernel of two words sums, over all subsequences of three symbols that both
-hold, LAMBDA to the number of symbols each occurrence spans, so letters may be
-skipped and foreign characters inserted at a price; the start of a word counts
-as a symbol. The machine learns from the sentences of labelled texts: its
-positive words are those over-represented in the sentences of toxic texts, and
-then, round by round, the best-scoring word of every toxic text; its negative
+The kernel of two words sums, over the subsequences of three symbols that both
+hold and that span at most SPAN symbols, LAMBDA to the number of symbols each
+occurrence spans, so letters may be skipped at a price; a run of foreign
+characters between letters costs FOREIGN, however long. The start of a word
+counts as a symbol. Letters that stand alone, SPELLED or more in a row, are one
+word. The machine learns from labelled texts: its positive words are those
+over-represented in toxic texts, and spellings of the stronger ones with characters
+put in, and then, round by round, the best-scoring word of every toxic text; its negative
 words come from clean texts, the hardest ones included. In the Nyström space of
 the landmarks it is linear, hence its decision is one weight for each
 three-symbol code, which makes scoring a table lookup. A text's score is a
-logistic function of how many of its words are beyond the margin and how far.
+logistic function of how far its best word is from the margin of clean words, and
+of how many of its words are beyond the other one and how far.
 """
 
 from __future__ import annotations
@@ -23,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Decay a spanned symbol, and the pairs of steps between the three symbols.
-LAMBDA = 0.6
-STEPS = [(1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1)]
+#: Decay a spanned symbol and a run of foreign characters; the symbols that three may span at most, and the pairs of steps between them.
+LAMBDA, FOREIGN, SPAN = 0.6, 0.9, 11
+STEPS = [(a, s - a) for s in range(2, SPAN) for a in range(1, s)]
+_FOREIGN = (FOREIGN ** np.arange(64)).astype(np.float32)
+#: So many letters in a row, each standing alone, are one word.
+SPELLED = 3
 LANDMARKS = 128
 #: Labelled texts of each label that the fit takes at most (those with the smallest hash).
 FIT_ROWS = 2500
@@ -51,27 +57,53 @@ _LEADS[0xC2:0xE0] = True
 
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the texts, each preceded by white space, and where each text begins."""
+    """Symbols of the texts, each preceded by white space, and where each text begins. White space inside spelled-out words is foreign."""
     raw = [np.frombuffer(f" {t}".encode(), np.uint8) for t in texts]
     flat = np.concatenate(raw) if raw else np.zeros(0, np.uint8)
     kept = ~_LEADS[flat]
     ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
     begins = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])[np.concatenate([[0], ends[:-1]]).astype(np.int64)] if raw else np.zeros(0, np.int64)
-    return SYMBOL[flat[kept]], begins
-
-
-def triples(sym: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each pair of steps: the place of the first symbol, the code, and the decay of the triples inside one word."""
-    wide = sym.astype(np.int32)
-    gap = sym == 1
-    word = np.cumsum(gap, dtype=np.int32)
-    for a, b in STEPS:
-        n = len(sym) - a - b
-        if n <= 0:
-            continue
-        first, second, third = wide[:n], wide[a : a + n], wide[a + b :]
-        ok = np.flatnonzero((word[:n] == word[a + b :]) & (first > 0) & (second > 0) & (third > 0))
-        yield ok, (first[ok] << 12) | (second[ok] << 6) | third[ok], LAMBDA ** (a + b + 1)
+    return _joined(SYMBOL[flat[kept]], begins), begins
+
+
+def _joined(sym: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """`sym` with the white space between SPELLED or more letters that stand alone made foreign; tokens without a letter don't part them."""
+    at = np.flatnonzero(sym == 1)
+    if not len(at):
+        return sym
+    letters = np.add.reduceat((sym > 1).astype(np.int32), at)
+    some = np.flatnonzero(letters)
+    text = np.searchsorted(begins, at[some], side="right")
+    fresh = np.ones(len(some), bool)
+    fresh[1:] = (letters[some[1:]] != 1) | (letters[some[:-1]] != 1) | (text[1:] != text[:-1])
+    first = np.flatnonzero(fresh)
+    sizes = np.diff(np.append(first, len(some)))
+    long = sizes >= SPELLED
+    # from the second letter's white space back to the first letter's, over all tokens between
+    inner = np.zeros(len(at) + 1, np.int32)
+    np.add.at(inner, some[first[long]] + 1, 1)
+    np.add.at(inner, some[first[long] + sizes[long] - 1] + 1, -1)
+    sym = sym.copy()
+    sym[at[np.cumsum(inner[:-1]) > 0]] = 0
+    return sym
+
+
+def triples(sym: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each pair of steps: the place of the first symbol, the code, and the decay of the triples inside one word. Steps pass over foreign characters."""
+    place = np.flatnonzero(sym)
+    wide = sym[place].astype(np.int32)
+    runs = np.cumsum(np.diff(place, prepend=-1) > 1, dtype=np.int32)
+    ends = np.append(np.flatnonzero(wide == 1), len(wide))
+    i = np.arange(len(wide), dtype=np.int32)
+    rest = (ends[np.searchsorted(ends, i, side="right").clip(max=len(ends) - 1)] - i).astype(np.int32) if len(i) else i
+    for span in range(2, SPAN):
+        i = i[rest[i] > span]
+        if not len(i):
+            return
+        outer, at = (wide[i] << 12) | wide[i + span], place[i]
+        decay = np.float32(LAMBDA ** (span + 1)) * _FOREIGN[np.minimum(runs[i + span] - runs[i], 63)]
+        for a in range(1, span):
+            yield at, outer | (wide[i + a] << 6), decay
 
 
 def _norms(length: int) -> np.ndarray:
@@ -94,45 +126,42 @@ def word_scores(sym: np.ndarray, table: np.ndarray, bias: float) -> tuple[np.nda
     begins = np.flatnonzero(sym == 1)
     total = np.zeros(len(sym), np.float32)
     for at, code, decay in triples(sym):
-        total[at] += np.float32(decay) * table[code]
+        total[at] += decay * table[code]
     score = np.add.reduceat(total, begins) if len(begins) else np.zeros(0, np.float32)
     return score / _norm(sym, begins) + bias, begins
 
 
 def summary(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
-    """Of each text: highest word score, log of the sum of the positive ones, log of the number above SURE, their sum a word. A text without a toxic word is the same whatever its length."""
+    """Of each text: highest word score from the margin of clean words on, log of the sum of the positive ones, log of the number above SURE, their sum a word. A text whose words are all clean by the margin is the same whatever its length."""
     sym, begins = encode(texts)
     score, at = word_scores(sym, table, bias)
     own = np.searchsorted(at, begins)
     n = np.diff(np.append(own, len(at)))
     pos = np.maximum(score, 0)
     most, total, count = np.maximum.reduceat(score, own), np.add.reduceat(pos, own), np.add.reduceat((score > SURE).astype(np.float64), own)
-    return np.column_stack([np.clip(most, 0, 3), np.log1p(total), np.log1p(count), 10 * total / np.maximum(n, 10)])
+    return np.column_stack([np.clip(most, -1, 3), np.log1p(total), np.log1p(count), 10 * total / np.maximum(n, 10)])
 
 
 def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel of words and landmarks."""
-    marks = [encode([w])[0] for w in landmarks]
-    index: dict[int, int] = {}
-    entries = []
-    for j, sym in enumerate(marks):
-        for _, code, decay in triples(sym):
-            entries += [(index.setdefault(c, len(index) + 1), j, decay / _NORM[min(len(sym), len(_NORM) - 1)]) for c in code.tolist()]
-    phi = np.zeros((len(index) + 1, len(landmarks)))
-    for c, j, v in entries:
-        phi[c, j] += v
-    lookup = np.zeros(1 << 18, np.int32)
-    lookup[list(index)] = list(index.values())
+    marks, first = encode(landmarks)
+    norm, entries = _norm(marks, first), list(triples(marks))
+    used = np.unique(np.concatenate([code for _, code, _ in entries])) if entries else np.zeros(0, np.int32)
+    column = np.full(1 << 18, -1, np.int32)
+    column[used] = np.arange(len(used))
+    phi = np.zeros((len(used), len(landmarks)))
+    for at, code, decay in entries:
+        j = np.searchsorted(first, at, side="right") - 1
+        np.add.at(phi, (column[code], j), decay / norm[j])
     out = []
-    for lo in range(0, len(words), 2000):
-        sym, begins = encode(words[lo : lo + 2000])
+    for lo in range(0, len(words), 500):
+        sym, begins = encode(words[lo : lo + 500])
         own = np.searchsorted(begins, np.arange(len(sym)), side="right") - 1
-        acc = np.zeros((len(begins), len(landmarks)))
+        acc = np.zeros(len(begins) * len(used))
         for at, code, decay in triples(sym):
-            row = lookup[code]
-            hit = row > 0
-            np.add.at(acc, own[at[hit]], decay * phi[row[hit]])
-        out.append(acc / _norm(sym, begins)[:, None])
+            hit = column[code] >= 0
+            np.add.at(acc, own[at[hit]] * len(used) + column[code[hit]], decay[hit])
+        out.append(acc.reshape(len(begins), len(used)) @ phi / _norm(sym, begins)[:, None])
     return np.vstack(out) if out else np.zeros((0, len(landmarks)))
 
 
@@ -175,6 +204,11 @@ def _words(text: str) -> set[str]:
     return {w for w in (_EDGE.sub("", t) for t in _WORD.findall(text.lower())) if len(w) > 1 and len(w) < 40}
 
 
+def _spellings(word: str) -> list[str]:
+    """Of a word of four letters or more: parted once, and every letter parted."""
+    return [f"{word[0]}.{word[1:]}", "-".join(word)] if len(word) > 3 else []
+
+
 def train(texts: list[str], labels: np.ndarray) -> dict:
     """Fit on a bounded list of texts (0/1 labels). With one label only, every text scores that label's rate."""
     rate = float(labels.mean()) if len(labels) else 0.0
@@ -187,6 +221,7 @@ def train(texts: list[str], labels: np.ndarray) -> dict:
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     odds = {w: c * (np.log((c + 0.1) / (n1 + 0.2)) - np.log((clean[w] + 0.1) / (n0 + 0.2))) for w, c in toxic.items() if c >= 3 and c * n0 > RATIO * (clean[w] + 1) * n1}
     positive = sorted(odds, key=lambda w: (-odds[w], w))[:600] or sorted(toxic, key=lambda w: (clean[w] - toxic[w], w))[:20]
+    strong = float(np.mean(list(odds.values()))) if odds else 0.0
     rng = np.random.default_rng(11)
     pool = sorted(w for w in clean if w not in odds)
     negative = [pool[i] for i in sorted(rng.choice(len(pool), min(NEGATIVES, len(pool)), replace=False))]
@@ -198,17 +233,19 @@ def train(texts: list[str], labels: np.ndarray) -> dict:
         values, basis = np.linalg.eigh((k + k.T) / 2)
         used = values > 1e-6
         root = basis[:, used] / np.sqrt(values[used])
-        x = _kernel(positive + negative, marks) @ root
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        strength = np.array([odds.get(w, 0.0) for w in positive])
-        weight = np.concatenate([np.clip(strength / max(strength.mean(), 1e-9), 0.5, 20), np.full(len(negative), len(positive) / max(1, len(negative)))])
+        # of the weak positive words, many of them chance, no spellings
+        spelt = [(v, w) for w in positive if odds.get(w, 0.0) >= strong for v in _spellings(w)]
+        x = _kernel(positive + [v for v, _ in spelt] + negative, marks) @ root
+        y = np.concatenate([np.ones(len(positive) + len(spelt)), -np.ones(len(negative))])
+        strength = np.array([odds.get(w, 0.0) for w in positive + [w for _, w in spelt]])
+        weight = np.concatenate([np.clip(strength / max(strength.mean(), 1e-9), 0.5, 20), np.full(len(negative), len(strength) / max(1, len(negative)))])
         beta = _machine(x, y, weight)
         alpha, bias = root @ beta[:-1], float(beta[-1])
         table = np.zeros(1 << 18, np.float32)
         for w, a in zip(marks, alpha, strict=True):
-            sym = encode([w])[0]
+            sym, begins = encode([w])
             for _, code, decay in triples(sym):
-                np.add.at(table, code, np.float32(a * decay / _NORM[min(len(sym), len(_NORM) - 1)]))
+                np.add.at(table, code, np.float32(a) * decay / np.float32(_norm(sym, begins)[0]))
         if round_ == ROUNDS - 1:
             break
         # the best word of each toxic text becomes positive, the highest-scoring clean words negative

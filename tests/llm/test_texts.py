@@ -66,11 +66,34 @@ def test_gaps_and_inserted_characters():
     bad = [f"{prose(rng, 30)} you {rng.choice(['idiot', 'moron'])} {prose(rng, 10)}" for _ in range(30)]
     model = toxicity.train(clean + bad, np.array([0] * 60 + [1] * 30))
     p = toxicity.probabilities(["you idiot of a man", "you i.diot of a man", "you id-iot of a man", "the quiet reader walked home", "", None], model)
-    assert p[0] > 0.5 > p[3:].max() and p[:3].min() > 3 * p[3:].max()
+    assert p[:3].min() > 0.5 > p[3:].max()
     score, _ = toxicity.word_scores(toxicity.encode(["idiot", "idxiot", "river"])[0], model["table"], model["bias"])
     assert score[0] > score[1] > score[2]
 
 
+def test_parted_and_spelled_out_words():
+    rng = random.Random(3)
+    clean = [prose(rng, 40) + " you the quiet reader walked home along the river" for _ in range(60)]
+    bad = [f"{prose(rng, 30)} you {rng.choice(['idiot', 'moron'])} {prose(rng, 10)}" for _ in range(30)]
+    model = toxicity.train(clean + bad, np.array([0] * 60 + [1] * 30))
+    insults = ["i d i o t", "i--d--i--o--t", "i - d - i - o - t", "m.o.r.o.n", "m  o\nr o n", "i***diot"]
+    harmless = ["a b c d e f", "r i v e r", "r-i-v-e-r", "the reader and i a m home", "- - - -"]
+    p = toxicity.probabilities([f"you {w} of a man" for w in insults], model)
+    q = toxicity.probabilities([f"you {w} of a man" for w in harmless], model)
+    assert p.min() > 0.5 > q.max()
+    # below the margin, but not the same as a clean text
+    near = ["you idxiyot", "you river", "you w1x w2x"]
+    assert toxicity.summary(near, model["table"], model["bias"])[0, 0] < 0
+    p = toxicity.probabilities(near, model)
+    assert p[0] > p[1:].max()
+
+
+def test_letters_are_joined_within_one_text():
+    sym, begins = toxicity.encode(["i d", "i o t", "ab c - d e fg h"])
+    assert begins.tolist() == [0, 4, 10]
+    assert np.flatnonzero(sym == 1).tolist() == [0, 2, 4, 10, 13, 21, 24]
+
+
 def test_kernel_is_the_sum_over_subsequences():
     """Against a literal enumeration."""
     a, b = "idiot", "idxiot"
