@@ -179,16 +179,17 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return beta
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coefficients (bias last), means and scales of a logistic regression by Newton steps."""
-    mean, scale = x.mean(axis=0), x.std(axis=0)
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients (bias last), means and scales of a logistic regression of weighted rows by Newton steps."""
+    mean = np.average(x, axis=0, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight))
     scale[scale == 0] = 1
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     beta = np.zeros(z.shape[1])
     keep = np.append(np.full(x.shape[1], ridge), 1e-3)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.diag(keep), z.T @ (y - p) - keep * beta)
+        step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) + np.diag(keep), z.T @ (weight * (y - p)) - keep * beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
@@ -209,8 +210,13 @@ def _spellings(word: str) -> list[str]:
     return [f"{word[0]}.{word[1:]}", "-".join(word)] if len(word) > 3 else []
 
 
-def train(texts: list[str], labels: np.ndarray) -> dict:
-    """Fit on a bounded list of texts (0/1 labels). With one label only, every text scores that label's rate."""
+def train(texts: list[str], labels: np.ndarray, stands: np.ndarray | None = None) -> dict:
+    """Fit on a bounded list of texts (0/1 labels). With one label only, every text scores that label's rate.
+
+    `stands` says how many labelled rows each text stands for (1 if not given), so
+    that scores keep to the rate of the labels where they were sampled apart.
+    """
+    stands = np.ones(len(texts)) if stands is None else stands
     rate = float(labels.mean()) if len(labels) else 0.0
     if not 0 < rate < 1:
         return {"table": np.zeros(1 << 18, np.float32), "bias": -1.0, "beta": np.array([0, 0, 0, 0, np.log((rate + 1e-3) / (1 - rate + 1e-3))]), "mean": np.zeros(4), "scale": np.ones(4)}
@@ -264,7 +270,7 @@ def train(texts: list[str], labels: np.ndarray) -> dict:
         hard = [pool[i] for i in np.argsort(-s, kind="stable")[:HARD]]
         negative = sorted((set(negative) | set(hard)) - set(positive))
     x = np.vstack([summary(texts[a : a + _CHUNK], table, bias) for a in range(0, len(texts), _CHUNK)])
-    beta, mean, scale = _logistic(x, labels.astype(float))
+    beta, mean, scale = _logistic(x, labels.astype(float), stands)
     return {"table": table, "bias": bias, "beta": beta, "mean": mean, "scale": scale}
 
 
@@ -277,21 +283,24 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """A model from `docs` (doc_id, text) and `labels` (doc_id, toxic: 0 or 1, others and nulls teach nothing).
 
     About `fit_rows` labels of each kind at most, chosen by hash, are broadcast
-    to the documents, and their texts gathered in one task.
+    to the documents, and their texts gathered in one task. There each stands for
+    as many as its label was thinned by.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    shares = {label: min(1.0, fit_rows / n) for label, n in sizes.items()}
     share = F.lit(0.0)
-    for label, n in sorted(sizes.items()):
-        share = F.when(F.col("toxic") == label, F.lit(min(1.0, fit_rows / n))).otherwise(share)
+    for label, part in sorted(shares.items()):
+        share = F.when(F.col("toxic") == label, F.lit(part)).otherwise(share)
     chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known.where(hashed < share)), "doc_id")
     schema = pa.schema([("name", pa.string()), ("value", pa.list_(pa.float64()))])
 
     def run(table: pa.Table) -> pa.Table:
         order = np.lexsort((table["toxic"].to_numpy(), table["doc_id"].fill_null(-1).to_numpy()))
         table = table.take(pa.array(order))
-        model = train([t.as_py() for t in table["text"]], table["toxic"].to_numpy())
+        labels = table["toxic"].to_numpy()
+        model = train([t.as_py() for t in table["text"]], labels, np.array([1 / shares[label] for label in labels.tolist()]))
         return pa.table([pa.array(list(model)), pa.array([np.atleast_1d(np.asarray(v, np.float64)) for v in model.values()], pa.list_(pa.float64()))], schema=schema)
 
     rows = chosen.groupBy(F.lit(0).alias("g")).applyInArrow(run, "name string, value array<double>").collect()

@@ -88,6 +88,26 @@ def test_parted_and_spelled_out_words():
     assert p[0] > p[1:].max()
 
 
+def test_scores_keep_to_the_rate_of_the_labels(spark):
+    """A table whose labels are all taken, and a multiplied one of which each label is sampled."""
+    rng = random.Random(8)
+    rows, teach = [], []
+    for i in range(1600):
+        toxic = int(i % 8 == 0)
+        mild = rng.random() < (0.5 if toxic else 0.08)
+        rows.append((i, f"{prose(rng, 25)} {'grumble' if mild else 'quiet'} {'idiot' if toxic and rng.random() < 0.5 else 'reader'} {prose(rng, 10)}"))
+        teach.append((i, toxic))
+    odd = spark.createDataFrame([(0, "w1x grumble w2x"), (1, "w1x quiet w2x"), (2, "w1x idiot w2x")], "doc_id long, text string")
+    got = []
+    for n in (1, 4):
+        docs = spark.createDataFrame([(i * 10 + k, t) for i, t in rows for k in range(n)], "doc_id long, text string")
+        labels = spark.createDataFrame([(i * 10 + k, y) for i, y in teach for k in range(n)], "doc_id long, toxic int")
+        model = toxicity.fit(docs, labels, fit_rows=1400 if n == 1 else 400)
+        p = np.array([r["score"] for r in toxicity.score(odd, model).orderBy("doc_id").collect()])
+        got.append(np.log(p / (1 - p)))
+    assert np.abs(got[0][:2] - got[1][:2]).max() < 0.8
+
+
 def test_letters_are_joined_within_one_text():
     sym, begins = toxicity.encode(["i d", "i o t", "ab c - d e fg h"])
     assert begins.tolist() == [0, 4, 10]
