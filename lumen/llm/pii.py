@@ -1,7 +1,8 @@
 """Surrogates for personal data, by DataFrame functions only.
 
-Emails, IPv4 addresses, payment card numbers, phone and social-security numbers,
-access tokens, and names after a title are found by pattern. Each distinct
+Emails, IPv4 and IPv6 addresses, IBANs, payment card numbers, phone and
+social-security numbers, access tokens (hexadecimal, JWT, or with a known prefix),
+and names after a title are found by pattern. Each distinct
 entity gets one surrogate everywhere: keyed by a secret, of the same type and
 format (separators, letter case, number of digits, top-level domain, country
 code, Luhn validity, private address ranges), script and, for names, gender.
@@ -23,16 +24,31 @@ MAX_ROUNDS = 24
 # fixed values: the patterns, in the order in which an entity is classified
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+(?<=\.\p{L}{2,24})"
 SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}+(?![0-9A-Za-z])"
+TOKEN = r"(?<![0-9A-Za-z_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[opsur]_[0-9A-Za-z]{20,255}+|github_pat_[0-9A-Za-z_]{20,255}+|glpat-[0-9A-Za-z_-]{20,64}+|sk-[0-9A-Za-z_-]{20,255}+|[srp]k_(?:live|test)_[0-9A-Za-z]{16,255}+|xox[abprs]-[0-9A-Za-z-]{10,255}+|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,4096}+\.[0-9A-Za-z_-]{8,8192}+\.[0-9A-Za-z_-]{8,4096}+)"
+#: What of a token stays.
+TOKEN_PREFIX = r"^(?:AKIA|ASIA|gh[opsur]_|github_pat_|glpat-|sk-|[srp]k_(?:live|test)_|xox[abprs]-|AIza|eyJ)"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?|[0-9A-Z]{11,30})(?![0-9A-Za-z])"
+IPV6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=[0-9a-fA-F:]*\d)(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})?)(?![0-9A-Za-z:])"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
-CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)"
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|3[47]\d{2}[ -]\d{6}[ -]\d{5})(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"\+\d{1,3}[^\w(\n]{0,5}\(\d{2,4}\)[^\w\n]{0,5}\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{4}(?![\d-])|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)"
-TITLES_M = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
+PHONE = "|".join([
+    r"\+\d{1,3}[^\w(\n]{0,5}\(\d{2,4}\)[^\w\n]{0,5}\d{3}-\d{4}(?!\d)",
+    r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
+    r"(?<![\w.+-])(?:1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?![\w-])",
+    r"(?<![\w.+-])(?:1[ .-])?[2-9]\d{2}[ .-]\d{3}[ .-]\d{4}(?![\w-]|\.\d)",
+    r"(?<![\w.+-])1?[2-9]\d{9}(?![\w-]|\.\d)",
+    r"\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)",
+    r"(?<![\w+])\+\d{8,15}(?!\d)",
+    r"(?<![\d-])\d{3}-\d{4}(?![\d-])",
+])
+TITLES_M = ["Mr", "Dr", "Prof", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
 TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"]
-NAME = rf"(?<!\p{{L}})(?:{'|'.join(TITLES_M + TITLES_F)})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?"
-PATTERN = "|".join([EMAIL, SECRET, IPV4, CARD, SSN, PHONE, NAME])
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}++(?:\p{Lu}\p{Ll}++)*+(?:[-'’]\p{Lu}\p{Ll}++(?:\p{Lu}\p{Ll}++)*+)*+"
+NAME = rf"(?<!\p{{L}})(?:{'|'.join(TITLES_M + TITLES_F)})\.? {_WORD}(?: {_WORD})?"
+PATTERN = "|".join([EMAIL, TOKEN, SECRET, IPV6, IBAN, IPV4, CARD, SSN, PHONE, NAME])
 #: What every entity but a name holds; texts without it, and without a title, are not scanned.
-HINT = rf"[0-9@]|{'|'.join(TITLES_M + TITLES_F)}|[a-fA-F]{{32}}"
+HINT = rf"[0-9@]|{'|'.join(TITLES_M + TITLES_F)}|[a-fA-F]{{32}}|(?:gh[opsur]|github_pat|[srp]k_live|[srp]k_test)_|(?:glpat|sk|xox[abprs])-|AKIA|ASIA|AIza|eyJ"
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re", "sa", "to", "va", "we", "ro", "li"], "cyrillic": ["ба", "де", "фи", "го", "ка", "ле", "ми", "но", "па", "ре", "са", "то", "ва", "зе", "ро", "ли"]}
 ENDINGS = {("latin", "m"): "n", ("latin", "f"): "na", ("cyrillic", "m"): "н", ("cyrillic", "f"): "на"}
@@ -46,7 +62,7 @@ def entities(text: Column) -> Column:
 def kind(e: Column) -> Column:
     whole = lambda p: e.rlike(f"^(?:{p})$")
     return (
-        F.when(e.contains("@"), "email").when(whole(SECRET), "secret").when(whole(IPV4), "ipv4").when(whole(CARD), "card")
+        F.when(e.contains("@"), "email").when(whole(TOKEN), "token").when(whole(SECRET), "secret").when(whole(IPV6), "ipv6").when(whole(IBAN), "iban").when(whole(IPV4), "ipv4").when(whole(CARD), "card")
         .when(whole(SSN), "ssn").when(e.rlike(r"\d"), "phone").otherwise("name")
     )
 
@@ -56,7 +72,7 @@ def canonical(e: Column) -> Column:
     k = kind(e)
     digits = F.concat(F.when(e.startswith("+"), F.lit("+")).otherwise(F.lit("")), F.regexp_replace(e, r"\D", ""))
     gender = F.when(e.rlike(f"^(?:{'|'.join(TITLES_F)})\\b"), "f").otherwise("m")
-    return F.when(k.isin("card", "ssn", "phone"), digits).when(k == "name", F.concat(gender, F.lit(":"), F.lower(F.regexp_replace(e, r"^\S+ ", "")))).otherwise(F.lower(e))
+    return F.when(k.isin("card", "ssn", "phone"), digits).when(k == "token", e).when(k == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(k == "name", F.concat(gender, F.lit(":"), F.lower(F.regexp_replace(e, r"^\S+ ", "")))).otherwise(F.lower(e))
 
 
 def _draw(stream: Column, i: Column) -> Column:
@@ -80,6 +96,17 @@ def _letters(s: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(s, "", -1), one), "")
 
 
+def _kinds(s: Column, stream: Column) -> Column:
+    """A digit for each digit and a Latin letter of the same case for each letter."""
+    one = lambda c, i: (
+        F.when(c.rlike("[0-9]"), (_draw(stream, i) % 10).cast("string"))
+        .when(c.rlike("[a-z]"), _pick(LATIN, _draw(stream, i)))
+        .when(c.rlike("[A-Z]"), _pick(LATIN.upper(), _draw(stream, i)))
+        .otherwise(c)
+    )
+    return F.array_join(F.transform(F.split(s, "", -1), one), "")
+
+
 def _digits(n: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _draw(stream, i) % 10), "")
 
@@ -100,6 +127,10 @@ def candidate(k: Column, c: Column, attempt: int, key: str) -> Column:
     more = F.lit("") if attempt < 4 else F.substr(F.translate(F.sha2(seed.cast("binary"), 256), "0123456789", "ghijklmnop"), F.lit(1), F.lit(attempt))
     email = F.concat(_letters(F.regexp_extract(c, "^([^@]*)@", 1), stream), more, F.lit("@"), _letters(F.regexp_extract(c, r"@(.*)\.[^.]*$", 1), domain_stream), F.lit("."), F.regexp_extract(c, r"\.([^.]*)$", 1))
     secret = F.array_join(F.transform(F.split(c, "", -1), lambda x, i: F.when(x.rlike(r"\d"), (_draw(stream, i) % 10).cast("string")).otherwise(_pick("abcdef", _draw(stream, i)))), "")
+    # tokens and IBANs: characters of their own kind after what tells the type
+    kept = F.when(k == "token", F.regexp_extract(c, TOKEN_PREFIX, 0)).otherwise(F.substr(c, F.lit(1), F.lit(2)))
+    coded = F.concat(kept, _kinds(F.substr(c, F.length(kept) + 1), stream))
+    ipv6 = F.array_join(F.transform(F.split(c, "", -1), lambda x, i: F.when(x == ":", x).otherwise(_pick("123456789abcdef", _draw(stream, i)))), "")
     octet = lambda i: (_draw(stream, F.lit(i)) % 254 + 1).cast("string")
     private = F.regexp_extract(c, r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
     parts = F.size(F.split(private, r"\.")) - 1
@@ -122,7 +153,7 @@ def candidate(k: Column, c: Column, attempt: int, key: str) -> Column:
         return F.concat(gender, F.lit(":"), F.when(F.contains(c, F.lit(" ")), F.concat(given, F.lit(" "), family)).otherwise(family))
 
     names = F.when(script == "cyrillic", name("cyrillic")).otherwise(name("latin"))
-    return F.when(k == "email", email).when(k == "secret", secret).when(k == "ipv4", ipv4).when(k == "card", card).when(k == "phone", phone).when(k == "ssn", ssn).otherwise(names)
+    return F.when(k == "email", email).when(k == "secret", secret).when(k.isin("token", "iban"), coded).when(k == "ipv6", ipv6).when(k == "ipv4", ipv4).when(k == "card", card).when(k == "phone", phone).when(k == "ssn", ssn).otherwise(names)
 
 
 def render(e: Column, k: Column, s: Column) -> Column:
@@ -134,7 +165,11 @@ def render(e: Column, k: Column, s: Column) -> Column:
     )["out"]
     cased = F.when((e == F.upper(e)) & (e != F.lower(e)), F.upper(s)).otherwise(s)
     named = F.concat(F.regexp_extract(e, r"^(\S+ )", 1), F.initcap(F.regexp_replace(s, "^.:", "")))
-    return F.when(k.isin("card", "ssn", "phone"), overlaid).when(k == "name", named).when(k == "ipv4", s).otherwise(cased)
+    spaced = F.aggregate(
+        F.split(e, "", -1), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")),
+        lambda a, c: F.when(c == " ", F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n"))).otherwise(F.struct(F.concat(a["out"], F.substr(s, a["n"] + 1, F.lit(1))).alias("out"), (a["n"] + 1).alias("n"))),
+    )["out"]
+    return F.when(k.isin("card", "ssn", "phone"), overlaid).when(k == "token", s).when(k == "iban", spaced).when(k == "name", named).when(k == "ipv4", s).otherwise(cased)
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
