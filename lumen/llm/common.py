@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Share of documents kept out of every fit: crc32(doc_id as text) mod FOLDS = 0.
 FOLDS = 5
+#: A key is hot if it has more than HOT_ROWS rows and more than one row in HOT_KEYS; so there are fewer than HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 1000, 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,20 +52,35 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table that `cut` wrote, once nothing reads it any more."""
-    path = getattr(df, "_lumen_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_lumen_path", None)
+        if path is not None:
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def hot(counts: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame | None:
+    """The hot keys in a table of keys and their row counts, out of `total` rows; fewer than HOT_KEYS, and none (None) where there are few rows."""
+    if total <= HOT_ROWS:
+        return None
+    return counts.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).select(*keys)
+
 
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], heavy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """`rows` joined (inner or left) to `table`, which has one row a key.
 
-def size_bound(df: DataFrame, limit: int) -> bool:
-    """True if `df` has at most `limit` rows; counts no further than that."""
-    return df.limit(limit + 1).count() <= limit
+    The rows of the keys in `heavy`, which `hot` keeps few, meet their rows of
+    `table` by broadcast and stay where they are; the others are shuffled.
+    """
+    found = heavy.select(*keys).distinct().collect() if heavy is not None else []
+    if not found:
+        return rows.join(table, keys, how)
+    few = F.broadcast(rows.sparkSession.createDataFrame(found, rows.select(*keys).schema))
+    cold = rows.join(few, keys, "left_anti").join(table, keys, how)
+    return cold.unionByName(rows.join(few, keys, "left_semi").join(F.broadcast(table.join(few, keys, "left_semi")), keys, how))
 
 
 def tidy(spark: SparkSession) -> None:

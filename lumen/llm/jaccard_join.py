@@ -2,11 +2,19 @@
 
 A text is a set of shingles, `n` consecutive words each (words as in
 `decontamination`); a text of fewer words is one shingle of all of them. Texts
-with equal sets form a class and are compared once. Every tree of the forest
-sorts the classes by a label of MAX_DEPTH MinHash symbols, a prefix trie;
-matched prefixes are shortened from MAX_DEPTH until the expected recall of a
-pair at the threshold reaches the target. Classes that share a prefix are
-gathered, and every pair among them is verified on the shingle sets.
+with equal sets form a class and are compared once. A class has a label of
+MAX_DEPTH MinHash symbols in each tree, and a tree is the table of its labels in
+sorted order, a prefix trie: a node of depth d is a run of labels with d symbols
+in common. Classes meet first where whole labels agree. Then matched prefixes are
+shortened: from the similarities of the links found so far follows how many are
+still to be expected at each depth, and the next nodes are the deepest at which
+the target recall is reached, until it is. At the least depth used any pair at
+the threshold is found with the target probability, whatever was found before.
+
+A pair is verified on its shingle sets once: at the depth of its longest common
+prefix, in the first tree that has it. Where the pairs of all classes that nodes
+connect are no more than the nodes propose, those classes are one task or a few;
+elsewhere each node is.
 """
 
 from __future__ import annotations
@@ -18,26 +26,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget
+from .common import cut, forget, hot, lookup, tidy
 from .components import components
 
 N_WORDS, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH = 24, 8
 TARGET_RECALL = 0.99999
-#: Classes that one task compares with each other at once.
-BLOCK = 384
+#: Classes that one task compares with each other at once, and shingles that they may have.
+BLOCK, WEIGHT = 384, 1 << 22
+#: Places of the histogram of similarities from the threshold to 1.
+BINS = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 
 
-def depth(threshold: float = THRESHOLD, trees: int = TREES, most: int = MAX_DEPTH, target: float = TARGET_RECALL) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the target probability."""
+def meeting(similarity: np.ndarray | float, d: int, trees: int = TREES) -> np.ndarray | float:
+    """Probability that a pair shares a prefix of d symbols in some tree."""
+    return 1 - (1 - np.power(similarity, d)) ** trees
+
+
+def least_depth(threshold: float = THRESHOLD, trees: int = TREES, most: int = MAX_DEPTH, target: float = TARGET_RECALL) -> int:
+    """The longest prefix at which any pair at the threshold meets with the target probability."""
     for d in range(most, 0, -1):
-        if 1 - (1 - threshold**d) ** trees >= target:
+        if meeting(threshold, d, trees) >= target:
             return d
     raise ValueError("more trees are needed for this recall")
 
 
+def next_depth(found: np.ndarray, at: int, least: int, threshold: float, trees: int = TREES, target: float = TARGET_RECALL) -> int:
+    """The depth to shorten prefixes to, after `at`; `at` itself if the target recall is reached.
+
+    found: links by similarity, in equal steps from the threshold to 1. A link of
+    similarity s stands for 1 / meeting(s) links that exist; one more at the
+    threshold is taken to be open, so few links prove nothing.
+    """
+    s = threshold + (1 - threshold) * np.arange(len(found)) / len(found)
+    there = found / meeting(s, at, trees)
+    for d in range(at, least, -1):
+        open_ = float((there * (1 - meeting(s, d, trees))).sum() + 1 - meeting(threshold, d, trees))
+        if open_ <= (1 - target) * (there.sum() + 1):
+            return d
+    return least
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -102,13 +133,13 @@ def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _labels(flat: np.ndarray, lengths: np.ndarray, trees: int, most: int) -> np.ndarray:
     """Label of each non-empty set in each tree: `most` MinHash symbols of 16 bits."""
     starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-    out = np.empty((len(starts), trees * most), np.uint16)
-    rng = np.random.default_rng(7)
-    salts = rng.integers(1, 1 << 63, size=(trees * most, 2), dtype=np.uint64)
+    out = np.empty((len(starts), trees * most), ">u2")
+    salts = np.random.default_rng(7).integers(1, 1 << 32, size=(trees * most, 2), dtype=np.uint32)
+    halves = flat.astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint32)
     for j, (a, b) in enumerate(salts):
-        x = (flat ^ a) * (b | np.uint64(1))
-        low = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
-        out[:, j] = _mix(low) >> np.uint64(48)
+        x = (halves[j & 1] ^ a) * (b | np.uint32(1))
+        low = np.minimum.reduceat(x ^ (x >> np.uint32(15)), starts)
+        out[:, j] = (_mix(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
@@ -118,8 +149,8 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(lo, rows)
 
 
-def signatures(docs: DataFrame, n: int, used: int, trees: int) -> DataFrame:
-    """doc_id, _t (md5 of the text), ck (hash of the shingle set, null without words), size, prefixes (one a tree, cut to the depth in use)."""
+def signatures(docs: DataFrame, n: int, trees: int, most: int = MAX_DEPTH) -> DataFrame:
+    """doc_id, _t (md5 of the text), ck (hash of the shingle set, null without words), size, label (of all trees)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -128,23 +159,26 @@ def signatures(docs: DataFrame, n: int, used: int, trees: int) -> DataFrame:
             flat, lengths = _sets(batch.column(2), n)
             ends = np.cumsum(lengths)
             keys = [hashlib.md5(flat[e - m : e].tobytes()).digest() if m else None for e, m in zip(ends, lengths, strict=True)]
-            symbols = _labels(flat, lengths, trees, used).reshape(-1, trees, used).astype(np.uint64) if lengths.any() else np.zeros((0, trees, used), np.uint64)
-            prefix = symbols[:, :, 0]
-            for d in range(1, used):
-                prefix = (prefix << np.uint64(16)) | symbols[:, :, d] if d < 4 else _mix(prefix) ^ symbols[:, :, d]
-            rows = np.zeros(len(lengths), np.int64)
-            rows[lengths > 0] = trees
-            offsets = np.concatenate([[0], np.cumsum(rows)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.reshape(-1).view(np.int64)))],
-                names=["doc_id", "_t", "ck", "size", "prefixes"],
-            )
-
-    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_t"), "text").mapInArrow(run, "doc_id long, _t string, ck binary, size long, prefixes array<long>")
-
-
-def _compare(sizes: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean a x b matrix of the pairs at or above the threshold, exactly."""
+            rows = iter(_labels(flat, lengths, trees, most) if lengths.any() else ())
+            labels = [next(rows).tobytes() if m else None for m in lengths]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(lengths), pa.array(labels, pa.binary())], names=["doc_id", "_t", "ck", "size", "label"])
+
+    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_t"), "text").mapInArrow(run, "doc_id long, _t string, ck binary, size long, label binary")
+
+
+def _similar(sizes: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """a x b matrix of exact similarities where `wanted`; what else it holds is of no meaning."""
+    out = np.zeros(wanted.shape)
+    i, j = np.nonzero(wanted)
+    if len(i) <= len(a) + len(b):
+        # few pairs: one by one
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = sets[a[x]], sets[b[y]]
+            p, q = (p, q) if len(p) <= len(q) else (q, p)
+            at = np.searchsorted(q, p)
+            common = np.count_nonzero(q[np.minimum(at, len(q) - 1)] == p)
+            out[x, y] = common / (len(p) + len(q) - common)
+        return out
     used = np.concatenate([a, b]) if a is not b else a
     flat = np.concatenate([sets[i] for i in used])
     _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
@@ -152,7 +186,7 @@ def _compare(sizes: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.nda
     row = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
     shared = often[code] > 1
     row, code = row[shared], renumbered[code[shared]]
-    common = np.zeros((len(a), len(b)), np.float32)
+    common = np.zeros(wanted.shape, np.float32)
     width, order = 4096, np.argsort(code, kind="stable")
     row, code = row[order], code[order]
     edges = np.searchsorted(code, np.arange(0, (code[-1] + 1 if len(code) else 0) + width, width))
@@ -162,11 +196,11 @@ def _compare(sizes: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.nda
             m[row[lo:hi], code[lo:hi] % width] = 1
             common += m[: len(a)] @ (m[len(a) :] if a is not b else m).T
     common = common.astype(np.float64)
-    return common / (sizes[a][:, None] + sizes[b][None, :] - common) >= threshold
+    return common / (sizes[a][:, None] + sizes[b][None, :] - common)
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links: enough to connect what they connect."""
+def _chain(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Enough of the links to connect what they connect: the members of each group in a row, so that none has many neighbours."""
     parent = list(range(n))
 
     def top(x: int) -> int:
@@ -175,85 +209,48 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    out = []
     for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        ra, rb = top(a), top(b)
-        if ra != rb:
-            parent[ra] = rb
-            out.append((a, b))
+        ra, rb = sorted((top(a), top(b)))
+        parent[rb] = ra
+    last: dict[int, int] = {}
+    out = []
+    for x in sorted(set(i.tolist()) | set(j.tolist())):
+        r = top(x)
+        if r in last:
+            out.append((last[r], x))
+        last[r] = x
     return out
 
 
-def join(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, n_class.
+def _codes(labels: np.ndarray, d: int) -> list[np.ndarray]:
+    """For each tree, a number for each member that says which node of depth d it is in."""
+    cut_ = np.ascontiguousarray(labels[:, :, :d])
+    return [np.unique(cut_[:, t].reshape(len(cut_), -1).view([("", "u2")] * d).ravel(), return_inverse=True)[1].ravel().astype(np.int32) for t in range(labels.shape[1])]
 
-    Two documents are linked if the Jaccard similarity of their shingle sets is
-    at least `threshold`; n_links counts a document's links, copies included.
-    class_id is the smallest doc_id that links lead to (a document without a
-    link is its own class), n_class the number of documents of the class.
-    Null texts and texts without words have no shingle and no link. Repeated
-    rows are copies of one another, and each gets its row. A null id is kept
-    and gets a class like any other; a class of null ids only has a null
-    class_id. Exact copies are folded into one class representative before
-    anything is compared, so groups of copies cost one comparison; large groups
-    of near copies are compared in blocks of BLOCK representatives, by salt and
-    by size, since linked sets differ in size by the threshold at most.
-    """
-    used = depth(threshold, trees)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = cut(signatures(base, n, used, trees), "jaccard-sigs")
-    known = sigs.where("ck is not null")
-    # one representative of each class: all that is compared
-    classes = cut(known.groupBy("ck").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t", "size", "prefixes")).alias("r"), F.count("*").alias("n_docs")).select("ck", "r.doc_id", "r._t", "r.size", "r.prefixes", "n_docs"), "jaccard-classes")
-    buckets = classes.select("ck", F.posexplode("prefixes").alias("tree", "prefix"))
-    shared = buckets.groupBy("tree", "prefix").agg(F.min("ck").alias("v"), F.count("*").alias("c")).where("c > 1")
-    met = components(buckets.join(shared, ["tree", "prefix"]).select(F.col("ck").alias("u"), "v"))
-    # blocks: by the size of the set, salted so that a block holds about BLOCK classes
-    step = float(np.log(1 / threshold))
-    placed = classes.join(met.withColumnRenamed("node", "ck"), "ck").select("ck", "doc_id", "_t", "size", "n_docs", "root", F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).alias("band"))
-    bands = placed.groupBy("root", "band").agg(F.count("*").alias("c")).select("root", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("salts"))
-    totals = placed.groupBy("root").agg(F.count("*").alias("all"))
-    up = bands.select("root", (F.col("band") - 1).alias("band"), F.col("salts").alias("salts_up"))
-    down = bands.select("root", (F.col("band") + 1).alias("band"), F.col("salts").alias("salts_down"))
-    plan = bands.join(up, ["root", "band"], "left").join(down, ["root", "band"], "left").join(totals, "root").na.fill(0, ["salts_up", "salts_down"])
-    salt = F.pmod(F.xxhash64("ck"), F.col("salts")).cast("int")
-    seq = lambda lo, hi: F.when(F.lit(hi) > F.lit(lo) if isinstance(hi, int) else hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
-    zero = F.lit(0)
-    # task (lower band, its salt, upper band, its salt); in one band the lower salt first; a group of one block is one task
-    whole = F.col("all") <= BLOCK
-    key = lambda b, s, b2, s2, side: F.struct(b.cast("long").alias("b"), s.cast("int").alias("s"), b2.cast("long").alias("b2"), s2.cast("int").alias("s2"), F.lit(side).alias("side"))
-    band, s = F.col("band"), F.col("_salt")
-    tasks = F.when(whole, F.array(key(zero, zero, zero, zero, 0))).otherwise(
-        F.concat(
-            F.transform(seq(zero, F.col("salts")), lambda t: F.struct(band.cast("long").alias("b"), F.least(s, t).cast("int").alias("s"), band.cast("long").alias("b2"), F.greatest(s, t).cast("int").alias("s2"), F.when(s <= t, 0).otherwise(1).alias("side"))),
-            F.transform(seq(zero, F.col("salts_up")), lambda t: key(band, s, band + 1, t, 0)),
-            F.transform(seq(zero, F.col("salts_down")), lambda t: key(band - 1, t, band, s, 1)),
-        )
-    )
-    tasked = placed.join(plan, ["root", "band"]).withColumn("_salt", salt).select("ck", "doc_id", "_t", "n_docs", "root", tasks.alias("tasks"))
-    # only the texts of classes that met another one are read again
-    keyed = base.withColumn("_t", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    texts = keyed.join(tasked, keyed["doc_id"].eqNullSafe(tasked["doc_id"]) & (keyed["_t"] == tasked["_t"]), "inner").select("ck", "root", "tasks", "n_docs", "text").dropDuplicates(["ck"])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            got = [shingles(t.as_py(), n).tobytes() for t in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.binary())], names=["ck", "root", "tasks", "n_docs", "set"])
+def _open(codes: list[np.ndarray], deeper: list[np.ndarray], core: np.ndarray, a: np.ndarray, b: np.ndarray, tree: int) -> np.ndarray:
+    """The pairs that no earlier task verified: of different cores, never together deeper, and for a node's task (tree >= 0) in no earlier tree together at this depth."""
+    out = core[a][:, None] != core[b][None, :]
+    for c in [*deeper, *codes[: max(tree, 0)]]:
+        out &= c[a][:, None] != c[b][None, :]
+    return out
 
-    kind = texts.schema["tasks"].dataType.simpleString()
-    sets = texts.mapInArrow(encode, f"ck binary, root binary, tasks {kind}, n_docs long, set binary")
-    rows = sets.select("ck", "root", "n_docs", "set", F.explode("tasks").alias("k")).select("ck", "root", "n_docs", "set", "k.*")
-    schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("w", pa.int64())])
 
-    def verify(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.array([x.as_py() for x in table["ck"]], dtype=object), kind="stable")
-        table = table.take(pa.array(order))
-        side = table["side"].to_numpy()
+def _verify(rows: DataFrame, d: int, trees: int, most: int, threshold: float) -> DataFrame:
+    """(kind, u, v, w): `e` links that connect what is linked, `l` linked documents of u, `s` links of similarity step u, `n` pairs verified."""
+    schema = pa.schema([("kind", pa.string()), ("u", pa.int64()), ("v", pa.int64()), ("w", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table["cid"].to_numpy(), kind="stable")))
+        cid, side, core, weight = (table[c].to_numpy() for c in ("cid", "side", "core", "n_docs"))
+        tree = table["tree"][0].as_py()
         one = table["s"][0].as_py() == table["s2"][0].as_py() and table["b"][0].as_py() == table["b2"][0].as_py()
-        sets_ = [np.frombuffer(x.as_py(), np.uint64) for x in table["set"]]
-        sizes = np.array([len(x) for x in sets_], np.float64)
-        weight = table["n_docs"].to_numpy()
-        links, i_all, j_all = np.zeros(len(side), np.int64), [], []
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["set"]]
+        sizes = np.array([len(x) for x in sets], np.float64)
+        labels = np.frombuffer(b"".join(table["label"].to_pylist()), np.uint16).reshape(len(cid), trees, most)
+        codes, deeper = (_codes(labels, d) if tree > 0 else []), (_codes(labels, d + 1) if d < most else [])
+        links, i_all, j_all = np.zeros(len(cid), np.int64), [], []
+        seen, pairs = np.zeros(BINS, np.int64), 0
         a = np.arange(len(side)) if one else np.flatnonzero(side == 0)
         b = a if one else np.flatnonzero(side == 1)
         for x in range(0, len(a), BLOCK):
@@ -262,46 +259,217 @@ def join(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, trees:
                 q = p if one and x == y else b[y : y + BLOCK]
                 if not len(p) or not len(q):
                     continue
-                hit = _compare(sizes, sets_, p, q, threshold)
+                wanted = _open(codes, deeper, core, p, q, tree)
                 if q is p:
-                    np.fill_diagonal(hit, False)
+                    wanted = np.triu(wanted, 1)
+                pairs += int(np.count_nonzero(wanted))
+                ratio = sizes[p][:, None] / sizes[q][None, :]
+                wanted &= np.minimum(ratio, 1 / ratio) >= threshold
+                if not wanted.any():
+                    continue
+                s = _similar(sizes, sets, p, q, wanted)
+                hit = wanted & (s >= threshold)
+                seen += np.bincount(np.minimum(((s[hit] - threshold) / (1 - threshold) * BINS).astype(int), BINS - 1), minlength=BINS)
                 links[p] += hit @ weight[q]
-                if q is not p:
-                    links[q] += hit.T @ weight[p]
+                links[q] += hit.T @ weight[p]
                 i, j = np.nonzero(hit)
                 i_all.append(p[i])
                 j_all.append(q[j])
-        pairs = _forest(np.concatenate(i_all), np.concatenate(j_all), len(side)) if i_all else []
-        ck = table["ck"].combine_chunks() if isinstance(table["ck"], pa.ChunkedArray) else table["ck"]
-        found = np.flatnonzero(links)
-        first, second = pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())
-        return pa.concat_tables([
-            pa.table([ck.take(first), ck.take(second), pa.array(np.zeros(len(pairs), np.int64))], schema=schema),
-            pa.table([ck.take(pa.array(found)), pa.nulls(len(found), pa.binary()), pa.array(links[found])], schema=schema),
-        ])
-
-    found = cut(rows.groupBy("root", "b", "s", "b2", "s2").applyInArrow(verify, "u binary, v binary, w long"), "jaccard-links")
-    roots = components(found.where("v is not null").select("u", "v"))
-    linked = found.where("v is null").groupBy(F.col("u").alias("ck")).agg(F.sum("w").alias("w"))
-    members = classes.select("ck", "doc_id", "n_docs").join(roots.withColumnRenamed("node", "ck"), "ck", "left").join(linked, "ck", "left")
-    members = members.select("ck", "doc_id", "n_docs", F.coalesce("root", "ck").alias("root"), (F.coalesce("w", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
-    groups = members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n_docs").alias("n_class"))
-    # only classes with a link or a copy are joined back; the rest answer for themselves
-    final = cut(members.join(groups, "root").where("n_class > 1").select("ck", "class_id", "n_links", "n_class"), "jaccard-classes")
-    out = sigs.select("doc_id", "ck").join(final, "ck", "left")
-    forget(classes)
+        edges = np.array(_chain(np.concatenate(i_all), np.concatenate(j_all), len(side)) if i_all else [], np.int64).reshape(-1, 2)
+        linked, steps = np.flatnonzero(links), np.flatnonzero(seen)
+        none = lambda n: np.zeros(n, np.int64)
+        parts = [("e", cid[edges[:, 0]], cid[edges[:, 1]], none(len(edges))), ("l", cid[linked], none(len(linked)), links[linked]), ("s", steps, none(len(steps)), seen[steps]), ("n", none(1), none(1), np.array([pairs]))]
+        return pa.concat_tables([pa.table([pa.array([k] * len(u)), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.int64())], schema=schema) for k, u, v, w in parts])
+
+    return rows.groupBy("g", "b", "s", "b2", "s2").applyInArrow(run, "kind string, u long, v long, w long")
+
+
+def _tasks(groups: DataFrame, threshold: float, total: int) -> DataFrame:
+    """Members of groups (g, tree, cid, core, size) with the tasks that they take part in: k, and b, s, b2, s2, side.
+
+    A group is laid in bands by the logarithm of the set's size, since linked
+    sets differ in size by the threshold at most, and a band in blocks by salt.
+    A task is a pair of blocks of one band or of neighbouring ones; a small group
+    is one task.
+    """
+    step = float(np.log(1 / threshold))
+    placed = groups.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / step + 1e-9))
+    bands = placed.groupBy("g", "band").agg(F.count("*").alias("c"), F.sum("size").alias("w")).select("g", "band", "c", "w", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("w") / WEIGHT)).cast("int").alias("salts"))
+    all_ = bands.groupBy("g").agg(F.sum("c").alias("all"), F.sum("w").alias("heavy"), F.sort_array(F.collect_list(F.struct("band", "salts"))).alias("plan"))
+    # bands of a group are few: the logarithm of the longest text, times a constant
+    large = all_.where((F.col("all") > BLOCK) | (F.col("heavy") > WEIGHT)).select("g", "plan")
+    rows = lookup(placed, large, ["g"], hot(all_, ["g"], total, "all"), "left")
+    n_salts = lambda b: F.coalesce(F.get(F.filter("plan", lambda x: x["band"] == b), 0)["salts"], F.lit(0))
+    rows = rows.withColumns({"_own": n_salts(F.col("band")), "_up": n_salts(F.col("band") + 1), "_down": n_salts(F.col("band") - 1)}).withColumn("_salt", F.when(F.col("plan").isNotNull(), F.pmod(F.xxhash64("cid"), F.col("_own"))).otherwise(0).cast("int"))
+    key = lambda b, s, b2, s2, side: F.struct(b.cast("long").alias("b"), s.cast("int").alias("s"), b2.cast("long").alias("b2"), s2.cast("int").alias("s2"), side.cast("int").alias("side"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    band, s, zero = F.col("band"), F.col("_salt"), F.lit(0)
+    tasks = F.when(F.col("plan").isNull(), F.array(key(zero, zero, zero, zero, zero))).otherwise(
+        F.concat(
+            F.transform(upto(F.col("_own")), lambda t: key(band, F.least(s, t), band, F.greatest(s, t), F.when(s <= t, 0).otherwise(1))),
+            F.transform(upto(F.col("_up")), lambda t: key(band, s, band + 1, t, zero)),
+            F.transform(upto(F.col("_down")), lambda t: key(band - 1, t, band, s, F.lit(1))),
+        )
+    )
+    return rows.select("g", "tree", "cid", "core", F.explode(tasks).alias("k")).select("g", "tree", "cid", "core", "k.*")
+
+
+def _level(trie: DataFrame, core: DataFrame, about: DataFrame, d: int, trees: int, most: int, threshold: float) -> tuple[DataFrame | None, DataFrame, int]:
+    """One round at depth d: the found rows of `_verify` (None if no node holds two cores), the cores after it, and the pairs that the nodes propose, repeats included.
+
+    A core is a set of classes all of whose pairs are verified.
+    """
+    node = F.substring("label", 1, 2 * d)
+    member = trie.join(core, "cid").select("tree", node.alias("node"), "cid", "core")
+    per = member.groupBy("tree", "node", "core").agg(F.count("*").alias("n"))
+    mixed = cut(per.groupBy("tree", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("own"), F.min("core").alias("v")).where(F.col("m") * F.col("m") > F.col("own")), "forest-nodes")
+    asked, rows = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.sum("m")).first()
+    if asked is None:
+        forget(mixed)
+        return None, core, 0
+    held = cut(lookup(member, mixed, ["tree", "node"], hot(mixed, ["tree", "node"], rows, "m")), "forest-members")
+    roots = components(held.select(F.col("core").alias("u"), "v").distinct())
+    # are the pairs of all that is connected more than the nodes propose?
+    sizes = core.groupBy("core").agg(F.count("*").alias("n")).join(roots.withColumnRenamed("node", "core"), "core")
+    whole = sizes.groupBy("root").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("members"))
+    proposed = mixed.join(roots, mixed["v"] == roots["node"]).groupBy("root").agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("proposed"))
+    judged = cut(whole.join(proposed, "root").select("root", "members", (F.col("pairs") <= F.col("proposed")).alias("dense")), "forest-groups")
+    known = lookup(roots.withColumnRenamed("node", "core"), judged, ["root"], hot(judged, ["root"], rows, "members"))
+    after = lookup(core, known.select("core", "root", "dense"), ["core"], hot(core.groupBy("core").agg(F.count("*").alias("n")), ["core"], rows), "left")
+    after = cut(after, "forest-core")
+    apart = known.where("not dense").select(F.col("core").alias("v"))
+    by_node = lookup(held, apart, ["v"], hot(held.groupBy("v").agg(F.count("*").alias("n")), ["v"], rows)).select(F.concat(F.col("tree").cast("string").cast("binary"), F.lit(b":"), "node").alias("g"), "tree", "cid", "core")
+    as_one = after.where("dense").select(F.col("root").cast("string").cast("binary").alias("g"), F.lit(-1).alias("tree"), "cid", "core")
+    groups = cut(as_one.union(by_node).join(about.select("cid", "size"), "cid"), "forest-members")
+    tasked = _tasks(groups, threshold, rows).join(about.select("cid", "n_docs", "label", "set"), "cid")
+    found = cut(_verify(tasked, d, trees, most, threshold), "forest-found")
+    forget(mixed, held, roots, judged, groups)
+    now = after.select("cid", F.when(F.col("dense"), F.col("root")).otherwise(F.col("core")).alias("core"))
+    now._lumen_path = after._lumen_path
+    return found, now, int(asked)
+
+
+def classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, trees: int = TREES, most: int = MAX_DEPTH, target: float = TARGET_RECALL, report: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sigs, final) for `docs` (doc_id, text): sigs has doc_id, _t (md5 of the text), ck; final has, for the classes with a link or a copy, ck, root, class_id, keep_id, keep_t (the row to keep of the class), n_links, n_class, n_docs. Both are written tables.
+
+    `report`, if given, gets the depths visited, the pairs proposed (with
+    repeats) and verified, and the expected recall.
+    """
+    spark = docs.sparkSession
+    least = least_depth(threshold, trees, most, target)
+    sigs = cut(signatures(docs, n, trees, most), "forest-sigs")
+    # one representative of each class: all that is compared
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t"))
+    one = sigs.where("ck is not null").groupBy("ck").agg(first.alias("r"), F.first("size").alias("size"), F.first("label").alias("label"), F.count("*").alias("n_docs"))
+    classed = cut(one.select("ck", "r.none", "r.doc_id", "r._t", "size", "label", "n_docs").withColumn("cid", F.monotonically_increasing_id()), "forest-classes")
+    total = classed.count()
+    # the tries: of each tree, the labels that share a node of the least depth with another one, in order
+    split = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("label"), t * (2 * most) + 1, F.lit(2 * most)))
+    rows = classed.select("cid", F.posexplode(split).alias("tree", "label")).withColumn("node", F.substring("label", 1, 2 * least))
+    shared = cut(rows.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1"), "forest-shared")
+    trie = lookup(rows, shared, ["tree", "node"], hot(shared, ["tree", "node"], total)).select("tree", "label", "cid")
+    trie = cut(trie.repartitionByRange("tree", "label", "cid").sortWithinPartitions("tree", "label", "cid"), "forest-trie")
+    tidy(spark)
+    # the texts of the classes that met another one are read again, once
+    met = classed.join(trie.select("cid").distinct(), "cid").select("cid", "doc_id", "_t", "size", "label", "n_docs")
+    keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_t"), "text")
+    texts = keyed.join(met, keyed["doc_id"].eqNullSafe(met["doc_id"]) & (keyed["_t"] == met["_t"]), "inner").select("cid", "size", "label", "n_docs", "text")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            got = [shingles(t.as_py(), n).tobytes() for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.binary())], names=["cid", "size", "label", "n_docs", "set"])
+
+    # of repeated rows one set is enough
+    about = cut(texts.mapInArrow(encode, "cid long, size long, label binary, n_docs long, set binary").dropDuplicates(["cid"]), "forest-sets")
+    tidy(spark)
+    core = cut(about.select("cid", F.col("cid").alias("core")), "forest-core")
+    tables, histogram, d = [], np.zeros(BINS), most
+    seen = {"depths": [], "proposed": 0, "verified": 0}
+    while True:
+        found, after, asked = _level(trie, core, about, d, trees, most, threshold)
+        seen["depths"].append(d)
+        seen["proposed"] += asked
+        if found is not None:
+            forget(core)
+            tables.append(found)
+            for r in found.where("kind in ('s', 'n')").groupBy("kind", "u").agg(F.sum("w").alias("w")).collect():
+                if r["kind"] == "n":
+                    seen["verified"] += r["w"]
+                else:
+                    histogram[r["u"]] += r["w"]
+        core = after
+        shorter = next_depth(histogram, d, least, threshold, trees, target)
+        if shorter >= d:
+            break
+        d = shorter
+        tidy(spark)
+    if report is not None:
+        report.update(seen)
+    links = tables[0] if tables else spark.createDataFrame([], "kind string, u long, v long, w long")
+    for t in tables[1:]:
+        links = links.union(t)
+    roots = components(links.where("kind = 'e'").select("u", "v"))
+    linked = links.where("kind = 'l'").groupBy(F.col("u").alias("cid")).agg(F.sum("w").alias("w"))
+    members = classed.select("cid", "ck", "none", "doc_id", "_t", "n_docs").join(roots.withColumnRenamed("node", "cid"), "cid", "left").join(linked, "cid", "left").withColumn("root", F.coalesce("root", "cid")).where("w > 0 or n_docs > 1")
+    members = cut(members, "forest-linked")
+    best = F.min(F.struct("none", "doc_id", "_t")).alias("k")
+    groups = cut(members.groupBy("root").agg(best, F.sum("n_docs").alias("n_class"), F.count("*").alias("n")), "forest-roots")
+    with_group = lookup(members.select("ck", "root", "n_docs", "w"), groups, ["root"], hot(groups, ["root"], total))
+    final = cut(with_group.select("ck", "root", F.col("k.doc_id").alias("class_id"), F.col("k.doc_id").alias("keep_id"), F.col("k._t").alias("keep_t"), (F.coalesce("w", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"), "n_class", "n_docs"), "forest-final")
+    forget(classed, shared, trie, about, core, roots, members, groups, *tables)
+    return sigs, final
+
+
+def join(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, n_class.
+
+    Two documents are linked if the Jaccard similarity of their shingle sets is
+    at least `threshold`; n_links counts a document's links, copies included.
+    class_id is the smallest doc_id that links lead to (a document without a
+    link is its own class), n_class the number of documents of the class.
+    Null texts and texts without words have no shingle and no link. Repeated
+    rows are copies of one another, and each gets its row; rows of one id and
+    different texts are documents of their own. A null id is kept and gets a
+    class like any other; a class of null ids only has a null class_id. An empty
+    table gives none. Other columns are not read. Copies are folded into one
+    class before anything is compared, and large groups of near copies are
+    compared in blocks of BLOCK classes, by salt and by size.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sigs, final = classes(base, n, threshold, trees, **params)
+    many = hot(final, ["ck"], sigs.count(), "n_docs")
+    out = lookup(sigs.select("doc_id", "ck"), final.select("ck", "class_id", "n_links", "n_class"), ["ck"], many, "left")
     return out.select("doc_id", F.when(F.col("n_class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"))
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """`docs` with one document of each class: that with the class's id (one of repeated rows, the others being equal to it); documents without a link and of null id stay."""
-    flags = join(docs.select("doc_id", "text"), **params)
-    gone = flags.where((F.col("class_id") != F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = flags.where("n_class > 1").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    if not again.limit(1).count():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """`docs` with one row of each class of near copies: the one with the smallest id (a null id only if there is no other), of equal ids the text with the smallest md5; of rows equal in id and text one is kept.
+
+    Rows that are in no class with others all stay, those without words too. A
+    row is known by its id and its text, so ids that occur with several texts
+    lose only the texts that are near copies. Other columns may have any name.
+    """
+    cols = docs.columns
+    at = {c: f"c{i}" for i, c in reversed(list(enumerate(cols)))}
+    ident, text = F.col(at[id_col]), F.col(at[text_col])
+    safe = docs.toDF(*[f"c{i}" for i in range(len(cols))])
+    base = safe.select(ident.cast("long").alias("doc_id"), text.alias("text"))
+    sigs, final = classes(base, **params)
+    many = hot(final, ["ck"], sigs.count(), "n_docs")
+    judged = lookup(sigs.select("doc_id", "_t", "ck"), final.where("n_class > 1").select("ck", "keep_id", "keep_t"), ["ck"], many)
+    judged = cut(judged.groupBy("doc_id", "_t", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_t") == F.col("keep_t"))).alias("kept")).agg(F.count("*").alias("n")), "forest-judged")
+    forget(sigs, final)
+    mark = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    same = lambda t: ident.cast("long").eqNullSafe(t["doc_id"]) & (mark == t["_t"])
+    gone = judged.where("not kept")
+    stay = safe.join(gone, same(gone), "left_anti")
+    again = judged.where("kept and n > 1")
+    if again.limit(1).count():
+        # of equal rows that stand for a class, one
+        twice = safe.join(again, same(again), "left_semi").withColumns({"_id": ident, "_t": mark}).dropDuplicates(["_id", "_t"]).drop("_id", "_t")
+        stay = stay.join(again, same(again), "left_anti").union(twice)
+    return stay.toDF(*cols)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

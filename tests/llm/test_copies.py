@@ -80,9 +80,51 @@ def test_keep_one_leaves_one_of_each(spark):
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [3, 9, 10, 11]
 
 
-def test_depth_reaches_the_recall():
-    d = jaccard_join.depth()
-    assert 1 - (1 - 0.8**d) ** jaccard_join.TREES >= jaccard_join.TARGET_RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard_join.TREES
+def test_ids_with_several_texts(spark):
+    rng = random.Random(9)
+    a, b = prose(rng, 80, 10**6), prose(rng, 70, 10**6)
+    near = edited(rng, a, 0.01)
+    docs = [(1, a, "x"), (5, near, "x"), (5, b, "y"), (5, b, "z"), (7, near, "x"), (None, near, "n"), (None, "of its own kind", "n"), (9, None, "q"), (9, None, "q")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, keep_id string")
+    got = sorted(((r[0], r[1]) for r in jaccard_join.keep_one(df).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (None, "of its own kind"), (9, None), (9, None)], key=str)
+    # a class of null ids only keeps one text
+    none = spark.createDataFrame([(None, a), (None, near), (None, a)], "doc_id long, text string")
+    assert jaccard_join.keep_one(none).count() == 1
+
+
+def test_depths_reach_the_recall():
+    least = jaccard_join.least_depth()
+    assert jaccard_join.meeting(0.8, least) >= jaccard_join.TARGET_RECALL > jaccard_join.meeting(0.8, least + 1)
+    none, high, low = np.zeros(20), np.zeros(20), np.zeros(20)
+    high[15:], low[0] = 1e7, 1e7
+    go = lambda found: jaccard_join.next_depth(found, 8, least, 0.8)
+    # nothing found proves nothing; links far above the threshold are all found by whole labels; links at it need the least depth
+    assert (go(none), go(high), go(low)) == (least, 8, least)
+    assert least < jaccard_join.next_depth(high + low / 1e2, 8, least, 0.8) < 8
+
+
+def test_unlinked_texts_are_verified_by_node(spark):
+    """Texts that share a fifth of their shingles chain nodes together; the pairs verified are at most those that the nodes propose."""
+    rng = random.Random(12)
+    common = prose(rng, 60, 10**6)
+    docs = [(i, f"{common} {prose(rng, 90, 10**6)}") for i in range(3000)]
+    seen: dict = {}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sigs, final = jaccard_join.classes(df, report=seen)
+    assert final.count() == 0 and seen["depths"][-1] == jaccard_join.least_depth()
+    assert 0 < seen["verified"] <= seen["proposed"] < 3000 * 2999 / 2 / 4
+
+
+def test_recall_near_the_threshold(spark):
+    rng = random.Random(13)
+    docs = []
+    for g in range(150):
+        base = prose(rng, 200, 10**6)
+        docs += [(2 * g, base), (2 * g + 1, edited(rng, base, rng.choice([0.005, 0.01, 0.02])))]
+    want = sum(r[2] for r in brute_join(docs))
+    got = sum(r["n_links"] for r in jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert 0.99 * want <= got <= want and want > 150
 
 
 def test_components(spark):
