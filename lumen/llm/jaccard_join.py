@@ -5,16 +5,14 @@ A text is a set of shingles, `n` consecutive words each (words as in
 with equal sets form a class and are compared once. A class has a label of
 MAX_DEPTH MinHash symbols in each tree, and a tree is the table of its labels in
 sorted order, a prefix trie: a node of depth d is a run of labels with d symbols
-in common. Classes meet first where whole labels agree. Then matched prefixes are
+in common. Classes that share whole labels with one class have one home, and
+their pairs are verified there, if they share any node. Then matched prefixes are
 shortened: from the similarities of the links found so far follows how many are
-still to be expected at each depth, and the next nodes are the deepest at which
-the target recall is reached, until it is. At the least depth used any pair at
-the threshold is found with the target probability, whatever was found before.
-
-A pair is verified on its shingle sets once: at the depth of its longest common
-prefix, in the first tree that has it. Where the pairs of all classes that nodes
-connect are no more than the nodes propose, those classes are one task or a few;
-elsewhere each node is.
+still to be expected at each depth, and the next nodes to look at are the deepest
+at which the target recall is reached, until it is. At the least depth used any
+pair at the threshold is found with the target probability, whatever was found
+before. A node that brings classes of several homes together is a task; a pair is
+verified once, on its shingle sets, in the first tree that has it.
 """
 
 from __future__ import annotations
@@ -199,8 +197,8 @@ def _similar(sizes: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.nda
     return common / (sizes[a][:, None] + sizes[b][None, :] - common)
 
 
-def _chain(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Enough of the links to connect what they connect: the members of each group in a row, so that none has many neighbours."""
+def _stars(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Enough of the links to connect what they connect: each member of a group with its first one."""
     parent = list(range(n))
 
     def top(x: int) -> int:
@@ -212,45 +210,53 @@ def _chain(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     for a, b in zip(i.tolist(), j.tolist(), strict=True):
         ra, rb = sorted((top(a), top(b)))
         parent[rb] = ra
-    last: dict[int, int] = {}
-    out = []
-    for x in sorted(set(i.tolist()) | set(j.tolist())):
-        r = top(x)
-        if r in last:
-            out.append((last[r], x))
-        last[r] = x
-    return out
+    return [(x, top(x)) for x in sorted(set(i.tolist()) | set(j.tolist())) if top(x) != x]
 
 
-def _codes(labels: np.ndarray, d: int) -> list[np.ndarray]:
-    """For each tree, a number for each member that says which node of depth d it is in."""
-    cut_ = np.ascontiguousarray(labels[:, :, :d])
-    return [np.unique(cut_[:, t].reshape(len(cut_), -1).view([("", "u2")] * d).ravel(), return_inverse=True)[1].ravel().astype(np.int32) for t in range(labels.shape[1])]
+def _codes(labels: np.ndarray, d: int) -> np.ndarray:
+    """For each tree, a row of numbers that say which node of depth d each member is in."""
+    out = np.zeros(labels.shape[:2], np.uint64)
+    for k in range(d):
+        # up to four symbols fill the number, more are hashed
+        out = ((out << np.uint64(16)) if k < 4 else _mix(out) * _ODD) + labels[:, :, k]
+    return np.ascontiguousarray(out.T)
 
 
-def _open(codes: list[np.ndarray], deeper: list[np.ndarray], core: np.ndarray, a: np.ndarray, b: np.ndarray, tree: int) -> np.ndarray:
-    """The pairs that no earlier task verified: of different cores, never together deeper, and for a node's task (tree >= 0) in no earlier tree together at this depth."""
-    out = core[a][:, None] != core[b][None, :]
-    for c in [*deeper, *codes[: max(tree, 0)]]:
-        out &= c[a][:, None] != c[b][None, :]
+def _together(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The pairs that are in one node in some of these trees."""
+    out = np.zeros((len(a), len(b)), bool)
+    for c in codes:
+        out |= c[a][:, None] == c[b][None, :]
     return out
 
 
-def _verify(rows: DataFrame, d: int, trees: int, most: int, threshold: float) -> DataFrame:
-    """(kind, u, v, w): `e` links that connect what is linked, `l` linked documents of u, `s` links of similarity step u, `n` pairs verified."""
+def _verify(rows: DataFrame, d: int, before: int | None, least: int, trees: int, most: int, threshold: float) -> DataFrame:
+    """(kind, u, v, w): `e` links that connect what is linked, `l` linked documents of u, `s` links of depth and similarity step u, `n` pairs verified.
+
+    A task of a home (tree -1) takes the pairs that share a node of the least
+    depth. A node's task takes those of different homes that share no node of
+    depth `d` in an earlier tree, and none of depth `before`, where they were
+    verified already.
+    """
     schema = pa.schema([("kind", pa.string()), ("u", pa.int64()), ("v", pa.int64()), ("w", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.take(pa.array(np.argsort(table["cid"].to_numpy(), kind="stable")))
-        cid, side, core, weight = (table[c].to_numpy() for c in ("cid", "side", "core", "n_docs"))
+        # repeated rows may bring a class more than once
+        table = table.take(pa.array(np.unique(table["cid"].to_numpy(), return_index=True)[1]))
+        cid, side, home, weight = (table[c].to_numpy() for c in ("cid", "side", "home", "n_docs"))
         tree = table["tree"][0].as_py()
         one = table["s"][0].as_py() == table["s2"][0].as_py() and table["b"][0].as_py() == table["b2"][0].as_py()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["set"]]
         sizes = np.array([len(x) for x in sets], np.float64)
         labels = np.frombuffer(b"".join(table["label"].to_pylist()), np.uint16).reshape(len(cid), trees, most)
-        codes, deeper = (_codes(labels, d) if tree > 0 else []), (_codes(labels, d + 1) if d < most else [])
+        if tree < 0:
+            some, never = _codes(labels, least), []
+        else:
+            some, never = [], _codes(labels[:, :tree], d)
+            if before is not None:
+                never = np.concatenate([never, _codes(labels, before)])
         links, i_all, j_all = np.zeros(len(cid), np.int64), [], []
-        seen, pairs = np.zeros(BINS, np.int64), 0
+        seen, pairs = np.zeros((most + 1) * BINS, np.int64), 0
         a = np.arange(len(side)) if one else np.flatnonzero(side == 0)
         b = a if one else np.flatnonzero(side == 1)
         for x in range(0, len(a), BLOCK):
@@ -259,7 +265,7 @@ def _verify(rows: DataFrame, d: int, trees: int, most: int, threshold: float) ->
                 q = p if one and x == y else b[y : y + BLOCK]
                 if not len(p) or not len(q):
                     continue
-                wanted = _open(codes, deeper, core, p, q, tree)
+                wanted = _together(some, p, q) if tree < 0 else (home[p][:, None] != home[q][None, :]) & ~_together(never, p, q)
                 if q is p:
                     wanted = np.triu(wanted, 1)
                 pairs += int(np.count_nonzero(wanted))
@@ -269,23 +275,30 @@ def _verify(rows: DataFrame, d: int, trees: int, most: int, threshold: float) ->
                     continue
                 s = _similar(sizes, sets, p, q, wanted)
                 hit = wanted & (s >= threshold)
-                seen += np.bincount(np.minimum(((s[hit] - threshold) / (1 - threshold) * BINS).astype(int), BINS - 1), minlength=BINS)
                 links[p] += hit @ weight[q]
                 links[q] += hit.T @ weight[p]
                 i, j = np.nonzero(hit)
-                i_all.append(p[i])
-                j_all.append(q[j])
-        edges = np.array(_chain(np.concatenate(i_all), np.concatenate(j_all), len(side)) if i_all else [], np.int64).reshape(-1, 2)
+                step = np.minimum(((s[i, j] - threshold) / (1 - threshold) * BINS).astype(int), BINS - 1)
+                i, j = p[i], q[j]
+                depth = np.full(len(i), d)
+                if tree < 0:
+                    for k in range(least, most + 1):
+                        codes = _codes(labels, k)
+                        depth[np.any(codes[:, i] == codes[:, j], axis=0)] = k
+                seen += np.bincount(depth * BINS + step, minlength=len(seen))
+                i_all.append(i)
+                j_all.append(j)
+        edges = np.array(_stars(np.concatenate(i_all), np.concatenate(j_all), len(side)) if i_all else [], np.int64).reshape(-1, 2)
         linked, steps = np.flatnonzero(links), np.flatnonzero(seen)
         none = lambda n: np.zeros(n, np.int64)
         parts = [("e", cid[edges[:, 0]], cid[edges[:, 1]], none(len(edges))), ("l", cid[linked], none(len(linked)), links[linked]), ("s", steps, none(len(steps)), seen[steps]), ("n", none(1), none(1), np.array([pairs]))]
-        return pa.concat_tables([pa.table([pa.array([k] * len(u)), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.int64())], schema=schema) for k, u, v, w in parts])
+        return pa.concat_tables([pa.table([pa.array([k] * len(u), pa.string()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.int64())], schema=schema) for k, u, v, w in parts])
 
     return rows.groupBy("g", "b", "s", "b2", "s2").applyInArrow(run, "kind string, u long, v long, w long")
 
 
 def _tasks(groups: DataFrame, threshold: float, total: int) -> DataFrame:
-    """Members of groups (g, tree, cid, core, size) with the tasks that they take part in: k, and b, s, b2, s2, side.
+    """Members of groups (g, tree, cid, home, size) with the tasks that they take part in: k, and b, s, b2, s2, side.
 
     A group is laid in bands by the logarithm of the set's size, since linked
     sets differ in size by the threshold at most, and a band in blocks by salt.
@@ -311,49 +324,26 @@ def _tasks(groups: DataFrame, threshold: float, total: int) -> DataFrame:
             F.transform(upto(F.col("_down")), lambda t: key(band - 1, t, band, s, F.lit(1))),
         )
     )
-    return rows.select("g", "tree", "cid", "core", F.explode(tasks).alias("k")).select("g", "tree", "cid", "core", "k.*")
-
-
-def _level(trie: DataFrame, core: DataFrame, about: DataFrame, d: int, trees: int, most: int, threshold: float) -> tuple[DataFrame | None, DataFrame, int]:
-    """One round at depth d: the found rows of `_verify` (None if no node holds two cores), the cores after it, and the pairs that the nodes propose, repeats included.
-
-    A core is a set of classes all of whose pairs are verified.
-    """
-    node = F.substring("label", 1, 2 * d)
-    member = trie.join(core, "cid").select("tree", node.alias("node"), "cid", "core")
-    per = member.groupBy("tree", "node", "core").agg(F.count("*").alias("n"))
-    mixed = cut(per.groupBy("tree", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("own"), F.min("core").alias("v")).where(F.col("m") * F.col("m") > F.col("own")), "forest-nodes")
-    asked, rows = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.sum("m")).first()
-    if asked is None:
-        forget(mixed)
-        return None, core, 0
-    held = cut(lookup(member, mixed, ["tree", "node"], hot(mixed, ["tree", "node"], rows, "m")), "forest-members")
-    roots = components(held.select(F.col("core").alias("u"), "v").distinct())
-    # are the pairs of all that is connected more than the nodes propose?
-    sizes = core.groupBy("core").agg(F.count("*").alias("n")).join(roots.withColumnRenamed("node", "core"), "core")
-    whole = sizes.groupBy("root").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("members"))
-    proposed = mixed.join(roots, mixed["v"] == roots["node"]).groupBy("root").agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("proposed"))
-    judged = cut(whole.join(proposed, "root").select("root", "members", (F.col("pairs") <= F.col("proposed")).alias("dense")), "forest-groups")
-    known = lookup(roots.withColumnRenamed("node", "core"), judged, ["root"], hot(judged, ["root"], rows, "members"))
-    after = lookup(core, known.select("core", "root", "dense"), ["core"], hot(core.groupBy("core").agg(F.count("*").alias("n")), ["core"], rows), "left")
-    after = cut(after, "forest-core")
-    apart = known.where("not dense").select(F.col("core").alias("v"))
-    by_node = lookup(held, apart, ["v"], hot(held.groupBy("v").agg(F.count("*").alias("n")), ["v"], rows)).select(F.concat(F.col("tree").cast("string").cast("binary"), F.lit(b":"), "node").alias("g"), "tree", "cid", "core")
-    as_one = after.where("dense").select(F.col("root").cast("string").cast("binary").alias("g"), F.lit(-1).alias("tree"), "cid", "core")
-    groups = cut(as_one.union(by_node).join(about.select("cid", "size"), "cid"), "forest-members")
-    tasked = _tasks(groups, threshold, rows).join(about.select("cid", "n_docs", "label", "set"), "cid")
-    found = cut(_verify(tasked, d, trees, most, threshold), "forest-found")
-    forget(mixed, held, roots, judged, groups)
-    now = after.select("cid", F.when(F.col("dense"), F.col("root")).otherwise(F.col("core")).alias("core"))
-    now._lumen_path = after._lumen_path
-    return found, now, int(asked)
+    return rows.select("g", "tree", "cid", "home", F.explode(tasks).alias("k")).select("g", "tree", "cid", "home", "k.*")
+
+
+def _homes(trie: DataFrame, total: int) -> DataFrame:
+    """(cid, home) for the classes that share a whole label with others: the least class that two steps over such labels lead to."""
+    same = trie.groupBy("tree", "label").agg(F.min("cid").alias("m"), F.count("*").alias("n")).where("n > 1")
+    deep = cut(lookup(trie, same, ["tree", "label"], hot(same, ["tree", "label"], total)).select("tree", "label", "cid", "m", "n"), "forest-deep")
+    one = deep.groupBy("cid").agg(F.min("m").alias("h"))
+    low = deep.select("tree", "label", "cid").join(one, "cid").groupBy("tree", "label").agg(F.min("h").alias("h"))
+    heavy = hot(deep, ["tree", "label"], total)
+    out = cut(lookup(deep.select("tree", "label", "cid"), low, ["tree", "label"], heavy).groupBy("cid").agg(F.min("h").alias("home")), "forest-homes")
+    forget(deep)
+    return out
 
 
 def classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, trees: int = TREES, most: int = MAX_DEPTH, target: float = TARGET_RECALL, report: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(sigs, final) for `docs` (doc_id, text): sigs has doc_id, _t (md5 of the text), ck; final has, for the classes with a link or a copy, ck, root, class_id, keep_id, keep_t (the row to keep of the class), n_links, n_class, n_docs. Both are written tables.
 
-    `report`, if given, gets the depths visited, the pairs proposed (with
-    repeats) and verified, and the expected recall.
+    `report`, if given, gets the depths visited, the pairs that nodes of the
+    least depth propose (with repeats), and the pairs verified.
     """
     spark = docs.sparkSession
     least = least_depth(threshold, trees, most, target)
@@ -371,42 +361,57 @@ def classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tre
     trie = cut(trie.repartitionByRange("tree", "label", "cid").sortWithinPartitions("tree", "label", "cid"), "forest-trie")
     tidy(spark)
     # the texts of the classes that met another one are read again, once
-    met = classed.join(trie.select("cid").distinct(), "cid").select("cid", "doc_id", "_t", "size", "label", "n_docs")
+    met = classed.join(trie.select("cid").distinct(), "cid").select("cid", "doc_id", "_t", "label", "n_docs")
     keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_t"), "text")
-    texts = keyed.join(met, keyed["doc_id"].eqNullSafe(met["doc_id"]) & (keyed["_t"] == met["_t"]), "inner").select("cid", "size", "label", "n_docs", "text")
+    texts = keyed.join(met, keyed["doc_id"].eqNullSafe(met["doc_id"]) & (keyed["_t"] == met["_t"]), "inner").select("cid", "label", "n_docs", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in _slices(batches):
-            got = [shingles(t.as_py(), n).tobytes() for t in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.binary())], names=["cid", "size", "label", "n_docs", "set"])
+            new = [i for i, c in enumerate(batch.column(0).to_pylist()) if not (c in done or done.add(c))]
+            batch = batch.take(pa.array(new, pa.int64()))
+            got = [shingles(t.as_py(), n).tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, pa.binary())], names=["cid", "label", "n_docs", "set"])
 
-    # of repeated rows one set is enough
-    about = cut(texts.mapInArrow(encode, "cid long, size long, label binary, n_docs long, set binary").dropDuplicates(["cid"]), "forest-sets")
+    about = cut(texts.mapInArrow(encode, "cid long, label binary, n_docs long, set binary"), "forest-sets")
     tidy(spark)
-    core = cut(about.select("cid", F.col("cid").alias("core")), "forest-core")
-    tables, histogram, d = [], np.zeros(BINS), most
-    seen = {"depths": [], "proposed": 0, "verified": 0}
-    while True:
-        found, after, asked = _level(trie, core, about, d, trees, most, threshold)
-        seen["depths"].append(d)
-        seen["proposed"] += asked
-        if found is not None:
-            forget(core)
-            tables.append(found)
-            for r in found.where("kind in ('s', 'n')").groupBy("kind", "u").agg(F.sum("w").alias("w")).collect():
-                if r["kind"] == "n":
-                    seen["verified"] += r["w"]
-                else:
-                    histogram[r["u"]] += r["w"]
-        core = after
-        shorter = next_depth(histogram, d, least, threshold, trees, target)
-        if shorter >= d:
+    homes = _homes(trie, total)
+    member = cut(trie.join(homes, "cid", "left").join(classed.select("cid", "size"), "cid").select("tree", "label", "cid", F.coalesce("home", "cid").alias("home"), "size"), "forest-members")
+    sizes = homes.groupBy("home").agg(F.count("*").alias("n")).where("n > 1")
+    at_home = lookup(homes, sizes, ["home"], hot(sizes, ["home"], total)).join(classed.select("cid", "size"), "cid").select(F.col("home").cast("string").cast("binary").alias("g"), F.lit(-1).alias("tree"), "cid", "home", "size")
+    tables, histogram, verified, depths = [], np.zeros((most + 1, BINS)), 0, [most]
+
+    def verify(groups: DataFrame, d: int, before: int | None) -> int:
+        groups = cut(groups, "forest-groups")
+        tables.append(cut(_verify(_tasks(groups, threshold, total).join(about, "cid"), d, before, least, trees, most, threshold), "forest-found"))
+        forget(groups)
+        count = 0
+        for r in tables[-1].where("kind in ('s', 'n')").groupBy("kind", "u").agg(F.sum("w").alias("w")).collect():
+            if r["kind"] == "n":
+                count += r["w"]
+            else:
+                histogram[divmod(r["u"], BINS)] += r["w"]
+        return count
+
+    verified += verify(at_home, most, None)
+    before, d = None, most
+    while before is None or d < before:
+        d = next_depth(histogram[d:].sum(axis=0), d, least, threshold, trees, target)
+        if before is not None and d >= before:
             break
-        d = shorter
+        node = F.substring("label", 1, 2 * d)
+        mixed = member.groupBy("tree", node.alias("node")).agg(F.count("*").alias("n"), F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi")
+        mixed = cut(mixed.select("tree", "node", "n"), "forest-nodes")
+        held = lookup(member.withColumn("node", node), mixed, ["tree", "node"], hot(mixed, ["tree", "node"], total))
+        verified += verify(held.select(F.concat(F.col("tree").cast("string").cast("binary"), F.lit(b":"), "node").alias("g"), "tree", "cid", "home", "size"), d, before)
+        forget(mixed)
+        depths.append(d)
+        before = d
         tidy(spark)
     if report is not None:
-        report.update(seen)
-    links = tables[0] if tables else spark.createDataFrame([], "kind string, u long, v long, w long")
+        proposed = shared.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+        report.update(depths=depths, proposed=int(proposed or 0), verified=verified)
+    links = tables[0]
     for t in tables[1:]:
         links = links.union(t)
     roots = components(links.where("kind = 'e'").select("u", "v"))
@@ -417,7 +422,7 @@ def classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tre
     groups = cut(members.groupBy("root").agg(best, F.sum("n_docs").alias("n_class"), F.count("*").alias("n")), "forest-roots")
     with_group = lookup(members.select("ck", "root", "n_docs", "w"), groups, ["root"], hot(groups, ["root"], total))
     final = cut(with_group.select("ck", "root", F.col("k.doc_id").alias("class_id"), F.col("k.doc_id").alias("keep_id"), F.col("k._t").alias("keep_t"), (F.coalesce("w", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"), "n_class", "n_docs"), "forest-final")
-    forget(classed, shared, trie, about, core, roots, members, groups, *tables)
+    forget(classed, shared, trie, about, homes, member, roots, members, groups, *tables)
     return sigs, final
 
 
