@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -49,9 +50,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumen_path = path
+    for held in _WITHIN:
+        held.append(out)
     return out
 
 
+#: Tables written within `leaving_nothing`, one list for each that is open.
+_WITHIN: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def leaving_nothing():
+    """Delete, at the end, all tables written within but the last one, which is the result."""
+    held: list[DataFrame] = []
+    _WITHIN.append(held)
+    try:
+        yield
+    finally:
+        _WITHIN.remove(held)
+        forget(*held[:-1])
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that `cut` wrote, once nothing reads them any more."""
     for df in tables:
@@ -83,6 +102,11 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], heavy: DataFrame
     return cold.unionByName(rows.join(few, keys, "left_semi").join(F.broadcast(table.join(few, keys, "left_semi")), keys, how))
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns named c0, c1, ..., and the new name of each (of the first, where one occurs twice), so that no name of the caller's meets one of an operator's."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), {c: f"c{i}" for i, c in reversed(list(enumerate(df.columns)))}
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now: it does so once the driver's garbage is collected."""
     gc.collect()

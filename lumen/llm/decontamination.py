@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import plain_names
+
 N_WORDS = 13
 #: A document is contaminated if at least one of so many of its words is hit.
 ONE_IN = 20
@@ -89,8 +91,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, id_col: str =
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> DataFrame:
     """`docs` without its contaminated rows; every other row and column unchanged. Columns beside doc_id and text may have any name."""
     cols = docs.columns
-    safe = docs.toDF(*[f"c{i}" for i in range(len(cols))])
-    at = {c: f"c{i}" for i, c in reversed(list(enumerate(cols)))}
+    safe, at = plain_names(docs)
     out = scan(safe, benchmark, n, at["doc_id"], at["text"], keep=tuple(safe.columns))
     return out.where(~F.col("contaminated")).select(*safe.columns).toDF(*cols)
 

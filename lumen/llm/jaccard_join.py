@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, hot, lookup, tidy
+from .common import cut, forget, hot, lookup, plain_names, tidy
 from .components import components
 
 N_WORDS, THRESHOLD = 5, 0.8
@@ -456,9 +456,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     lose only the texts that are near copies. Other columns may have any name.
     """
     cols = docs.columns
-    at = {c: f"c{i}" for i, c in reversed(list(enumerate(cols)))}
+    safe, at = plain_names(docs)
     ident, text = F.col(at[id_col]), F.col(at[text_col])
-    safe = docs.toDF(*[f"c{i}" for i in range(len(cols))])
     base = safe.select(ident.cast("long").alias("doc_id"), text.alias("text"))
     sigs, final = classes(base, **params)
     many = hot(final, ["ck"], sigs.count(), "n_docs")

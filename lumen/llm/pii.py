@@ -15,11 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget
+from .common import cut, forget, hot, lookup
 
 #: The key of the query; a deployment passes its own.
 KEY = "lumen-surrogates-1"
-MAX_ROUNDS = 24
+#: Keys tried for an entity whose surrogate is a real entity.
+MAX_ROUNDS = 6
 
 # fixed values: the patterns, in the order in which an entity is classified
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+(?<=\.\p{L}{2,24})"
@@ -49,10 +50,13 @@ NAME = rf"(?<!\p{{L}})(?:{'|'.join(TITLES_M + TITLES_F)})\.? {_WORD}(?: {_WORD})
 PATTERN = "|".join([EMAIL, TOKEN, SECRET, IPV6, IBAN, IPV4, CARD, SSN, PHONE, NAME])
 #: What every entity but a name holds; texts without it, and without a title, are not scanned.
 HINT = rf"[0-9@]|{'|'.join(TITLES_M + TITLES_F)}|[a-fA-F]{{32}}|(?:gh[opsur]|github_pat|[srp]k_live|[srp]k_test)_|(?:glpat|sk|xox[abprs])-|AKIA|ASIA|AIza|eyJ"
-LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+DIGITS, LATIN, CYRILLIC, GREEK = "0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re", "sa", "to", "va", "we", "ro", "li"], "cyrillic": ["ба", "де", "фи", "го", "ка", "ле", "ми", "но", "па", "ре", "са", "то", "ва", "зе", "ро", "ли"]}
 ENDINGS = {("latin", "m"): "n", ("latin", "f"): "na", ("cyrillic", "m"): "н", ("cyrillic", "f"): "на"}
 # end of fixed values
+#: Letters and figures of none of these alphabets.
+ODD = rf"[\p{{L}}\p{{N}}&&[^0-9A-Za-z{CYRILLIC}{GREEK}{ACCENTED}]]"
 
 
 def entities(text: Column) -> Column:
@@ -80,35 +84,36 @@ def _draw(stream: Column, i: Column) -> Column:
     return F.conv(F.substr(stream, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
-def _pick(alphabet: str, n: Column) -> Column:
-    return F.substr(F.lit(alphabet), n % len(alphabet) + 1, F.lit(1))
+def _stream(*seed: Column) -> Column:
+    """128 hexadecimal digits from a seed."""
+    return F.sha2(F.concat_ws("|", *seed).cast("binary"), 512)
 
 
-def _letters(s: Column, stream: Column) -> Column:
-    """A letter or digit of its own kind for each letter and digit; the rest stays."""
-    one = lambda c, i: (
-        F.when(c.rlike(r"\d"), (_draw(stream, i) % 10).cast("string"))
-        .when(c.rlike(r"\p{IsCyrillic}"), _pick(CYRILLIC, _draw(stream, i)))
-        .when(c.rlike(r"\p{IsGreek}"), _pick(GREEK, _draw(stream, i)))
-        .when(c.rlike(r"[\p{L}\p{N}]"), _pick(LATIN, _draw(stream, i)))
-        .otherwise(c)
-    )
-    return F.array_join(F.transform(F.split(s, "", -1), one), "")
+def _shifted(part: Column, stream: Column, hexadecimal: Column) -> Column:
+    """Each character moved on within its own alphabet by the stream; characters of no alphabet stay. Of a hexadecimal part, all characters are one alphabet."""
+    def move(alphabet: str, c: Column, i: Column) -> Column:
+        return F.substr(F.lit(alphabet), F.pmod(F.instr(F.lit(alphabet), c) - 1 + _draw(stream, i), F.lit(len(alphabet))) + 1, F.lit(1))
 
+    def one(c: Column, i: Column) -> Column:
+        hexes = DIGITS + LATIN[:6]
+        out = F.when(hexadecimal & (F.instr(F.lit(hexes), c) > 0), move(hexes, c, i))
+        for alphabet in (DIGITS, LATIN, LATIN.upper(), CYRILLIC, GREEK, ACCENTED):
+            out = out.when(F.instr(F.lit(alphabet), c) > 0, move(alphabet, c, i))
+        return out.otherwise(c)
 
-def _kinds(s: Column, stream: Column) -> Column:
-    """A digit for each digit and a Latin letter of the same case for each letter."""
-    one = lambda c, i: (
-        F.when(c.rlike("[0-9]"), (_draw(stream, i) % 10).cast("string"))
-        .when(c.rlike("[a-z]"), _pick(LATIN, _draw(stream, i)))
-        .when(c.rlike("[A-Z]"), _pick(LATIN.upper(), _draw(stream, i)))
-        .otherwise(c)
-    )
-    return F.array_join(F.transform(F.split(s, "", -1), one), "")
+    return F.when(F.length(part) > 0, F.array_join(F.transform(F.split(part, "", -1), one), "")).otherwise("")
 
 
-def _digits(n: Column, stream: Column) -> Column:
-    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _draw(stream, i) % 10), "")
+def permuted(df: DataFrame, column: str, seed: Column, hexadecimal: Column, rounds: int = 4) -> DataFrame:
+    """`df` with text `column` permuted among the texts of its format by a keyed Feistel network: in turn, one half is shifted by a hash of the other."""
+    half = F.ceil(F.length(column) / 2).cast("int")
+    df = df.withColumns({"_l": F.substr(column, F.lit(1), half), "_r": F.substr(column, half + 1)})
+    for j in range(rounds):
+        moved, other = ("_l", "_r") if j % 2 == 0 else ("_r", "_l")
+        # the stream is a column of its own: one hash a text, not one a character
+        df = df.withColumn("_s", _stream(seed, F.lit(str(j)), F.length(column).cast("string"), F.col(other)))
+        df = df.withColumn(moved, _shifted(F.col(moved), F.col("_s"), hexadecimal))
+    return df.withColumn(column, F.concat("_l", "_r")).drop("_l", "_r", "_s")
 
 
 def luhn(digits: Column) -> Column:
@@ -117,43 +122,59 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(F.split(digits, "", -1)), lambda c, i: value(c.cast("int"), i)), F.lit(0), lambda t, x: t + x) % 10
 
 
-def candidate(k: Column, c: Column, attempt: int, key: str) -> Column:
-    """Surrogate of canonical form `c` of kind `k`, in canonical form."""
-    seed = F.concat_ws("|", F.lit(key), k, F.lit(str(attempt)), c)
-    stream = F.concat(F.sha2(F.concat(seed, F.lit("|a")).cast("binary"), 256), F.sha2(F.concat(seed, F.lit("|b")).cast("binary"), 256))
-    domain_seed = F.concat_ws("|", F.lit(key), F.lit("domain"), F.lit(str(attempt)), F.regexp_extract(c, "@(.*)$", 1))
-    domain_stream = F.concat(F.sha2(F.concat(domain_seed, F.lit("|a")).cast("binary"), 256), F.sha2(F.concat(domain_seed, F.lit("|b")).cast("binary"), 256))
-    # a few more letters once re-keying alone no longer finds a free one
-    more = F.lit("") if attempt < 4 else F.substr(F.translate(F.sha2(seed.cast("binary"), 256), "0123456789", "ghijklmnop"), F.lit(1), F.lit(attempt))
-    email = F.concat(_letters(F.regexp_extract(c, "^([^@]*)@", 1), stream), more, F.lit("@"), _letters(F.regexp_extract(c, r"@(.*)\.[^.]*$", 1), domain_stream), F.lit("."), F.regexp_extract(c, r"\.([^.]*)$", 1))
-    secret = F.array_join(F.transform(F.split(c, "", -1), lambda x, i: F.when(x.rlike(r"\d"), (_draw(stream, i) % 10).cast("string")).otherwise(_pick("abcdef", _draw(stream, i)))), "")
-    # tokens and IBANs: characters of their own kind after what tells the type
-    kept = F.when(k == "token", F.regexp_extract(c, TOKEN_PREFIX, 0)).otherwise(F.substr(c, F.lit(1), F.lit(2)))
-    coded = F.concat(kept, _kinds(F.substr(c, F.length(kept) + 1), stream))
-    ipv6 = F.array_join(F.transform(F.split(c, "", -1), lambda x, i: F.when(x == ":", x).otherwise(_pick("123456789abcdef", _draw(stream, i)))), "")
-    octet = lambda i: (_draw(stream, F.lit(i)) % 254 + 1).cast("string")
+def parts(k: Column, c: Column) -> dict[str, Column]:
+    """Of a canonical form: what stays in front, what is permuted, whether that is hexadecimal, and the domain's name and ending of an email."""
+    octet = lambda i: F.lpad(F.lower(F.hex(F.get(F.split(c, r"\."), i).cast("long"))), 2, "0")
+    proper = c.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.|$)){4}$")
     private = F.regexp_extract(c, r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
-    parts = F.size(F.split(private, r"\.")) - 1
-    ipv4 = F.concat(private, F.array_join(F.slice(F.array(*[octet(i) for i in range(4)]), 1, F.lit(4) - parts), "."))
-    body = F.concat(F.lit("4"), _digits(F.length(c) - 2, stream))
-    check = (F.lit(10) - luhn(F.concat(body, F.lit("0")))) % 10
-    card = F.concat(body, F.when(luhn(c) == 0, check).otherwise((check + 1 + _draw(stream, F.lit(31)) % 9) % 10).cast("string"))
-    country = F.when(c.startswith("+"), F.substr(c, F.lit(1), F.greatest(F.lit(2), F.length(c) - 10 + 0))).otherwise(F.lit(""))
-    phone = F.concat(country, _digits(F.length(c) - F.length(country), stream))
-    ssn = _digits(F.length(c), stream)
-    script = F.when(c.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    address = F.substr(F.concat(*[octet(i) for i in range(4)]), (F.size(F.split(private, r"\.")) - 1) * 2 + 1)
+    country = F.when(c.startswith("+"), F.substr(c, F.lit(1), F.greatest(F.lit(2), F.length(c) - 10))).otherwise("")
+    none = F.lit("")
+    kept = F.when(k == "token", F.regexp_extract(c, TOKEN_PREFIX, 0)).when(k == "iban", F.substr(c, F.lit(1), F.lit(2))).when(k == "phone", country).when(k == "card", F.substr(c, F.lit(1), F.lit(1))).when((k == "ipv4") & proper, private).otherwise(none)
+    rest = F.substr(c, F.length(kept) + 1)
+    body = F.when(k == "email", F.regexp_extract(c, "^([^@]*)@", 1)).when((k == "ipv4") & proper, address).when(k == "card", F.substr(rest, F.lit(1), F.length(rest) - 1)).when(k == "name", none).otherwise(rest)
+    return {
+        "_kept": kept, "_body": body, "_hex": k.isin("secret", "ipv6") | ((k == "ipv4") & proper),
+        "_site": F.when(k == "email", F.regexp_extract(c, r"@(.*)\.[^.]*$", 1)).otherwise(none), "_end": F.when(k == "email", F.regexp_extract(c, r"\.([^.]*)$", 1)).otherwise(none),
+    }
+
+
+def _name(c: Column, attempt: int, key: str) -> Column:
+    """A name of syllables, longer with each attempt."""
+    stream = _stream(F.lit(key), F.lit("name"), F.lit(str(attempt)), c)
     gender = F.substr(c, F.lit(1), F.lit(1))
 
     def word(of: str, first: int, n: int) -> Column:
         return F.concat(*[F.element_at(F.array(*[F.lit(x) for x in SYLLABLES[of]]), _draw(stream, F.lit(first + j)) % 16 + 1) for j in range(n)])
 
     def name(of: str) -> Column:
-        given = F.concat(word(of, 0, 2), F.when(gender == "f", ENDINGS[of, "f"]).otherwise(ENDINGS[of, "m"]))
-        family = word(of, 4, 4 if attempt < 4 else 8)
+        given = F.concat(word(of, 0, 3), F.when(gender == "f", ENDINGS[of, "f"]).otherwise(ENDINGS[of, "m"]))
+        family = word(of, 4, 4 + 4 * attempt)
         return F.concat(gender, F.lit(":"), F.when(F.contains(c, F.lit(" ")), F.concat(given, F.lit(" "), family)).otherwise(family))
 
-    names = F.when(script == "cyrillic", name("cyrillic")).otherwise(name("latin"))
-    return F.when(k == "email", email).when(k == "secret", secret).when(k.isin("token", "iban"), coded).when(k == "ipv6", ipv6).when(k == "ipv4", ipv4).when(k == "card", card).when(k == "phone", phone).when(k == "ssn", ssn).otherwise(names)
+    return F.when(c.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin"))
+
+
+def candidates(df: DataFrame, attempt: int, key: str) -> DataFrame:
+    """`df` (k, c) with `s`, the surrogate of canonical form c of kind k, in canonical form."""
+    k, c = F.col("k"), F.col("c")
+    seed = F.concat_ws("|", F.lit(key), k, F.lit(str(attempt)))
+    df = df.withColumns(parts(k, c))
+    df = permuted(df, "_body", F.concat_ws("|", seed, F.col("_kept")), F.col("_hex"))
+    # one domain has one surrogate, whoever is in it
+    df = permuted(df, "_site", F.concat_ws("|", F.lit(key), F.lit("domain"), F.col("_end")), F.lit(False))
+    body = F.col("_body")
+    address = F.array_join(F.transform(F.sequence(F.lit(1), F.length(body) - 1, F.lit(2)), lambda i: F.conv(F.substr(body, i, F.lit(2)), 16, 10)), ".")
+    want = (F.lit(10) + luhn(c) - luhn(F.concat("_kept", body, F.lit("0")))) % 10
+    # letters of no alphabet are replaced by a hash of the whole
+    odd = c.rlike(ODD)
+    spelt = F.concat(F.regexp_replace(body, ODD, "x"), F.substr(F.translate(_stream(seed, c), DIGITS, "ghijklmnop"), F.lit(1), F.lit(12)))
+    local = F.when(odd, spelt).otherwise(body)
+    s = (
+        F.when(k == "email", F.concat(local, F.lit("@"), F.regexp_replace("_site", ODD, "x"), F.lit("."), F.col("_end"))).when((k == "ipv4") & F.col("_hex"), F.concat("_kept", address))
+        .when(k == "card", F.concat(F.col("_kept"), body, want.cast("string"))).when(k == "name", _name(c, attempt, key)).otherwise(F.concat("_kept", body))
+    )
+    return df.withColumn("s", s).drop("_kept", "_body", "_hex", "_site", "_end")
 
 
 def render(e: Column, k: Column, s: Column) -> Column:
@@ -172,25 +193,40 @@ def render(e: Column, k: Column, s: Column) -> Column:
     return F.when(k.isin("card", "ssn", "phone"), overlaid).when(k == "token", s).when(k == "iban", spaced).when(k == "name", named).when(k == "ipv4", s).otherwise(cased)
 
 
-def surrogates(found: DataFrame, key: str) -> DataFrame:
-    """(k, c, s): a surrogate for each distinct entity (k, c), distinct within its kind and from every real entity."""
-    real = cut(found.select("k", "c").distinct(), "pii-real")
-    taken, left = None, real
+def surrogates(real: DataFrame, key: str) -> DataFrame:
+    """(k, c, s): a surrogate for each distinct entity (k, c) of `real`, distinct within its kind.
+
+    None is a real entity of the corpus as long as one of MAX_ROUNDS keys gives
+    a free one. What is left after them, in a kind whose space is nearly full,
+    gets what the first key gives: the form of another real entity, itself
+    replaced, so that surrogates still are distinct. (A form that the first key
+    maps to itself, one in the size of the kind's space, then stays.) The result
+    is a written table.
+    """
+    pairs = real.select("k", "c")
+    taken, left, tables = None, pairs, []
     for attempt in range(MAX_ROUNDS):
-        tried = left.withColumn("s", candidate(F.col("k"), F.col("c"), attempt, key))
-        tried = tried.join(real.select("k", F.col("c").alias("s"), F.lit(True).alias("_real")), ["k", "s"], "left")
+        # written first: a join on s would have Spark copy its expression into filters
+        drawn = cut(candidates(left, attempt, key), "pii-drawn")
+        tried = drawn.join(real.select("k", F.col("c").alias("s"), F.lit(True).alias("_real")), ["k", "s"], "left")
         if taken is not None:
             tried = tried.join(taken.select("k", "s", F.lit(True).alias("_taken")), ["k", "s"], "left")
         else:
             tried = tried.withColumn("_taken", F.lit(None).cast("boolean"))
         first = tried.groupBy("k", "s").agg(F.min("c").alias("_first"))
         judged = cut(tried.join(first, ["k", "s"]).select("k", "c", "s", (F.col("_real").isNull() & F.col("_taken").isNull() & (F.col("c") == F.col("_first"))).alias("ok")), "pii-try")
+        tables.append(judged)
+        forget(drawn)
         won = judged.where("ok").select("k", "c", "s")
         taken = won if taken is None else taken.union(won)
         left = judged.where("not ok").select("k", "c")
         if not left.limit(1).count():
-            return taken
-    raise RuntimeError(f"no free surrogates after {MAX_ROUNDS} rounds")
+            break
+    else:
+        taken = taken.union(candidates(left, 0, key).select("k", "c", "s"))
+    out = cut(taken, "pii-known")
+    forget(*tables)
+    return out
 
 
 def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,9 +247,12 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: s
     some = safe.where(hinted).select(ident.alias("_id"), mark.alias("_t"), entities(text).alias("_e")).where(F.size("_e") > 0)
     some = cut(some.groupBy("_id", "_t").agg(F.first("_e").alias("_e")), "pii-found")
     each = some.select("_id", "_t", F.posexplode("_e").alias("p", "e")).select("_id", "_t", "p", "e", kind(F.col("e")).alias("k"), canonical(F.col("e")).alias("c"))
-    known = surrogates(each, key)
-    done = each.join(known, ["k", "c"]).select("_id", "_t", F.struct("p", render(F.col("e"), F.col("k"), F.col("s")).alias("r")).alias("x"))
-    done = done.groupBy("_id", "_t").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["r"]).alias("_r"))
+    real = cut(each.groupBy("k", "c").agg(F.count("*").alias("n")), "pii-real")
+    total = real.agg(F.sum("n")).first()[0] or 0
+    known = surrogates(real, key)
+    done = lookup(each, known, ["k", "c"], hot(real, ["k", "c"], total)).select("_id", "_t", F.struct("p", render(F.col("e"), F.col("k"), F.col("s")).alias("r")).alias("x"))
+    done = cut(done.groupBy("_id", "_t").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["r"]).alias("_r")), "pii-done")
+    forget(some, real, known)
     plain = F.split(text, PATTERN, -1)
     rebuilt = F.concat(F.array_join(F.zip_with(F.slice(plain, 1, F.size("_r")), F.col("_r"), lambda a, b: F.concat(a, b)), ""), F.element_at(plain, -1))
     hit = safe.where(hinted).join(done, ident.eqNullSafe(F.col("_id")) & (mark == F.col("_t")), "left")

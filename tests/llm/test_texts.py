@@ -225,6 +225,29 @@ def test_collisions_are_resolved(spark):
     assert len(set(out)) == 500 and not {f"{n}@x.org" for n in names} & {t.split()[-1] for t in out}
 
 
+def test_a_full_kind_has_surrogates(spark):
+    """60,000 of the 65,536 addresses of a private range, and every surrogate once."""
+    hosts = random.Random(3).sample(range(65536), 60000)
+    real = spark.createDataFrame([("ipv4", f"192.168.{h >> 8}.{h & 255}") for h in hosts], "k string, c string")
+    got = {r["c"]: r["s"] for r in pii.surrogates(real, "key").collect()}
+    assert len(got) == len(set(got.values())) == 60000 and all(re.fullmatch(r"192\.168\.\d{1,3}\.\d{1,3}", s) for s in got.values())
+    assert sum(c == s for c, s in got.items()) <= 8
+    # free addresses are used before real ones
+    free = len(set(got.values()) - got.keys())
+    assert free > 0.6 * 5536
+    few = {r["c"]: r["s"] for r in pii.candidates(real.limit(200), 0, "key").collect()}
+    assert all(got[c] == s or s in got for c, s in few.items())
+
+
+def test_formats_are_permuted(spark):
+    """All texts of a short format: the network maps them onto themselves, one to one."""
+    rows = [(f"{a}{b}{d}",) for a in "abcdefghijklmnopqrstuvwxyz" for b in "абв" for d in range(10)] + [(f"{i:03d}",) for i in range(1000)] + [("",), ("-",)]
+    out = [(r["t"], r["s"]) for r in pii.permuted(spark.createDataFrame(rows, "t string").withColumn("s", F.col("t")), "s", F.lit("seed"), F.lit(False)).collect()]
+    assert len({s for _, s in out}) == len(rows)
+    shape = lambda t: re.sub("[a-z]", "a", re.sub("[а-я]", "я", re.sub("[0-9]", "9", t)))
+    assert all(shape(t) == shape(s) for t, s in out) and sum(t == s for t, s in out) < 20
+
+
 def test_personal_data_in_odd_rows(spark):
     docs = odd_documents(random.Random(6)) + [(1, "a@b.org"), (1, "a@b.org"), (None, "call 555-1234"), (1, "c@b.org " * 3000)]
     df = spark.createDataFrame([(*d, 5, "x") for d in docs], "doc_id long, text string, n_entities int, k string")
