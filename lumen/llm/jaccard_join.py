@@ -30,8 +30,8 @@ from .components import components
 N_WORDS, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH = 24, 8
 TARGET_RECALL = 0.99999
-#: Classes that one task compares with each other at once, and shingles that they may have.
-BLOCK, WEIGHT = 384, 1 << 22
+#: Classes of a block, of which a task takes two, and shingles that a block may have; classes compared with each other at once.
+BLOCK, WEIGHT, STEP = 1536, 1 << 22, 384
 #: Places of the histogram of similarities from the threshold to 1.
 BINS = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -259,10 +259,10 @@ def _verify(rows: DataFrame, d: int, before: int | None, least: int, trees: int,
         seen, pairs = np.zeros((most + 1) * BINS, np.int64), 0
         a = np.arange(len(side)) if one else np.flatnonzero(side == 0)
         b = a if one else np.flatnonzero(side == 1)
-        for x in range(0, len(a), BLOCK):
-            for y in range(x if one else 0, len(b), BLOCK):
-                p = a[x : x + BLOCK]
-                q = p if one and x == y else b[y : y + BLOCK]
+        for x in range(0, len(a), STEP):
+            for y in range(x if one else 0, len(b), STEP):
+                p = a[x : x + STEP]
+                q = p if one and x == y else b[y : y + STEP]
                 if not len(p) or not len(q):
                     continue
                 wanted = _together(some, p, q) if tree < 0 else (home[p][:, None] != home[q][None, :]) & ~_together(never, p, q)
@@ -353,6 +353,9 @@ def classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tre
     one = sigs.where("ck is not null").groupBy("ck").agg(first.alias("r"), F.first("size").alias("size"), F.first("label").alias("label"), F.count("*").alias("n_docs"))
     classed = cut(one.select("ck", "r.none", "r.doc_id", "r._t", "size", "label", "n_docs").withColumn("cid", F.monotonically_increasing_id()), "forest-classes")
     total = classed.count()
+    # the labels are with the classes now
+    labelled, sigs = sigs, cut(sigs.select("doc_id", "_t", "ck"), "forest-ids")
+    forget(labelled)
     # the tries: of each tree, the labels that share a node of the least depth with another one, in order
     split = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("label"), t * (2 * most) + 1, F.lit(2 * most)))
     rows = classed.select("cid", F.posexplode(split).alias("tree", "label")).withColumn("node", F.substring("label", 1, 2 * least))
@@ -383,6 +386,7 @@ def classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tre
 
     def verify(groups: DataFrame, d: int, before: int | None) -> int:
         groups = cut(groups, "forest-groups")
+        tidy(spark)
         tables.append(cut(_verify(_tasks(groups, threshold, total).join(about, "cid"), d, before, least, trees, most, threshold), "forest-found"))
         forget(groups)
         count = 0

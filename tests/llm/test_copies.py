@@ -52,7 +52,7 @@ def edited(rng, text, share):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("block", [384, 4])
+@pytest.mark.parametrize("block", [1536, 4])
 def test_join_finds_every_link(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = random.Random(4)
