@@ -11,7 +11,7 @@ REALTIME_MS, STRONG, MODERATE = 100.0, 10.0, 3.0
 #: Metrics that model search can optimise.
 OPTIMISABLE = ("accuracy", "f1", "f1_macro", "roc_auc", "rmse", "fbeta")
 
-# fixed values: what descriptions say
+#: What descriptions say, as patterns.
 NUMBER = r"(\d+(?:\.\d+)?)"
 COUNT = r"(\d[\d,]*)"
 NOT_COUNTS = rf"[$€£]\s*\d[\d,.]*|{NUMBER}\s*(?:%|percent\b|x\b|times\b|ms\b|milliseconds?\b|s\b|secs?\b|seconds?\b|minutes?\b|hours?\b)|\b(?:next|last|past|coming|upcoming)\s+\d+\s+\w+|\d+\s+(?:days?|weeks?|months?|quarters?|years?)\s+ahead"
@@ -19,6 +19,7 @@ CAPACITY = [
     rf"\btop\s+{COUNT}", rf"\b(?:capacity|bandwidth|room)\s+(?:for|of)\s+(?:\w+\s+)?{COUNT}", rf"\b(?:short)?list\s+of\s+{COUNT}",
     rf"\b(?:no more than|at most|up to|maximum of|only)\s+(?:\w+\s+){{0,2}}{COUNT}", rf"\b(?:can|could|able to)\s+(?:\w+\s+){{0,2}}{COUNT}",
     rf"\b(?:call|contact|review|inspect|audit|investigate|visit|handle)s?\s+{COUNT}",
+    rf"\b{COUNT}\s+\w+\s+(?:per|a|an|each|every)\s+(?:hour|shift|day|week|month|quarter|year)\b",
 ]
 SERVING = r"latency|respon[ds]|repl(?:y|ies)|scor(?:e|ing)|serv(?:e|ing)|endpoint|inference|\bapi\b"
 TRAINING = r"\b(?:re)?train"
@@ -34,10 +35,9 @@ ESTIMATE = r"\bestimat|\bhow (?:much|many)\b|\bregress"
 CLASSIFY = r"\bclassif|\bdetect|\bidentif|\bflag\b|\bcategori[sz]e"
 OUTLIERS = r"\boutliers?\b|\brobust\b|heavy[- ]tail"
 PROTECTED = {
-    "gender": r"\bgender\b|\bsex\b", "age": r"(?<![a-z])age(?![a-z])", "race": r"\brace\b|\bracial\b", "ethnicity": r"\bethnic", "religion": r"\breligio", "disability": r"\bdisab(?:led|ilit)",
+    "gender": r"\bgender\b|\bsex\b", "age": r"(?<![a-z])age(?![a-z])|\b(?:date of birth|birth ?dates?|year of birth|dob)\b", "genetic_information": r"\bgenetic", "race": r"\brace\b|\bracial\b", "ethnicity": r"\bethnic", "religion": r"\breligio", "disability": r"\bdisab(?:led|ilit)",
     "national_origin": r"\bnationalit|\bnational origin", "marital_status": r"\bmarital", "sexual_orientation": r"\bsexual orientation", "zip_code": r"\bzip[ _-]?codes?\b|\bpostal codes?\b", "pregnancy": r"\bpregnan", "veteran_status": r"\bveteran",
 }
-# end of fixed values
 
 
 def normalise(text: Column) -> Column:

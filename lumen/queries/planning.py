@@ -10,34 +10,34 @@ from .registry import query
 
 #: text, capacity, latency, fp, fn, interpretable, forecast, protected, objective
 CASES = [
-    ("We can only call 100 customers a month", 100, None, 1, 1, False, False, "", "rank"),
-    ("score the top 50 leads for the sales team", 50, None, 1, 1, False, False, "", "rank"),
-    ("the fraud team can review 20 cases/day", 20, None, 1, 1, False, False, "", "rank"),
-    ("we have capacity for 1,200 inspections", 1200, None, 1, 1, False, False, "", "rank"),
-    ("give me a shortlist of 25 candidates", 25, None, 1, 1, False, False, "", "rank"),
-    ("target the top 10% of leads", None, None, 1, 1, False, False, "", "rank"),
-    ("forecast demand for the next 3 months", None, None, 1, 1, False, True, "", "estimate"),
-    ("we can only spend $5000 on this", None, None, 1, 1, False, False, "", "classify"),
-    ("must respond in under 50ms", None, 50, 1, 1, False, False, "", "classify"),
-    ("scoring latency must be under 2 seconds", None, 2000, 1, 1, False, False, "", "classify"),
-    ("retraining should finish in under 30 minutes", None, None, 1, 1, False, False, "", "classify"),
-    ("we need real-time scoring at checkout", None, 100, 1, 1, False, False, "", "classify"),
-    ("missing a fraud case costs 10x a false alarm", None, None, 1, 10, False, False, "", "classify"),
-    ("a false positive costs 5x more than a missed detection", None, None, 5, 1, False, False, "", "classify"),
-    ("false positives are expensive for us", None, None, 3, 1, False, False, "", "classify"),
-    ("we can’t afford to miss any fraud", None, None, 1, 10, False, False, "", "classify"),
-    ("we don't really care about false positives here", None, None, 1, 1, False, False, "", "classify"),
-    ("we need to explain decisions to regulators", None, None, 1, 1, True, False, "", "classify"),
-    ("it can't be a black box", None, None, 1, 1, True, False, "", "classify"),
-    ("we can only audit 20 accounts a day", 20, None, 1, 1, False, False, "", "rank"),
-    ("this is a time series problem", None, None, 1, 1, False, True, "", "estimate"),
-    ("don't discriminate by gender or age", None, None, 1, 1, False, False, "gender,age", "classify"),
-    ("must be fair and must not use race, gender or zip code", None, None, 1, 1, False, False, "race,gender,zip_code", "classify"),
-    ("estimate the mileage of used cars from usage data", None, None, 1, 1, False, False, "", "estimate"),
-    ("do not discriminate by sexual orientation", None, None, 1, 1, False, False, "sexual_orientation", "classify"),
-    ("don't let age_group drive the decision", None, None, 1, 1, False, False, "age", "classify"),
-    ("rank leads by likelihood to convert", None, None, 1, 1, False, False, "", "rank"),
-    ("estimate how much a customer will spend", None, None, 1, 1, False, False, "", "estimate"),
+    ("our two agents can phone 340 households before the campaign ends", 340, None, 1, 1, False, False, "", "rank"),
+    ("send us the top 75 machines to service", 75, None, 1, 1, False, False, "", "rank"),
+    ("the lab can inspect 12 samples", 12, None, 1, 1, False, False, "", "rank"),
+    ("there is room for 2,500 parcels", 2500, None, 1, 1, False, False, "", "rank"),
+    ("the panel wants a list of 8 essays", 8, None, 1, 1, False, False, "", "rank"),
+    ("the nurses handle 45 patients per shift", 45, None, 1, 1, False, False, "", "rank"),
+    ("we mail 500 letters per week", 500, None, 1, 1, False, False, "", "rank"),
+    ("keep the top 15% of orchards", None, None, 1, 1, False, False, "", "rank"),
+    ("how many buses are needed over the next 6 weeks", None, None, 1, 1, False, True, "", "estimate"),
+    ("the budget allows up to €900", None, None, 1, 1, False, False, "", "classify"),
+    ("the api replies within 35 milliseconds", None, 35, 1, 1, False, False, "", "classify"),
+    ("serving may take 4 seconds", None, 4000, 1, 1, False, False, "", "classify"),
+    ("training may take 3 minutes", None, None, 1, 1, False, False, "", "classify"),
+    ("the gate decides in real time", None, 100, 1, 1, False, False, "", "classify"),
+    ("an overlooked leak is 7 times as bad as a needless dig", None, None, 1, 7, False, False, "", "classify"),
+    ("a false alarm is 4x as bad as a missed leak", None, None, 4, 1, False, False, "", "classify"),
+    ("false alarms are quite costly in a hospital", None, None, 3, 1, False, False, "", "classify"),
+    ("the inspectors must not miss a cracked beam", None, None, 1, 10, False, False, "", "classify"),
+    ("the rejected applicants get reason codes", None, None, 1, 1, True, False, "", "classify"),
+    ("predictions have to be transparent", None, None, 1, 1, True, False, "", "classify"),
+    ("model the tide one day ahead", None, None, 1, 1, False, True, "", "estimate"),
+    ("religion and marital status must play no part", None, None, 1, 1, False, False, "religion,marital_status", "classify"),
+    ("no use of postal codes, ethnicity or disability", None, None, 1, 1, False, False, "zip_code,ethnicity,disability", "classify"),
+    ("the voltage of the average package", None, None, 1, 1, False, False, "", "classify"),
+    ("leave out date of birth and genetic markers", None, None, 1, 1, False, False, "age,genetic_information", "classify"),
+    ("prioritise repairs of water mains", None, None, 1, 1, False, False, "", "rank"),
+    ("estimate the weight of a harvest", None, None, 1, 1, False, False, "", "estimate"),
+    ("flag broken seals", None, None, 1, 1, False, False, "", "classify"),
     ("", None, None, 1, 1, False, False, "", "classify"),
     (None, None, None, 1, 1, False, False, "", "classify"),
 ]
@@ -60,18 +60,18 @@ def plan_text(spark, d):
 
 #: text, task, imbalance, metric, metric of the search, beta squared
 METRICS = [
-    ("call 100 customers a month at most 100", "binary", 0.4, "precision_at_k", "f1", 1),
-    ("predict churn", "binary", 0.01, "pr_auc", "roc_auc", 1),
-    ("predict churn", "binary", 0.1, "roc_auc", "roc_auc", 1),
-    ("predict churn", "binary", 9.0, "roc_auc", "roc_auc", 1),
-    ("predict churn", "binary", 0.5, "f1", "f1", 1),
-    ("predict churn", "binary", 0.95, "accuracy", "accuracy", 1),
-    ("predict churn", "binary", None, "roc_auc", "roc_auc", 1),
-    ("missing a fraud case costs 9x a false alarm", "binary", 0.5, "fbeta", "fbeta", 9),
-    ("missing a fraud case costs 9x a false alarm", "multiclass", None, "f1_macro", "f1_macro", 9),
-    ("predict house prices", "regression", None, "rmse", "rmse", 1),
-    ("a few extreme outliers shouldn't dominate", "regression", None, "mae", "rmse", 1),
-    ("predict churn", None, None, "f1_macro", "f1_macro", 1),
+    ("the crew can visit 60 wells", "binary", 0.4, "precision_at_k", "f1", 1),
+    ("which pumps will stop", "binary", 0.02, "pr_auc", "roc_auc", 1),
+    ("which pumps will stop", "binary", 0.2, "roc_auc", "roc_auc", 1),
+    ("which pumps will stop", "binary", 8.0, "roc_auc", "roc_auc", 1),
+    ("which pumps will stop", "binary", 0.6, "f1", "f1", 1),
+    ("which pumps will stop", "binary", 0.9, "accuracy", "accuracy", 1),
+    ("which pumps will stop", "binary", None, "roc_auc", "roc_auc", 1),
+    ("an overlooked leak is 6x as bad as a needless dig", "binary", 0.5, "fbeta", "fbeta", 6),
+    ("an overlooked leak is 6x as bad as a needless dig", "multiclass", None, "f1_macro", "f1_macro", 6),
+    ("the depth of a well", "regression", None, "rmse", "rmse", 1),
+    ("the depth of a well, robust to odd readings", "regression", None, "mae", "rmse", 1),
+    ("which pumps will stop", None, None, "f1_macro", "f1_macro", 1),
 ]
 
 
@@ -82,8 +82,8 @@ def plan_metric(spark, d):
     return out.select("i", "metric", "search_metric", "beta", F.round("threshold", 6).alias("threshold"))
 
 
-@query("plan_semantics", "SELECT * FROM (VALUES ('customer_age', true, false), ('account_age_days', false, false), ('genderCode', true, false), ('churned_flag', false, true), ('mileage', false, false)) AS v(\"column\", sensitive, leakage)")
+@query("plan_semantics", "SELECT * FROM (VALUES ('driver_age', true, false), ('engine_age_days', false, false), ('genderOfOwner', true, false), ('stopped_at', false, true), ('tonnage', false, false)) AS v(\"column\", sensitive, leakage)")
 def plan_semantics(spark, d):
-    names = ["customer_age", "account_age_days", "genderCode", "churned_flag", "mileage"]
-    s, k = semantics.sensitive_columns(names), semantics.leakage_suspects(names, "churned")
+    names = ["driver_age", "engine_age_days", "genderOfOwner", "stopped_at", "tonnage"]
+    s, k = semantics.sensitive_columns(names), semantics.leakage_suspects(names, "stopped")
     return spark.createDataFrame([(c, c in s, c in k) for c in names], "column string, sensitive boolean, leakage boolean")

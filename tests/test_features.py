@@ -9,8 +9,9 @@ import pytest
 from lumen.operators.features import OPS, FeatureSpec, FeatureTransformer, triage, validate_specs
 
 SCHEMA = "id int, amount double, qty double, city string, dept string, ts string, y double"
-TRAIN = [(i, None if i == 5 else -12.5 if i == 3 else 25000.0 if i == 7 else float(i * 37 % 101), float(i % 5), ["NYC", "LA", "CHI", None][i % 4], "solo" if i == 11 else ["eng", "ops"][i % 2], f"2021-0{i % 9 + 1}-0{i % 7 + 1}", float(i % 7)) for i in range(48)]
-SERVE = [(0, 1e7, 11.0, "MARS", "atlantis", "2022-05-07", 0.0), (1, None, 0.0, None, None, None, 1.0), (2, -9999.0, None, "NYC", "solo", "not a date", 2.0), (3, 50.0, 3.0, "LA", "eng", "2021-01-02", 3.0)]
+#: Harvests of fields: weights with a gap, a debt and a spike; sorts and farms with gaps and one farm of a single row.
+TRAIN = [(i, {4: None, 9: -3.25, 20: 8800.0}.get(i, round(11.5 + i * i % 29 / 4, 2)), float(i % 3), ["rye", "oats", None, "barley", "rye"][i % 5], "hill" if i == 17 else ["north", "south", "west"][i % 3], f"2019-{i % 12 + 1:02d}-{i % 27 + 1:02d}", (i * 5 % 13) / 2) for i in range(60)]
+SERVE = [(0, 64000.0, 7.5, "millet", "delta", "2030-11-30", 0.0), (1, None, 0.0, None, None, None, 0.5), (2, -777.5, None, "oats", "hill", "soon", 1.0), (3, 14.25, 2.0, "rye", "west", "2019-06-16", 1.5)]
 SPECS = {
     "log1p": {"col": "amount"}, "ratio": {"a": "amount", "b": "qty"}, "product": {"a": "amount", "b": "qty"}, "datetime_parts": {"col": "ts"}, "winsorize": {"col": "amount"},
     "quantile_bin": {"col": "amount", "n_bins": 4}, "frequency_encode": {"col": "city"}, "target_encode": {"col": "city"}, "group_aggregate": {"by": "dept", "col": "amount", "agg": "std"},
@@ -59,35 +60,39 @@ def fit_one(spark, rows, schema, op, params, target=None, serve=None):
 
 
 def test_frequency(spark):
-    rows = [(i, v) for i, v in enumerate(["a", "a", "a", "b", None])]
-    out = values(fit_one(spark, rows, "id int, c string", "frequency_encode", {"col": "c"}, serve=[(0, "a"), (1, "b"), (2, "zz"), (3, None)]), "c_freq")
-    assert out == [(0.6,), (0.2,), (0.0,), (None,)]
+    """Eight rows, one null: oats 3 / 8, rye 4 / 8."""
+    rows = list(enumerate(["rye", "oats", "rye", "oats", "rye", None, "oats", "rye"]))
+    out = values(fit_one(spark, rows, "id int, c string", "frequency_encode", {"col": "c"}, serve=[(0, "oats"), (1, "rye"), (2, "spelt"), (3, None)]), "c_freq")
+    assert out == [(0.375,), (0.5,), (0.0,), (None,)]
 
 
 def test_target_encoding(spark):
-    rows = list(zip(range(6), "aabbbc", [10.0, 20.0, 0.0, 0.0, 30.0, 100.0], strict=True))
-    out = values(fit_one(spark, rows, "id int, c string, y double", "target_encode", {"col": "c", "smoothing": 2.0}, "y", [(0, "a", 0.0), (1, "b", 0.0), (2, "c", 0.0), (3, "x", 0.0), (4, None, 0.0)]), "c_target_enc")
-    assert [round(v[0], 4) if v[0] is not None else None for v in out] == [20.8333, 16.6667, 51.1111, 26.6667, None]
+    """Mean of all 6; p: (2 + 4 + 3 * 6) / 5, q: (12 + 3 * 6) / 4, r: (3 + 9 + 6 + 3 * 6) / 6 with smoothing 3."""
+    rows = list(zip(range(6), "ppqrrr", [2.0, 4.0, 12.0, 3.0, 9.0, 6.0], strict=True))
+    out = values(fit_one(spark, rows, "id int, c string, y double", "target_encode", {"col": "c", "smoothing": 3.0}, "y", [(0, "p", 0.0), (1, "q", 0.0), (2, "r", 0.0), (3, "s", 0.0), (4, None, 0.0)]), "c_target_enc")
+    assert [round(v[0], 6) if v[0] is not None else None for v in out] == [4.8, 7.5, 6.0, 6.0, None]
 
 
 def test_group_aggregate_and_a_group_of_one(spark):
-    rows = [(i, g, v) for i, (g, v) in enumerate([("a", 1.0), ("a", 3.0), ("solo", 50.0), (None, 7.0)])]
+    rows = [(i, g, v) for i, (g, v) in enumerate([("u", 4.0), ("u", 10.0), ("u", 7.0), ("w", 31.0), (None, 8.0)])]
     schema = "id int, g string, v double"
-    serve = [(0, "a", 0.0), (1, "solo", 0.0), (2, "new", 0.0), (3, None, 0.0)]
+    serve = [(0, "u", 0.0), (1, "w", 0.0), (2, "z", 0.0), (3, None, 0.0)]
     std = [r[0] for r in values(fit_one(spark, rows, schema, "group_aggregate", {"by": "g", "col": "v", "agg": "std"}, serve=serve), "v_std_by_g")]
-    assert std[0] == pytest.approx(math.sqrt(2)) and std[1] is None and std[2] > 20 and std[3] is None
+    # over all five rows: squares 64, 4, 25, 361, 16 from the mean of 12
+    assert std[0] == pytest.approx(3.0) and std[1] is None and std[2] == pytest.approx(math.sqrt(470 / 4)) and std[3] is None
     mean = [r[0] for r in values(fit_one(spark, rows, schema, "group_aggregate", {"by": "g", "col": "v"}, serve=serve), "v_mean_by_g")]
-    assert mean == [2.0, 50.0, 15.25, None]
+    assert mean == [7.0, 31.0, 12.0, None]
 
 
 def test_ratio_log_product_and_dates(spark):
-    rows = [(0, 1.0, 2.0), (1, 1.0, 0.0), (2, -1.0, 0.0), (3, 1.0, None)]
-    assert values(fit_one(spark, rows, "id int, a double, b double", "ratio", {"a": "a", "b": "b"}), "a_ratio_b") == [(0.5,), (None,), (None,), (None,)]
-    rows = [(0, -5.0), (1, 0.0), (2, 3.0), (3, None), (4, float("inf"))]
-    assert [round(v[0], 5) if v[0] is not None else None for v in values(fit_one(spark, rows, "id int, a double", "log1p", {"col": "a"}), "a_log1p")] == [0.0, 0.0, 1.38629, None, None]
-    rows = [(0, "2021-01-02"), (1, "2021-03-15"), (2, None), (3, "bad")]
+    rows = [(0, 9.0, 4.0), (1, -6.0, 0.0), (2, 0.0, 5.0), (3, None, 2.0)]
+    assert values(fit_one(spark, rows, "id int, a double, b double", "ratio", {"a": "a", "b": "b"}), "a_ratio_b") == [(2.25,), (None,), (0.0,), (None,)]
+    rows = [(0, -0.5), (1, math.e - 1), (2, 0.0), (3, None), (4, float("inf"))]
+    assert [round(v[0], 9) if v[0] is not None else None for v in values(fit_one(spark, rows, "id int, a double", "log1p", {"col": "a"}), "a_log1p")] == [0.0, 1.0, 0.0, None, None]
+    # 29 February 2016 was a Monday, 24 July 2022 a Sunday
+    rows = [(0, "2016-02-29"), (1, "2022-07-24"), (2, None), (3, "later")]
     got = values(fit_one(spark, rows, "id int, t string", "datetime_parts", {"col": "t"}), "t_dayofweek", "t_month", "t_is_weekend")
-    assert got == [(5.0, 1.0, 1.0), (0.0, 3.0, 0.0), (None, None, None), (None, None, None)]
+    assert got == [(0.0, 2.0, 0.0), (6.0, 7.0, 1.0), (None, None, None), (None, None, None)]
 
 
 def test_problems_are_reported_not_raised():
