@@ -76,13 +76,15 @@ def label_index(df: DataFrame, column: str, out: str = "label") -> DataFrame:
 
 def sanitise(names: list[str]) -> list[str]:
     """Names without brackets and angle brackets, made distinct by __n."""
-    seen: dict[str, int] = {}
-    out = []
-    for name in names:
-        clean = re.sub(r"[\[\]<>]", "_", name).strip()
-        n = seen.get(clean, 0)
-        seen[clean] = n + 1
-        out.append(f"{clean}__{n}" if n else clean)
+    clean = [re.sub(r"[\[\]<>]", "_", name).strip() for name in names]
+    taken, used, out = set(clean), set(), []
+    for name in clean:
+        new, n = name, 0
+        while new in used or (n and new in taken):
+            n += 1
+            new = f"{name}__{n}"
+        used.add(new)
+        out.append(new)
     return out
 
 

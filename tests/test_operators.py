@@ -84,6 +84,7 @@ def test_preprocessor_replays(spark):
     assert m.output_columns == ["x", "x_is_missing", "c_MISSING", "c_a", "c_b"]
     assert [tuple(r) for r in out] == [(0.0, 0.0, 0.0, 0.0, 0.0), (0.0, 1.0, 0.0, 1.0, 0.0)]
     assert prep.sanitise(["a[b]", "a_b_", "a<b>"]) == ["a_b_", "a_b___1", "a_b___2"]
+    assert prep.sanitise(["a", "a", "a__1"]) == ["a", "a__2", "a__1"]
 
 
 def test_regularisation_matches_closed_forms(spark):
