@@ -1,8 +1,8 @@
 """The feature language: declared specs, learned once, replayed on any batch.
 
 Specs are compiled, not interpreted: `fit` learns every scalar parameter in one
-aggregation and every keyed table in one group-by a key column; `transform` is
-one broadcast-or-shuffle lookup a key column and one select.
+aggregation and every keyed table in one group-by a key column, written once;
+`transform` is one broadcast-or-shuffle lookup a key column and one select.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import clip, double, finite, is_numeric, quantile, ratio
+from ..functions.persist import Saved, frozen
 
 AGGREGATES = ("mean", "median", "std", "max", "min")
 #: Patterns that date texts may follow, tried in this order.
@@ -233,7 +234,7 @@ class FeatureTransformer(Estimator):
                     cols.append(F.when(F.col(f"t{i}_n") + s > 0, (F.coalesce(F.col(f"t{i}_n") * F.col(f"t{i}_m"), F.lit(0.0)) + s * g) / (F.col(f"t{i}_n") + s)).otherwise(F.lit(g)).alias(f"t{i}"))
                 elif spec.op == "group_aggregate" and p["by"] == by:
                     cols.append(double(f"t{i}").alias(f"t{i}"))
-            learned[by] = table.select("_k", *cols)
+            learned[by] = frozen(table.select("_k", *cols))
         return FeatureModel(self.specs, got, learned)
 
     def _check(self, got: dict) -> None:
@@ -251,8 +252,8 @@ class FeatureTransformer(Estimator):
                 raise ValueError(f"{spec.op}: no finite value to learn from")
 
 
-class FeatureModel(Model):
-    """Appends the outputs of learned specs to any batch; a row's outputs depend on that row alone."""
+class FeatureModel(Saved, Model):
+    """Appends the outputs of learned specs to any batch; a row's outputs depend on that row alone, never on the training data as it is later."""
 
     def __init__(self, specs: list[FeatureSpec], scalars: dict, tables: dict[str, DataFrame]):
         super().__init__()
@@ -271,6 +272,13 @@ class FeatureModel(Model):
         """Scalars by output name; keyed tables stay tables."""
         return {output_names(s)[0]: self.scalars[f"v{i}"] for i, s in enumerate(self.specs) if f"v{i}" in self.scalars}
 
+    def state(self):
+        return {"specs": [s.to_dict() for s in self.specs], "scalars": self.scalars}, self.tables, []
+
+    @classmethod
+    def restore(cls, values, tables, parts):
+        return cls([FeatureSpec.of(s) for s in values["specs"]], values["scalars"], tables)
+
     def _bounded(self, by: str) -> bool:
         """Whether a learned table has few enough keys to broadcast; counted once."""
         if by not in self._small:

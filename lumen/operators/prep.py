@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import clip, double, quantile
+from ..functions.persist import Saved
 from .profile import correlations
 
 #: A one-hot column has at most so many categories.
@@ -123,13 +124,22 @@ def _category(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("MISSING"))
 
 
-class PreprocessorModel(Model):
+class PreprocessorModel(Saved, Model):
     """Replays what was learned: one select, no shuffle. Categories never seen encode as zeros."""
 
     def __init__(self, spec: Preprocessor, bounds: dict, medians: dict, scale: dict, vocabulary: dict[str, list[str]]):
         super().__init__()
         self.spec, self.bounds, self.medians, self.scale, self.vocabulary = spec, bounds, medians, scale, vocabulary
 
+    def state(self):
+        s = self.spec
+        spec = {"numeric": s.numeric, "categorical": s.categorical, "clipped": s.clipped, "keep": s.keep, "indicators": s.indicators}
+        return {"spec": spec, "bounds": self.bounds, "medians": self.medians, "scale": self.scale, "vocabulary": self.vocabulary}, {}, []
+
+    @classmethod
+    def restore(cls, values, tables, parts):
+        return cls(Preprocessor(**values["spec"]), values["bounds"], values["medians"], values["scale"], values["vocabulary"])
+
     @property
     def output_columns(self) -> list[str]:
         hot = [f"{c}_{v}" for c in self.spec.categorical for v in self.vocabulary.get(c, [])]

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.persist import Saved
 from . import metrics as M
 
 #: Trees of an ensemble at most; searches at most so many trials unless asked for more.
@@ -137,11 +138,18 @@ class KernelMachine(Estimator):
         return PipelineModel([lift, one.fit(lift.transform(df))])
 
 
-class FourierFeatures(Model):
+class FourierFeatures(Saved, Model):
     def __init__(self, w: list, b: list):
         super().__init__()
         self.w, self.b = w, b
 
+    def state(self):
+        return {"w": self.w, "b": self.b}, {}, []
+
+    @classmethod
+    def restore(cls, values, tables, parts):
+        return cls(values["w"], values["b"])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         x = vector_to_array("features")
         rows = F.array(*[F.struct(F.array(*map(F.lit, w)).alias("w"), F.lit(b).alias("b")) for w, b in zip(self.w, self.b, strict=True)])
@@ -163,11 +171,20 @@ class NearestNeighbours(Estimator):
         return NeighboursModel(self, lsh, df.select("features", "label"), labels, prior)
 
 
-class NeighboursModel(Model):
+class NeighboursModel(Saved, Model):
     def __init__(self, spec: NearestNeighbours, lsh, rows: DataFrame, labels: list, prior: float):
         super().__init__()
         self.spec, self.lsh, self.rows, self.labels, self.prior = spec, lsh, rows, labels, prior
 
+    def state(self):
+        s = self.spec
+        spec = {"task": s.task, "k": s.k, "bucket": s.bucket, "tables": s.tables}
+        return {"spec": spec, "labels": self.labels, "prior": self.prior}, {"rows": self.rows}, [self.lsh]
+
+    @classmethod
+    def restore(cls, values, tables, parts):
+        return cls(NearestNeighbours(**values["spec"]), parts[0], tables["rows"], values["labels"], values["prior"])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         keyed = df.withColumn("_q", F.monotonically_increasing_id())
         near = self.lsh.approxSimilarityJoin(keyed.select("_q", "features"), self.rows, float("inf"), "_d").select(F.col("datasetA._q").alias("_q"), F.col("datasetB.label").alias("_y"), "_d")
@@ -303,13 +320,20 @@ def top(results: list[Result], n: int, metric: str) -> list[Result]:
     return sorted(results, key=lambda r: ((1 if metric in LOWER_IS_BETTER else -1) * r.cv_score, r.model_name))[:n]
 
 
-class VotingModel(Model):
+class VotingModel(Saved, Model):
     """Mean of the members' probabilities, or of their predictions for a regression."""
 
     def __init__(self, members: list[Model], task: str):
         super().__init__()
         self.members, self.task = members, task
 
+    def state(self):
+        return {"task": self.task}, {}, self.members
+
+    @classmethod
+    def restore(cls, values, tables, parts):
+        return cls(parts, values["task"])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         out, votes = df, []
         drop = ["prediction", "probability", "rawPrediction", "_lifted"]
@@ -329,11 +353,18 @@ class VotingModel(Model):
         return out.drop(*[f"_v{i}" for i in range(len(self.members))])
 
 
-class StackingModel(Model):
+class StackingModel(Saved, Model):
     def __init__(self, members: list[Model], meta: Model, task: str):
         super().__init__()
         self.members, self.meta, self.task = members, meta, task
 
+    def state(self):
+        return {"task": self.task}, {}, [self.meta, *self.members]
+
+    @classmethod
+    def restore(cls, values, tables, parts):
+        return cls(parts[1:], parts[0], values["task"])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         return self.meta.transform(_stack_features(df, self.members, self.task)).drop("_stack")
 

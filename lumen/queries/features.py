@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import persist
 from ..operators.features import FeatureSpec, FeatureTransformer
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
 LINE_SQL = ", ".join(LINE)
@@ -143,7 +144,19 @@ ALL = [
 )
 def feat_all(spark, d):
     df = table(spark, d, "lineitem")
-    out = FeatureTransformer(ALL, "l_tax").fit(df.where("l_orderkey % 5 <> 0")).transform(df.where("l_orderkey % 5 = 0"))
-    made = [c for c in out.columns if c not in df.columns]
+    return _all_columns(FeatureTransformer(ALL, "l_tax").fit(df.where("l_orderkey % 5 <> 0")).transform(df.where("l_orderkey % 5 = 0")), df.columns)
+
+
+def _all_columns(out, raw):
+    made = [c for c in out.columns if c not in raw]
     exact = {"l_extendedprice_log1p": 6, "l_linestatus_target_enc": 6, "l_extendedprice_mean_by_l_returnflag": 4}
     return out.select(*LINE, *[F.round(c, exact[c]).alias(c) if c in exact else F.col(c) for c in made])
+
+
+@query("feat_saved", ORACLES["feat_all"])
+def feat_saved(spark, d):
+    """All operations fitted, saved, loaded and replayed."""
+    df = table(spark, d, "lineitem")
+    path = persist.new_folder(spark, "features")
+    FeatureTransformer(ALL, "l_tax").fit(df.where("l_orderkey % 5 <> 0")).save(path)
+    return _all_columns(persist.load(spark, path).transform(df.where("l_orderkey % 5 = 0")), df.columns)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from ..functions import persist
 from ..operators import explain as X
 from ..operators import training as T
+from ..operators.features import FeatureTransformer
 from ..operators.prep import hash_fold
 from .profile import rounded
 from .registry import query, table
@@ -25,6 +28,24 @@ def train_least_squares(spark, d):
     return rounded(spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double"), 4)
 
 
+@query(
+    "model_bundle",
+    """WITH r AS (SELECT *, l_quantity * l_discount AS x FROM lineitem), f AS (SELECT regr_slope(l_extendedprice, x) AS a, regr_intercept(l_extendedprice, x) AS b FROM r WHERE l_orderkey % 5 <> 0)
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(a * x + b, 1) AS prediction FROM r, f WHERE l_orderkey % 5 = 0""",
+)
+def model_bundle(spark, d):
+    """Features, assembler and model fitted, saved, loaded from disk and replayed on rows that were not trained on."""
+    df = table(spark, d, "lineitem")
+    train = df.where("l_orderkey % 5 <> 0")
+    specs = FeatureTransformer([{"op": "product", "params": {"a": "l_quantity", "b": "l_discount"}}]).fit(train)
+    made = T.assemble(specs.transform(train), specs.output_columns, "l_extendedprice")
+    line = T.REGISTRY["ridge"].build("regression", {"alpha": 0.0}, T.facts(made, specs.output_columns)).fit(made)
+    path = persist.new_folder(spark, "bundle")
+    persist.Bundle([specs, VectorAssembler(inputCols=specs.output_columns, outputCol="features", handleInvalid="keep"), line], specs.required_columns).save(path)
+    out = persist.load(spark, path).transform(df.where("l_orderkey % 5 = 0"))
+    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("prediction", 1).alias("prediction"))
+
+
 @query("train_leaderboard")
 def train_leaderboard(spark, d):
     """Two families searched by cross-validation, and the Pareto set of score and latency."""

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import persist
+
 
 def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Read csv, parquet or json (by suffix unless named) with NaN as null."""
@@ -54,8 +56,13 @@ def write_baseline(df: DataFrame, path: str, target: str | None = None) -> None:
     (df.drop(target) if target else df).write.mode("overwrite").parquet(path)
 
 
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def score_batch(spark: SparkSession, source: str, model, sink: str, columns: list[str], fmt: str = "csv") -> DataFrame:
-    """Read, check the input columns, transform, write; returns what was written."""
+    """Read, check the input columns, transform, write; returns what was written. `model` is one, or the folder of a saved one."""
+    model = persist.load(spark, model) if isinstance(model, str) else model
     df = load(spark, source)
     require_columns(df, columns)
     out = model.transform(df)
