@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from ..functions.persist import Saved
 from . import metrics as M
 
-#: Trees of an ensemble at most; searches at most so many trials unless asked for more.
+#: A search tries ensembles of at most so many trees, and so many settings, unless asked for more.
 MAX_TREES, TRIALS = 50, 5
 LOWER_IS_BETTER = ("rmse", "mae", "mape")
 
@@ -58,14 +58,14 @@ def _trees(classifier, regressor, **fixed):
     def build(task: str, p: dict, facts: dict) -> Estimator:
         made = {"maxDepth": int(p.get("max_depth", 5)), "minInstancesPerNode": int(p.get("min_leaf", 1)), "seed": facts["seed"]} | fixed
         if "n_trees" in p:
-            made["numTrees"] = min(MAX_TREES, int(p["n_trees"]))
+            made["numTrees"] = int(p["n_trees"])
         return (regressor if task == "regression" else classifier)(featuresCol="features", labelCol="label", **made)
 
     return build
 
 
 def _boosted(task: str, p: dict, facts: dict) -> Estimator:
-    made = {"maxIter": min(MAX_TREES, int(p.get("n_trees", 20))), "maxDepth": int(p.get("max_depth", 4)), "stepSize": float(p.get("rate", 0.1)), "subsamplingRate": float(p.get("subsample", 0.9)), "seed": facts["seed"]}
+    made = {"maxIter": int(p.get("n_trees", 20)), "maxDepth": int(p.get("max_depth", 4)), "stepSize": float(p.get("rate", 0.1)), "subsamplingRate": float(p.get("subsample", 0.9)), "seed": facts["seed"]}
     if task == "regression":
         return R.GBTRegressor(featuresCol="features", labelCol="label", **made)
     one = C.GBTClassifier(featuresCol="features", labelCol="label", **made)
@@ -279,20 +279,24 @@ def cross_validate(df: DataFrame, make: Callable[[DataFrame], Estimator], metric
     return out
 
 
-def search(df: DataFrame, features: list[str], name: str, task: str, metric: str, trials: int = TRIALS, k: int = 3, seed: int = 42) -> Result:
-    """Random search over a family's space by cross-validated score on `df` (features, label, fold); the best setting is fitted on all of it."""
+def search(df: DataFrame, features: list[str], name: str, task: str, metric: str, trials: int = TRIALS, k: int = 3, seed: int = 42, max_trees: int = MAX_TREES) -> Result:
+    """Random search over a family's space by cross-validated score on `df` (features, label, fold); the best setting is fitted on all of it.
+
+    The first setting is the default one; those after it hold up to `max_trees` trees.
+    """
     if name in UNAVAILABLE:
         raise ValueError(f"{name}: {UNAVAILABLE[name]}")
     spec = REGISTRY[name]
     if task not in spec.tasks:
         raise ValueError(f"{name} does not fit a {task} task")
+    space = spec.space | ({"n_trees": (min(20, max_trees), max_trees)} if "n_trees" in spec.space else {})
     rng = np.random.default_rng(seed)
     known = facts(df, features, seed)
     rows = balanced_weights(df) if "balanced" in spec.space else df
     sign = -1 if metric in LOWER_IS_BETTER else 1
     best: tuple[float, dict, list[float]] | None = None
-    for trial in range(max(1, trials if spec.space else 1)):
-        p = sample_params(spec.space, rng) if trial else {}
+    for trial in range(max(1, trials if space else 1)):
+        p = sample_params(space, rng) if trial else {}
         scores = cross_validate(rows, lambda train, p=p: spec.build(task, p, known), metric, k)
         mean = sign * float(np.mean(scores))
         if best is None or mean > best[0]:
