@@ -87,6 +87,12 @@ def brier_log_loss(df: DataFrame, y: str, p: str, eps: float = 1e-15) -> DataFra
     return df.agg(F.avg(F.pow(double(p) - double(y), F.lit(2.0))).alias("brier"), F.avg(-(double(y) * F.log(q) + (1 - double(y)) * F.log(1 - q))).alias("log_loss"))
 
 
+def multiclass_log_loss(df: DataFrame, y: str, p: str, eps: float = 1e-15) -> DataFrame:
+    """Mean negative log of the probability, in array `p`, of the true class `y` (0, 1, ...); a null or unknown class counts as probability 0."""
+    own = F.coalesce(F.get(F.col(p), F.col(y).cast("int")), F.lit(0.0))
+    return df.agg(F.avg(-F.log(F.greatest(F.lit(eps), F.least(F.lit(1 - eps), own)))).alias("log_loss"))
+
+
 def calibration(df: DataFrame, y: str, p: str) -> DataFrame:
     """bin, n, confidence, accuracy over ten bins, closed to the left, the last on both sides."""
     inner = F.array(*[F.lit(e) for e in ECE_EDGES[1:-1]])
@@ -178,6 +184,12 @@ def majority(df: DataFrame, y: str) -> DataFrame:
     return c.agg(F.min_by("prediction", F.struct(-F.col("n"), "prediction")).alias("prediction"), (F.max("n") / F.sum("n")).alias("accuracy"))
 
 
+def mean_baseline(train: DataFrame, test: DataFrame, y: str) -> DataFrame:
+    """`regression` of the test rows when each is predicted the mean of the training rows."""
+    mean = train.agg(F.avg(double(y)).alias("_mean"))
+    return regression(test.join(F.broadcast(mean)), y, "_mean")
+
+
 def class_shares(df: DataFrame, y: str) -> DataFrame:
     c = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count("*").alias("n"))
     return c.agg((F.max("n") / F.sum("n")).alias("majority"), (F.min("n") / F.sum("n")).alias("minority"), F.sum("n").alias("n"))

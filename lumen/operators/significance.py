@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.persist import frozen
+
 EXACT_BELOW = 25
 #: Replicates a task draws; the statistics of a replicate are all that leaves it.
 REPLICATES_A_TASK = 250
@@ -63,36 +65,75 @@ def ties(scores: dict[str, list[float]], replicates: int = 2000, seed: int = 42,
     return leader, sorted(tied)
 
 
-def bootstrap_counts(df: DataFrame, y: str, predictions: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """model, mean, low, high: accuracy and its 95 % interval by a Poisson bootstrap of the rows.
+def _resampled(df: DataFrame, y: str, names: list[str], replicates: int, seed: int) -> DataFrame:
+    """model, replicate, n, and weighted sums hit, tp, fp, fn (of label 1) over Poisson(1) draws of the rows.
 
-    Each row is drawn Poisson(1) times in each replicate, from a generator
-    seeded by the replicate block and the row's partition, so rows are resampled
-    where they are and only sums a replicate are shuffled.
+    The generator is seeded by the row's partition, so rows are resampled where
+    they are, all models see the same draws, and only sums a replicate are
+    shuffled.
     """
-    names = list(predictions)
     blocks = -(-replicates // REPLICATES_A_TASK)
+    sums = ["hit", "tp", "fp", "fn"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        hit, n = np.zeros((replicates, len(names))), np.zeros(replicates)
+        got, n = np.zeros((replicates, len(sums) * len(names))), np.zeros(replicates)
         for batch in batches:
-            ok = np.column_stack([batch.column(j).to_numpy(zero_copy_only=False) for j in range(len(names))]).astype(float)
-            for lo in range(0, len(ok), 1000):
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            for lo in range(0, len(x), 1000):
+                part = x[lo : lo + 1000]
                 for block in range(blocks):
                     a, b = block * REPLICATES_A_TASK, min(replicates, (block + 1) * REPLICATES_A_TASK)
-                    w = rng.poisson(1.0, size=(b - a, len(ok[lo : lo + 1000])))
-                    hit[a:b] += w @ ok[lo : lo + 1000]
+                    w = rng.poisson(1.0, size=(b - a, len(part)))
+                    got[a:b] += w @ part
                     n[a:b] += w.sum(axis=1)
         for j, m in enumerate(names):
-            yield pa.RecordBatch.from_arrays([pa.array([m] * replicates), pa.array(np.arange(replicates)), pa.array(hit[:, j]), pa.array(n)], names=["model", "replicate", "hit", "n"])
+            own = [pa.array(got[:, j * len(sums) + i]) for i in range(len(sums))]
+            yield pa.RecordBatch.from_arrays([pa.array([m] * replicates), pa.array(np.arange(replicates)), pa.array(n), *own], names=["model", "replicate", "n", *sums])
+
+    flags = []
+    for j, m in enumerate(names):
+        ok, one, true = F.col(m) == F.col(y), F.col(m) == 1, F.col(y) == 1
+        flags += [F.coalesce(e, F.lit(False)).cast("int").alias(f"f{j}_{i}") for i, e in enumerate((ok, one & true, one & ~true, ~F.coalesce(one, F.lit(False)) & true))]
+    drawn = df.select(*flags).mapInArrow(run, "model string, replicate long, n double, hit double, tp double, fp double, fn double")
+    return drawn.groupBy("model", "replicate").agg(*[F.sum(c).alias(c) for c in ("n", *sums)])
+
+
+def _score(metric: str) -> Column:
+    if metric == "accuracy":
+        return F.try_divide("hit", "n")
+    if metric == "f1":
+        return F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    raise ValueError(f"no bootstrap of {metric!r}; accuracy and f1 are offered")
+
 
-    right = df.select(*[F.coalesce(F.col(m) == F.col(y), F.lit(False)).cast("int").alias(m) for m in names])
-    sums = right.mapInArrow(run, "model string, replicate long, hit double, n double").groupBy("model", "replicate").agg((F.sum("hit") / F.sum("n")).alias("v"))
+def bootstrap_counts(df: DataFrame, y: str, predictions: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """model, mean, low, high: accuracy and its 95 % interval by a Poisson bootstrap of the rows."""
+    scores = _resampled(df, y, list(predictions), replicates, seed).withColumn("v", _score("accuracy"))
     q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
-    return sums.groupBy("model").agg(F.avg("v").alias("mean"), q[0].alias("low"), q[1].alias("high"))
+    return scores.groupBy("model").agg(F.avg("v").alias("mean"), q[0].alias("low"), q[1].alias("high"))
+
+
+def tied(df: DataFrame, y: str, predictions: list[str], metric: str = "accuracy", replicates: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """model, mean, low, high, is_leader, tied: of the leader's score less each model's, the interval by a paired bootstrap of the rows.
+
+    The leader has the best mean score (ties to the smaller name). A model is
+    tied if its interval holds 0. A replicate in which any model's metric is
+    undefined counts for none; fewer than half of them left is an error.
+    """
+    scores = _resampled(df, y, list(predictions), replicates, seed).withColumn("v", _score(metric))
+    whole = frozen(scores.groupBy("replicate").agg(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("model", "v"))).alias("s")).where(F.size("s") == len(predictions)))
+    if 2 * whole.count() < replicates:
+        raise ValueError(f"{metric} is undefined in over half of the replicates")
+    each = whole.select("replicate", F.inline("s"))
+    leader = each.groupBy("model").agg(F.avg("v").alias("m")).orderBy(F.desc("m"), "model").first()["model"]
+    best = each.where(F.col("model") == leader).select("replicate", F.col("v").alias("best"))
+    q = F.percentile(F.col("best") - F.col("v"), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    gaps = each.join(best, "replicate").groupBy("model").agg(F.avg("v").alias("mean"), q.alias("q"))
+    out = gaps.select("model", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), (F.col("model") == leader).alias("is_leader"))
+    return out.withColumn("tied", (F.col("low") <= 0) & (F.col("high") >= 0))
 
 
 def metric_by_group(df: DataFrame, group: str, y: str, p: str, metric: Callable[[np.ndarray, np.ndarray], float]) -> DataFrame:

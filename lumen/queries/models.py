@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import persist
 from ..operators import explain as X
+from ..operators import run as R
 from ..operators import training as T
 from ..operators.features import FeatureTransformer
 from ..operators.prep import hash_fold
@@ -54,6 +55,20 @@ def train_leaderboard(spark, d):
     return T.leaderboard(spark, results, "roc_auc")
 
 
+@query(
+    "train_run",
+    """WITH r AS (SELECT l_orderkey % 5 = 0 AS t, l_quantity > 30 AS big FROM lineitem)
+    SELECT count(*) FILTER (WHERE NOT t) AS n_train, count(*) FILTER (WHERE t) AS n_test, round(avg((NOT big)::INT) FILTER (WHERE t), 9) AS baseline, true AS beaten, 'f1' AS metric FROM r""",
+)
+def train_run(spark, d):
+    """A whole run over raw rows; the sizes, the baseline, and whether the chosen model beats it on held-out rows."""
+    df = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate", "CASE WHEN l_quantity > 30 THEN 'big' ELSE 'a small one' END AS size")
+    got = R.run(df, "size", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["logistic_regression", "decision_tree"], is_test=F.expr("l_orderkey % 5 = 0"))
+    hit = got.model.transform(df.where("l_orderkey % 5 = 0")).join(df, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).agg(F.avg((F.col("predicted_label") == F.col("size")).cast("double"))).first()[0]
+    made = spark.createDataFrame([(got.rows["train"], got.rows["test"], got.baseline, hit > got.baseline, got.metric)], "n_train long, n_test long, baseline double, beaten boolean, metric string")
+    return made.withColumn("baseline", F.round("baseline", 9))
+
+
 @query("train_voting")
 def train_voting(spark, d):
     df = _rows(spark, d, "cast(l_extendedprice * l_discount > 1500 as int)")

@@ -76,3 +76,10 @@ def write_artifact(path: str, content: dict) -> None:
     """A JSON report; reports hold aggregates only."""
     with open(path, "w", encoding="utf-8") as f:
         json.dump(content, f, indent=2, default=str, sort_keys=True)
+
+
+def append_metrics(spark: SparkSession, path: str, run_id: str, metric: str, scores: dict[str, tuple[float, float]]) -> None:
+    """Add a row a model (score, latency in ms) to the table of runs below `path`."""
+    rows = [(run_id, model, metric, float(score), float(ms)) for model, (score, ms) in scores.items()]
+    made = spark.createDataFrame(rows, "run_id string, model string, metric string, score double, latency_ms double")
+    made.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
