@@ -118,8 +118,10 @@ def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec
     nb, nq = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
     place = rows.withColumns({"_h": F.pmod(F.xxhash64("_row"), F.lit(nb)), "_g": F.pmod(F.xxhash64("_row", F.lit(1)), F.lit(nq))})
     span = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))
-    data = place.select("_row", "_id", "_v", F.col("_h").alias("_db"), span(nq).alias("_qb"))
-    asked = place.where("_q").select("_row", "_id", "_v", F.col("_g").alias("_qb"), span(nb).alias("_db"))
+    # both sides come from one table: each gets attributes of its own, or pruning takes one side's for the other's
+    own = lambda *names: [F.col(c).alias(c) for c in names]
+    data = place.select(*own("_row", "_id", "_v"), F.col("_h").alias("_db"), span(nq).alias("_qb"))
+    asked = place.where("_q").select(*own("_row", "_id", "_v"), F.col("_g").alias("_qb"), span(nb).alias("_db"))
     schema = pa.schema([("qrow", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
