@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, packing, pii, quality, sharding, suffix_dedup, topk, toxicity
+from . import decontamination, jaccard_join, language_id, manifest, packing, pii, quality, sharding, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_decontamination": decontamination.query,
         "op9_toxicity": toxicity.query,
         "op10_sharding": sharding.query,
+        "op11_manifest": manifest.query,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict:
         "op4_topk": topk.oracle(),
         "op8_decontamination": decontamination.oracle(),
         "op10_sharding": sharding.oracle(),
+        "op11_manifest": manifest.oracle(),
     }
