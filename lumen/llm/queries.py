@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, manifest, packing, pii, prefix_trie, quality, sharding, suffix_dedup, topk, toxicity
+from . import decontamination, jaccard_join, language_id, manifest, packing, pii, prefix_trie, quality, secret_scan, sharding, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_toxicity": toxicity.query,
         "op10_sharding": sharding.query,
         "op11_manifest": manifest.query,
+        "op12_secret_scan": secret_scan.query,
         "op13_prefix_trie": prefix_trie.query,
     }
 
