@@ -19,10 +19,12 @@ from . import training as T
 from .features import FeatureSpec, FeatureTransformer
 from .prep import Preprocessor, binned_mutual_information, drop_null_target, hash_fold, select_by_information, split
 from .profile import class_balance, semantic_types, suggest_metric
-from .significance import tied
+from .significance import SUMMED, tied, ties
 
 #: Features are selected only where there are more than so many; a target has at most so many classes.
 GATE, CLASSES = 5, 1000
+#: Names that a run gives to columns of its own.
+RESERVED = ("label", "fold", "is_test", "row_of_run")
 
 
 @dataclass
@@ -96,6 +98,16 @@ def serving(fitted: Bundle, keep: list[str], labels: list[str] | None) -> Bundle
     return Bundle(steps, [*keep, *fitted.columns], labels)
 
 
+def constant(train: DataFrame, test: DataFrame, task: str) -> DataFrame:
+    """The test rows as one who knows only the training labels would score them: their mean, or the most frequent class and the classes' shares."""
+    if task == "regression":
+        return test.withColumn("prediction", F.lit(train.agg(F.avg("label")).first()[0]))
+    counts = {int(r["label"]): r["count"] for r in train.groupBy("label").count().collect()}
+    total, most = sum(counts.values()), min(counts, key=lambda c: (-counts[c], c))
+    shares = array_to_vector(F.array(*[F.lit(counts.get(c, 0) / total) for c in range(max(2, max(counts) + 1))]))
+    return test.withColumns({"prediction": F.lit(float(most)), "probability": shares})
+
+
 @dataclass
 class Outcome:
     """What a run found; `tests` and `tied` are of the held-out rows."""
@@ -117,12 +129,15 @@ def run(df: DataFrame, target: str, key: list[str], names: list[str] | None = No
 
     Rows without a target are left out. `is_test` marks the held-out rows; without
     it a hash of the key does. `trials` settings a family, the first the default
-    one. `tied` holds the models whose accuracy on the held-out rows may equal the
-    leader's (classes only). A column `label` may only be the target.
+    one. The baseline (the most frequent class, or the mean) and the ties are
+    judged by the run's own metric: `tied` holds the models that may equal the
+    leader, on the held-out rows where sums over rows give the metric and else on
+    the folds. Columns named in RESERVED are refused; `label` may be the target.
     """
     check_target(df, target)
-    if "label" in df.columns and target != "label":
-        raise ValueError("a column 'label' that is not the target must be renamed")
+    taken = [c for c in RESERVED if c in df.columns and not (c == target == "label")]
+    if taken:
+        raise ValueError(f"columns that must be renamed: {', '.join(taken)}")
     rows = drop_null_target(df, target)
     rows = rows.withColumn("is_test", is_test) if is_test is not None else split(rows, key, seed=seed)
     kind = semantic_types(rows.select(target), target)[target]
@@ -139,9 +154,10 @@ def run(df: DataFrame, target: str, key: list[str], names: list[str] | None = No
         at = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(float(i)))])
         rows = rows.withColumn("label", at[F.col(target).cast("string")])
     metric = metric or found
-    rows = frozen(hash_fold(rows, key, folds, seed))
+    # a row's own number, as keys may repeat
+    rows = frozen(hash_fold(rows, key, folds, seed).withColumn("row_of_run", F.monotonically_increasing_id()))
     train, test = rows.where(~F.col("is_test")).drop("is_test"), rows.where("is_test")
-    plan = roles(train.drop("fold", *([] if target == "label" else ["label"])), target, key, specs)
+    plan = roles(train.drop("fold", "row_of_run", *([] if target == "label" else ["label"])), target, key, specs)
     sign = -1 if metric in T.LOWER_IS_BETTER else 1
     results, fitted = [], {}
     for name in names or T.families(task, fast=True):
@@ -152,24 +168,20 @@ def run(df: DataFrame, target: str, key: list[str], names: list[str] | None = No
             if best is None or sign * np.mean(scores) > sign * np.mean(best[1]):
                 best = (p, scores)
         began = time.time()
-        model = Whole(plan, target, name, task, best[0], [*key, "label"], seed).fit(train)
-        took, few = time.time() - began, test.limit(100)
-        began = time.time()
-        model.transform(few).select("prediction").collect()
+        model = Whole(plan, target, name, task, best[0], list(dict.fromkeys([*key, "label", "row_of_run"])), seed).fit(train)
+        took = time.time() - began
         fitted[name] = model
-        results.append(T.Result(name, best[0], float(np.mean(best[1])), float(np.std(best[1])), best[1], took, (time.time() - began) * 1000, model))
+        results.append(T.Result(name, best[0], float(np.mean(best[1])), float(np.std(best[1])), best[1], took, T.latency(model, test), model))
     tests = {name: T.evaluate(m.transform(test), metric) for name, m in fitted.items()}
     winner = T.top(results, 1, metric)[0].model_name
-    if task == "regression":
-        baseline, same = M.mean_baseline(train, test, "label").first()[metric], [winner]
-    else:
-        most = M.majority(train, "label").first()["prediction"]
-        baseline, same = test.agg(F.avg((F.col("label").cast("string") == most).cast("double"))).first()[0], [winner]
-        if len(fitted) > 1:
-            both = None
-            for name, m in fitted.items():
-                one = m.transform(test).select(*key, "label", F.col("prediction").alias(name))
-                both = one if both is None else both.join(one.drop("label"), key)
-            same = sorted(r["model"] for r in tied(both, "label", list(fitted), seed=seed).where("tied").collect())
+    baseline = T.evaluate(constant(train, test, task), metric)
+    same = [winner]
+    if len(fitted) > 1 and metric in SUMMED:
+        both = test.select("row_of_run", "label")
+        for name, m in fitted.items():
+            both = both.join(m.transform(test).select("row_of_run", F.col("prediction").alias(name)), "row_of_run")
+        same = sorted(r["model"] for r in tied(both, "label", list(fitted), metric, seed=seed, labels=range(len(labels or ()))).where("tied").collect())
+    elif len(fitted) > 1:
+        same = ties({r.model_name: r.fold_scores for r in results}, seed=seed, lower=metric in T.LOWER_IS_BETTER)[1]
     sizes = {"train": train.count(), "test": test.count()}
     return Outcome(task, metric, labels, results, T.leaderboard(df.sparkSession, results, metric), serving(fitted[winner], key, labels), tests, baseline, same, sizes)

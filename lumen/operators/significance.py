@@ -65,15 +65,51 @@ def ties(scores: dict[str, list[float]], replicates: int = 2000, seed: int = 42,
     return leader, sorted(tied)
 
 
-def _resampled(df: DataFrame, y: str, names: list[str], replicates: int, seed: int) -> DataFrame:
-    """model, replicate, n, and weighted sums hit, tp, fp, fn (of label 1) over Poisson(1) draws of the rows.
+#: Metrics that sums over rows give, and so a bootstrap of the rows.
+SUMMED = ("accuracy", "f1", "f1_macro", "rmse", "mae")
+
+
+def _parts(metric: str, y: str, m: str, labels: list) -> dict[str, Column]:
+    """What a row adds to the sums of a model's metric."""
+    said, true = F.col(f"`{m}`"), F.col(f"`{y}`")
+    if metric == "accuracy":
+        return {"hit": said == true}
+    if metric in ("rmse", "mae"):
+        return {"error": F.pow(said - true, F.lit(2.0)) if metric == "rmse" else F.abs(said - true)}
+    out = {}
+    for i, label in enumerate([1] if metric == "f1" else labels):
+        one, is_ = F.coalesce(said == label, F.lit(False)), true == label
+        out |= {f"tp{i}": one & is_, f"fp{i}": one & ~is_, f"fn{i}": ~one & is_}
+    return out
+
+
+def _score(metric: str, labels: list) -> Column:
+    """The metric from the sums; higher is better, so errors are negative. Null where it is undefined."""
+    if metric == "accuracy":
+        return F.try_divide("hit", "n")
+    if metric in ("rmse", "mae"):
+        mean = F.try_divide("error", "n")
+        return -(F.sqrt(mean) if metric == "rmse" else mean)
+    each = [F.try_divide(2 * F.col(f"tp{i}"), 2 * F.col(f"tp{i}") + F.col(f"fp{i}") + F.col(f"fn{i}")) for i in range(1 if metric == "f1" else len(labels))]
+    if metric == "f1":
+        return each[0]
+    # a class that a draw left out of labels and predictions has no part in its mean
+    there = [F.coalesce(e, F.lit(0.0)) for e in each]
+    return F.try_divide(sum(there[1:], there[0]), sum((e.isNotNull().cast("int") for e in each[1:]), each[0].isNotNull().cast("int")))
+
+
+def _resampled(df: DataFrame, y: str, names: list[str], metric: str, labels: list, replicates: int, seed: int) -> DataFrame:
+    """model, replicate, n and v, the model's metric over Poisson(1) draws of the rows.
 
     The generator is seeded by the row's partition, so rows are resampled where
     they are, all models see the same draws, and only sums a replicate are
     shuffled.
     """
+    if metric not in SUMMED:
+        raise ValueError(f"no bootstrap of {metric!r}; offered are {', '.join(SUMMED)}")
     blocks = -(-replicates // REPLICATES_A_TASK)
-    sums = ["hit", "tp", "fp", "fn"]
+    parts = [_parts(metric, y, m, labels) for m in names]
+    sums = list(parts[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -93,37 +129,27 @@ def _resampled(df: DataFrame, y: str, names: list[str], replicates: int, seed: i
             own = [pa.array(got[:, j * len(sums) + i]) for i in range(len(sums))]
             yield pa.RecordBatch.from_arrays([pa.array([m] * replicates), pa.array(np.arange(replicates)), pa.array(n), *own], names=["model", "replicate", "n", *sums])
 
-    flags = []
-    for j, m in enumerate(names):
-        ok, one, true = F.col(m) == F.col(y), F.col(m) == 1, F.col(y) == 1
-        flags += [F.coalesce(e, F.lit(False)).cast("int").alias(f"f{j}_{i}") for i, e in enumerate((ok, one & true, one & ~true, ~F.coalesce(one, F.lit(False)) & true))]
-    drawn = df.select(*flags).mapInArrow(run, "model string, replicate long, n double, hit double, tp double, fp double, fn double")
-    return drawn.groupBy("model", "replicate").agg(*[F.sum(c).alias(c) for c in ("n", *sums)])
-
-
-def _score(metric: str) -> Column:
-    if metric == "accuracy":
-        return F.try_divide("hit", "n")
-    if metric == "f1":
-        return F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
-    raise ValueError(f"no bootstrap of {metric!r}; accuracy and f1 are offered")
+    adds = [F.coalesce(e.cast("double"), F.lit(0.0)).alias(f"s{j}_{i}") for j, p in enumerate(parts) for i, e in enumerate(p.values())]
+    drawn = df.select(*adds).mapInArrow(run, f"model string, replicate long, n double, {', '.join(f'{c} double' for c in sums)}")
+    return drawn.groupBy("model", "replicate").agg(*[F.sum(c).alias(c) for c in ("n", *sums)]).withColumn("v", _score(metric, labels))
 
 
 def bootstrap_counts(df: DataFrame, y: str, predictions: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
     """model, mean, low, high: accuracy and its 95 % interval by a Poisson bootstrap of the rows."""
-    scores = _resampled(df, y, list(predictions), replicates, seed).withColumn("v", _score("accuracy"))
+    scores = _resampled(df, y, list(predictions), "accuracy", [], replicates, seed)
     q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
     return scores.groupBy("model").agg(F.avg("v").alias("mean"), q[0].alias("low"), q[1].alias("high"))
 
 
-def tied(df: DataFrame, y: str, predictions: list[str], metric: str = "accuracy", replicates: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def tied(df: DataFrame, y: str, predictions: list[str], metric: str = "accuracy", replicates: int = 1000, alpha: float = 0.05, seed: int = 42, labels: list = ()) -> DataFrame:
     """model, mean, low, high, is_leader, tied: of the leader's score less each model's, the interval by a paired bootstrap of the rows.
 
-    The leader has the best mean score (ties to the smaller name). A model is
-    tied if its interval holds 0. A replicate in which any model's metric is
-    undefined counts for none; fewer than half of them left is an error.
+    The leader has the best mean score (ties to the smaller name); errors count
+    as negative scores. A model is tied if its interval holds 0. f1 is that of
+    label 1, f1_macro the mean over `labels`. A replicate in which any model's
+    metric is undefined counts for none; fewer than half of them left is an error.
     """
-    scores = _resampled(df, y, list(predictions), replicates, seed).withColumn("v", _score(metric))
+    scores = _resampled(df, y, list(predictions), metric, list(labels), replicates, seed)
     whole = frozen(scores.groupBy("replicate").agg(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("model", "v"))).alias("s")).where(F.size("s") == len(predictions)))
     if 2 * whole.count() < replicates:
         raise ValueError(f"{metric} is undefined in over half of the replicates")

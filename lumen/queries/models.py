@@ -57,15 +57,22 @@ def train_leaderboard(spark, d):
 
 @query(
     "train_run",
-    """WITH r AS (SELECT l_orderkey % 5 = 0 AS t, l_quantity > 30 AS big FROM lineitem)
-    SELECT count(*) FILTER (WHERE NOT t) AS n_train, count(*) FILTER (WHERE t) AS n_test, round(avg((NOT big)::INT) FILTER (WHERE t), 9) AS baseline, true AS beaten, 'f1' AS metric FROM r""",
+    """WITH r AS (SELECT l_orderkey % 5 = 0 AS t, (l_extendedprice * l_discount > 1500)::INT AS big FROM lineitem),
+    m AS (SELECT (sum(big) * 2 > count(*))::INT AS most FROM r WHERE NOT t),
+    f AS (SELECT count(*) AS n, 2.0 * sum(big * most) / nullif(sum(big) + sum(most), 0) AS f1, 2.0 * sum(big * big) / (sum(big) + sum(big)) AS rule FROM r, m WHERE t)
+    SELECT (SELECT count(*) FROM r WHERE NOT t) AS n_train, n AS n_test, round(coalesce(f1, 0), 9) AS baseline, coalesce(f1, 0) < rule AS beaten FROM f""",
 )
 def train_run(spark, d):
-    """A whole run over raw rows; the sizes, the baseline, and whether the chosen model beats it on held-out rows."""
-    df = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate", "CASE WHEN l_quantity > 30 THEN 'big' ELSE 'a small one' END AS size")
-    got = R.run(df, "size", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["logistic_regression", "decision_tree"], is_test=F.expr("l_orderkey % 5 = 0"))
-    hit = got.model.transform(df.where("l_orderkey % 5 = 0")).join(df, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).agg(F.avg((F.col("predicted_label") == F.col("size")).cast("double"))).first()[0]
-    made = spark.createDataFrame([(got.rows["train"], got.rows["test"], got.baseline, hit > got.baseline, got.metric)], "n_train long, n_test long, baseline double, beaten boolean, metric string")
+    """A whole run over raw rows: the sizes, the baseline's F1, and whether the chosen model's replayed predictions beat it on the held-out rows.
+
+    The label is a rule over two columns, which the SQL applies and the models must find.
+    """
+    df = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate", "CASE WHEN l_extendedprice * l_discount > 1500 THEN 'big' ELSE 'a small one' END AS size")
+    key, price = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], [{"op": "product", "params": {"a": "l_extendedprice", "b": "l_discount"}}]
+    got = R.run(df, "size", key, ["logistic_regression", "decision_tree"], price, metric="f1", is_test=F.expr("l_orderkey % 5 = 0"))
+    scored = got.model.transform(df.where("l_orderkey % 5 = 0").withColumn("l_linenumber", F.struct("l_linenumber", "size"))).select(F.col("l_linenumber.size").alias("y"), "predicted_label")
+    r = scored.agg(F.count_if(F.expr("y = 'big' AND predicted_label = 'big'")).alias("tp"), F.count_if(F.expr("y = 'big'")).alias("p"), F.count_if(F.expr("predicted_label = 'big'")).alias("said")).first()
+    made = spark.createDataFrame([(got.rows["train"], got.rows["test"], float(got.baseline), 2 * r["tp"] / max(1, r["p"] + r["said"]) > got.baseline)], "n_train long, n_test long, baseline double, beaten boolean")
     return made.withColumn("baseline", F.round("baseline", 9))
 
 

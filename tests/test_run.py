@@ -56,8 +56,9 @@ def test_roles_drop_identifiers_and_the_key(raw):
 def test_what_a_run_refuses(raw):
     with pytest.raises(ValueError, match="classes"):
         R.run(raw.withColumn("feel", F.lit("x")), "feel", ["nr"])
-    with pytest.raises(ValueError, match="renamed"):
-        R.run(raw.withColumn("label", F.lit(1)), "feel", ["nr"])
+    for name in R.RESERVED:
+        with pytest.raises(ValueError, match=f"renamed: {name}"):
+            R.run(raw.withColumn(name, F.lit(1)), "feel", ["nr"])
     with pytest.raises(ValueError, match="feel"):
         R.run(raw, "feeel", ["nr"])
 
@@ -71,6 +72,30 @@ def test_tied_by_paired_draws(spark):
         S.tied(df.select(F.lit(0).alias("y"), F.lit(0).alias("a")), "y", ["a"], "f1", replicates=50)
 
 
+@pytest.mark.parametrize("metric", S.SUMMED)
+def test_tie_set_by_each_metric(spark, metric):
+    df = spark.createDataFrame([(i % 3, i % 3 if i % 10 else 1, i % 3 if (i + 5) % 10 else 1, (i + 1) % 3) for i in range(1500)], "y int, a int, b int, off int").cache()
+    got = {r["model"]: r for r in S.tied(df, "y", ["a", "b", "off"], metric, replicates=200, labels=[0, 1, 2]).collect()}
+    assert got["a"]["tied"] and got["b"]["tied"] and not got["off"]["tied"]
+    c = {n: M.classification(df, "y", n).first() for n in ("a", "off")}
+    e = {n: M.regression(df, "y", n).first() for n in ("a", "off")}
+    want = {"accuracy": c["a"]["accuracy"], "f1_macro": c["a"]["f1_macro"], "rmse": -e["a"]["rmse"], "mae": -e["a"]["mae"]}
+    assert metric == "f1" or got["a"]["mean"] == pytest.approx(want[metric], abs=0.01)
+
+
+def test_baseline_by_the_metric_of_the_run(spark):
+    train = spark.createDataFrame([(0.0,)] * 3 + [(1.0,)], "label double")
+    test = spark.createDataFrame([(0.0,), (1.0,), (1.0,)], "label double")
+    got = {m: T.evaluate(R.constant(train, test, "binary"), m) for m in ("accuracy", "f1", "f1_macro", "roc_auc", "pr_auc")}
+    assert got == pytest.approx({"accuracy": 1 / 3, "f1": 0.0, "f1_macro": 0.25, "roc_auc": 0.5, "pr_auc": 2 / 3})
+    assert T.evaluate(R.constant(train, test, "regression"), "mae") == pytest.approx((0.25 + 0.75 + 0.75) / 3)
+
+
+def test_repeated_keys_do_not_multiply_rows(raw):
+    got = R.run(raw.withColumn("nr", F.col("nr") % 100), "feel", ["nr"], ["decision_tree", "naive_bayes"], metric="f1_macro")
+    assert sum(got.rows.values()) == 600 and got.metric == "f1_macro" and got.tied
+
+
 def test_baseline_and_log_loss_by_hand(spark):
     df = spark.createDataFrame([(0, [0.5, 0.25, 0.25]), (2, [0.1, 0.8, 0.1]), (None, [1.0, 0.0, 0.0])], "y int, p array<double>")
     want = -(math.log(0.5) + math.log(0.1)) / 2
