@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions.persist import Saved
 from . import metrics as M
+from .boosting import Growth, NewtonBoosting
 
 #: A search tries ensembles of at most so many trees, and so many settings, unless asked for more.
 MAX_TREES, TRIALS = 50, 5
@@ -64,12 +65,14 @@ def _trees(classifier, regressor, **fixed):
     return build
 
 
-def _boosted(task: str, p: dict, facts: dict) -> Estimator:
-    made = {"maxIter": int(p.get("n_trees", 20)), "maxDepth": int(p.get("max_depth", 4)), "stepSize": float(p.get("rate", 0.1)), "subsamplingRate": float(p.get("subsample", 0.9)), "seed": facts["seed"]}
-    if task == "regression":
-        return R.GBTRegressor(featuresCol="features", labelCol="label", **made)
-    one = C.GBTClassifier(featuresCol="features", labelCol="label", **made)
-    return one if task == "binary" else C.OneVsRest(classifier=one, featuresCol="features", labelCol="label")
+def _boosted(by: str, **fixed):
+    """Newton boosting on histograms, grown by level, by leaf or with one split a level."""
+
+    def build(task: str, p: dict, facts: dict) -> Estimator:
+        asked = {"rounds": int(p.get("n_trees", 20)), "depth": int(p.get("max_depth", 4 if by != "leaf" else 6)), "rate": float(p.get("rate", 0.1)), "row_share": float(p.get("subsample", 1.0)), "column_share": float(p.get("columns", 1.0)), "leaves": int(p.get("leaves", 31)), "least_rows": int(p.get("min_leaf", fixed.get("least_rows", 1))), "l1": float(p.get("l1", 0.0)), "l2": float(p.get("l2", fixed.get("l2", 1.0)))}
+        return NewtonBoosting(task, Growth(by=by, seed=facts["seed"], **(fixed | asked)), facts["classes"])
+
+    return build
 
 
 def _linear(kind: str):
@@ -105,9 +108,9 @@ REGISTRY: dict[str, Spec] = {
     "decision_tree": Spec(ALL, {"max_depth": (2, 20), "min_leaf": (1, 20)}, _trees(C.DecisionTreeClassifier, R.DecisionTreeRegressor)),
     "random_forest": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 12), "min_leaf": (1, 15)}, _trees(C.RandomForestClassifier, R.RandomForestRegressor)),
     "extra_trees": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 12), "min_leaf": (1, 15)}, _trees(C.RandomForestClassifier, R.RandomForestRegressor, bootstrap=False, featureSubsetStrategy="sqrt"), "no random thresholds"),
-    "xgboost": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 8), "rate": _log(0.02, 0.3), "subsample": (0.6, 1.0)}, _boosted, "first-order boosting"),
-    "lightgbm": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 8), "rate": _log(0.02, 0.3), "subsample": (0.5, 1.0)}, _boosted, "level-wise growth"),
-    "catboost": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 8), "rate": _log(0.02, 0.3)}, _boosted, "no ordered boosting"),
+    "xgboost": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 8), "rate": _log(0.02, 0.3), "subsample": (0.6, 1.0), "columns": (0.5, 1.0), "l1": _log(1e-3, 1.0), "l2": _log(0.1, 10.0)}, _boosted("level"), "Newton steps, by level"),
+    "lightgbm": Spec(ALL, {"n_trees": (20, MAX_TREES), "leaves": (7, 63), "rate": _log(0.02, 0.3), "subsample": (0.5, 1.0), "min_leaf": (5, 50)}, _boosted("leaf", l2=1e-3, least_hessian=1e-3, least_rows=20), "Newton steps, by leaf within depth 6"),
+    "catboost": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 6), "rate": _log(0.02, 0.3), "l2": _log(1.0, 10.0)}, _boosted("same", l2=3.0), "Newton steps, one split a level; categories by ordered target statistics in a run"),
     "knn": Spec(ALL, {"k": (3, 50)}, lambda task, p, facts: NearestNeighbours(task, int(p.get("k", 5))), "by random projection"),
     "svm": Spec(CLASSES, {"c": _log(1e-3, 1e3), "gamma": _log(1e-2, 1.0)}, lambda task, p, facts: KernelMachine(float(p.get("c", 1.0)), float(p.get("gamma", 0.1)), facts), "random Fourier features"),
     "naive_bayes": Spec(CLASSES, {}, lambda task, p, facts: C.NaiveBayes(featuresCol="features", labelCol="label", modelType="gaussian")),

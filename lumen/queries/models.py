@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..functions import persist
+from ..operators import boosting as B
 from ..operators import explain as X
+from ..operators import trees
 from ..operators import run as R
 from ..operators import training as T
 from ..operators.features import FeatureTransformer
@@ -76,6 +79,43 @@ def train_run(spark, d):
     return made.withColumn("baseline", F.round("baseline", 9))
 
 
+@query(
+    "train_boosted_split",
+    """WITH m AS (SELECT avg(l_extendedprice) AS mu FROM lineitem),
+    r AS (SELECT unnest([{'i': 0, 'f': 'l_quantity', 'x': l_quantity::DOUBLE}, {'i': 1, 'f': 'l_discount', 'x': l_discount::DOUBLE}, {'i': 2, 'f': 'l_tax', 'x': l_tax::DOUBLE}], recursive := true), mu - l_extendedprice AS g FROM lineitem, m),
+    c AS (SELECT i, f, x, sum(g) AS g, count(*) AS n FROM r GROUP BY i, f, x),
+    w AS (SELECT i, f, x, sum(g) OVER (PARTITION BY i ORDER BY x) AS gl, sum(n) OVER (PARTITION BY i ORDER BY x) AS nl, sum(g) OVER (PARTITION BY i) AS ga, sum(n) OVER (PARTITION BY i) AS na FROM c)
+    SELECT f AS feature, x AS threshold, CAST(nl AS BIGINT) AS n_left, CAST(na - nl AS BIGINT) AS n_right, round(-gl / (nl + 1), 3) AS left_weight, round(-(ga - gl) / (na - nl + 1), 3) AS right_weight
+    FROM w WHERE na > nl ORDER BY gl * gl / (nl + 1) + (ga - gl) * (ga - gl) / (na - nl + 1) DESC, i, x LIMIT 1""",
+)
+def train_boosted_split(spark, d):
+    """The first split of Newton boosting of a number, and its leaves' weights."""
+    columns = ["l_quantity", "l_discount", "l_tax"]
+    model = B.NewtonBoosting("regression", B.Growth(rounds=1, rate=1.0, depth=1)).fit(T.assemble(table(spark, d, "lineitem"), columns, "l_extendedprice"))
+    t = model.ensemble().trees[0]
+    a, b = int(t.left[0]), int(t.right[0])
+    made = [(columns[int(t.feature[0])], float(t.threshold[0]), int(t.cover[a]), int(t.cover[b]), float(t.value[a]), float(t.value[b]))]
+    return rounded(spark.createDataFrame(made, "feature string, threshold double, n_left long, n_right long, left_weight double, right_weight double"), 3)
+
+
+@query(
+    "explain_tree",
+    """WITH r AS (SELECT l_quantity <= 25 AS q, l_discount <= 0.05 AS s, l_extendedprice AS y FROM lineitem),
+    t AS (SELECT count(*) AS n, avg(y) AS e, count(*) FILTER (WHERE q) AS nq, avg(y) FILTER (WHERE q) AS mq, avg(y) FILTER (WHERE q AND s) AS m1, avg(y) FILTER (WHERE q AND NOT s) AS m2, avg(y) FILTER (WHERE NOT q) AS m3 FROM r),
+    v AS (SELECT e AS none, CASE WHEN q THEN mq ELSE m3 END AS vq, (nq * CASE WHEN s THEN m1 ELSE m2 END + (n - nq) * m3) / n AS vs, CASE WHEN NOT q THEN m3 WHEN s THEN m1 ELSE m2 END AS vqs FROM r, t)
+    SELECT 'l_quantity' AS feature, round(avg(abs(((vq - none) + (vqs - vs)) / 2)), 4) AS importance FROM v UNION ALL SELECT 'l_discount', round(avg(abs(((vs - none) + (vqs - vq)) / 2)), 4) FROM v""",
+)
+def explain_tree(spark, d):
+    """Mean absolute attributions of a tree with given splits, its leaves and covers taken from the table."""
+    df = table(spark, d, "lineitem").select(F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double")).alias("features"), F.col("l_extendedprice").alias("y"))
+    q, s = F.col("features")[0] <= 25, F.col("features")[1] <= 0.05
+    at = F.when(~q, 2).when(s, 3).otherwise(4)
+    leaves = {r["node"]: r for r in df.groupBy(at.alias("node")).agg(F.avg("y").alias("v"), F.count("*").alias("n")).collect()}
+    value, n = (lambda i: leaves[i]["v"]), (lambda i: leaves[i]["n"])
+    tree = trees.Tree(np.array([0, 1, -1, -1, -1]), np.array([25.0, 0.05, 0, 0, 0]), np.array([1, 3, -1, -1, -1]), np.array([2, 4, -1, -1, -1]), np.array([0, 0, value(2), value(3), value(4)]), np.array([n(2) + n(3) + n(4), n(3) + n(4), n(2), n(3), n(4)], float))
+    return rounded(trees.importance(df, trees.Ensemble([tree], [0.0]), ["l_quantity", "l_discount"]), 4)
+
+
 @query("train_voting")
 def train_voting(spark, d):
     df = _rows(spark, d, "cast(l_extendedprice * l_discount > 1500 as int)")

@@ -78,7 +78,7 @@ def test_families(spark, tmp_path, points, name):
 def test_number_of_trees_is_as_asked(points):
     f = T.facts(points, ["a", "b"])
     assert T.REGISTRY["random_forest"].build("binary", {"n_trees": 120}, f).getNumTrees() == 120
-    assert T.REGISTRY["xgboost"].build("binary", {"n_trees": 90}, f).getMaxIter() == 90
+    assert T.REGISTRY["xgboost"].build("binary", {"n_trees": 90}, f).growth.rounds == 90
     found = T.search(points.selectExpr("*", "id % 2 AS fold"), ["a", "b"], "random_forest", "binary", "accuracy", trials=2, k=2, max_trees=3)
     assert found.params.get("n_trees", 3) == 3
 
