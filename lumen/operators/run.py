@@ -17,6 +17,7 @@ from ..sources.io import check_target
 from . import metrics as M
 from . import training as T
 from .features import FeatureSpec, FeatureTransformer
+from .ordered import OrderedEncoder
 from .prep import Preprocessor, binned_mutual_information, drop_null_target, hash_fold, select_by_information, split
 from .profile import class_balance, semantic_types, suggest_metric
 from .significance import SUMMED, tied, ties
@@ -77,9 +78,14 @@ class Whole(Estimator):
             features = FeatureTransformer(self.plan.specs, "label").fit(df)
             df, numeric, needed = features.transform(df), numeric + features.output_columns, needed + features.required_columns
             steps.append(features)
+        categorical = list(self.plan.categorical)
+        if self.name == "catboost" and categorical and self.task != "multiclass":
+            ordered, df = OrderedEncoder(categorical, "label", seed=self.seed).fit_transform(df)
+            numeric, categorical = numeric + ordered.output_columns, []
+            steps.append(ordered)
         if self.task != "regression" and len(numeric) > GATE:
             numeric = select_by_information(binned_mutual_information(df, numeric, "label"))
-        prep = Preprocessor(numeric, self.plan.categorical, clipped=numeric, keep=self.keep, indicators=True).fit(df)
+        prep = Preprocessor(numeric, categorical, clipped=numeric, keep=self.keep, indicators=True).fit(df)
         shape = Assembled(prep.output_columns)
         made = shape.transform(prep.transform(df.withColumn("label", F.col("label").cast("double"))))
         model = T.REGISTRY[self.name].build(self.task, self.setting, T.facts(made, shape.columns, self.seed)).fit(T.balanced_weights(made) if self.setting.get("balanced") else made)
@@ -124,12 +130,12 @@ class Outcome:
     rows: dict[str, int]
 
 
-def run(df: DataFrame, target: str, key: list[str], names: list[str] | None = None, specs: list = (), metric: str | None = None, trials: int = 1, folds: int = 3, is_test: Column | None = None, seed: int = 42) -> Outcome:
+def run(df: DataFrame, target: str, key: list[str], names: list[str] | None = None, specs: list = (), metric: str | None = None, trials: int = 1, folds: int = 3, is_test: Column | None = None, seed: int = 42, batch: int = 1) -> Outcome:
     """Split, cross-validate each family on raw rows, fit the best, test all on the held-out rows.
 
     Rows without a target are left out. `is_test` marks the held-out rows; without
-    it a hash of the key does. `trials` settings a family, the first the default
-    one. The baseline (the most frequent class, or the mean) and the ties are
+    it a hash of the key does. `trials` settings a family, the first the default one,
+    those after it proposed by the trials so far, `batch` of them at once. The baseline (the most frequent class, or the mean) and the ties are
     judged by the run's own metric: `tied` holds the models that may equal the
     leader, on the held-out rows where sums over rows give the metric and else on
     the folds. Columns named in RESERVED are refused; `label` may be the target.
@@ -161,17 +167,13 @@ def run(df: DataFrame, target: str, key: list[str], names: list[str] | None = No
     sign = -1 if metric in T.LOWER_IS_BETTER else 1
     results, fitted = [], {}
     for name in names or T.families(task, fast=True):
-        rng, best = np.random.default_rng(seed), None
-        for trial in range(max(1, trials)):
-            p = T.sample_params(T.REGISTRY[name].space, rng) if trial else {}
-            scores = T.cross_validate(train, lambda part, p=p, name=name: Whole(plan, target, name, task, p, ["label"], seed), metric, folds)
-            if best is None or sign * np.mean(scores) > sign * np.mean(best[1]):
-                best = (p, scores)
+        score = lambda p, name=name: T.cross_validate(train, lambda part: Whole(plan, target, name, task, p, ["label"], seed), metric, folds)
+        mean, setting, scores = T.tune(T.REGISTRY[name].space, score, sign, trials, batch, seed)
         began = time.time()
-        model = Whole(plan, target, name, task, best[0], list(dict.fromkeys([*key, "label", "row_of_run"])), seed).fit(train)
+        model = Whole(plan, target, name, task, setting, list(dict.fromkeys([*key, "label", "row_of_run"])), seed).fit(train)
         took = time.time() - began
         fitted[name] = model
-        results.append(T.Result(name, best[0], float(np.mean(best[1])), float(np.std(best[1])), best[1], took, T.latency(model, test), model))
+        results.append(T.Result(name, setting, mean, float(np.std(scores)), scores, took, T.latency(model, test), model))
     tests = {name: T.evaluate(m.transform(test), metric) for name, m in fitted.items()}
     winner = T.top(results, 1, metric)[0].model_name
     baseline = T.evaluate(constant(train, test, task), metric)

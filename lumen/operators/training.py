@@ -1,4 +1,4 @@
-"""Model search on pyspark.ml: registry, folds, random search, ensembles, baselines."""
+"""Model search on pyspark.ml: registry, folds, guided search, ensembles, baselines."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from typing import Any
 
 import numpy as np
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -20,6 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions.persist import Saved
 from . import metrics as M
+from . import parzen
 from .boosting import Growth, NewtonBoosting
 
 #: A search tries ensembles of at most so many trees, and so many settings, unless asked for more.
@@ -247,20 +247,6 @@ def evaluate(df: DataFrame, metric: str) -> float:
     return M.classification(df, "label", "prediction").first()[metric]
 
 
-def sample_params(space: dict[str, tuple], rng: np.random.Generator) -> dict[str, Any]:
-    out: dict[str, Any] = {}
-    for name, s in space.items():
-        if isinstance(s, list):
-            out[name] = s[int(rng.integers(len(s)))]
-        elif s[0] == "log":
-            out[name] = float(np.exp(rng.uniform(np.log(s[1]), np.log(s[2]))))
-        elif isinstance(s[0], int):
-            out[name] = int(rng.integers(s[0], s[1] + 1))
-        else:
-            out[name] = float(rng.uniform(*s))
-    return out
-
-
 @dataclass
 class Result:
     model_name: str
@@ -293,10 +279,24 @@ def latency(model: Model, rows: DataFrame, calls: int = 10) -> float:
     return (time.perf_counter() - began) * 1000 / calls
 
 
-def search(df: DataFrame, features: list[str], name: str, task: str, metric: str, trials: int = TRIALS, k: int = 3, seed: int = 42, max_trees: int = MAX_TREES) -> Result:
-    """Random search over a family's space by cross-validated score on `df` (features, label, fold); the best setting is fitted on all of it.
+def tune(space: dict[str, tuple], folds: Callable[[dict], list[float]], sign: int, trials: int, batch: int = 1, seed: int = 42) -> tuple[float, dict, list[float]]:
+    """Mean score, setting and fold scores of the best of some trials, the default setting first; ties to the earlier one."""
+    seen: dict[int, list[float]] = {}
+
+    def score(p: dict) -> float:
+        seen[id(p)] = folds(p)
+        return sign * float(np.mean(seen[id(p)]))
+
+    done = parzen.search(space, score, max(1, trials if space else 1), batch, seed, first={})
+    p, best = max(done, key=lambda t: t[1])
+    return sign * best, p, seen[id(p)]
+
+
+def search(df: DataFrame, features: list[str], name: str, task: str, metric: str, trials: int = TRIALS, k: int = 3, seed: int = 42, max_trees: int = MAX_TREES, batch: int = 1) -> Result:
+    """Guided search over a family's space by cross-validated score on `df` (features, label, fold); the best setting is fitted on all of it.
 
-    The first setting is the default one; those after it hold up to `max_trees` trees.
+    The first setting is the default one; those after it hold up to `max_trees`
+    trees. `batch` trials are fitted and scored at once.
     """
     if name in UNAVAILABLE:
         raise ValueError(f"{name}: {UNAVAILABLE[name]}")
@@ -304,20 +304,13 @@ def search(df: DataFrame, features: list[str], name: str, task: str, metric: str
     if task not in spec.tasks:
         raise ValueError(f"{name} does not fit a {task} task")
     space = spec.space | ({"n_trees": (min(20, max_trees), max_trees)} if "n_trees" in spec.space else {})
-    rng = np.random.default_rng(seed)
     known = facts(df, features, seed)
     rows = balanced_weights(df) if "balanced" in spec.space else df
     sign = -1 if metric in LOWER_IS_BETTER else 1
-    best: tuple[float, dict, list[float]] | None = None
-    for trial in range(max(1, trials if space else 1)):
-        p = sample_params(space, rng) if trial else {}
-        scores = cross_validate(rows, lambda train, p=p: spec.build(task, p, known), metric, k)
-        mean = sign * float(np.mean(scores))
-        if best is None or mean > best[0]:
-            best = (mean, p, scores)
+    best = tune(space, lambda p: cross_validate(rows, lambda train: spec.build(task, p, known), metric, k), sign, trials, batch, seed)
     began = time.time()
     model = spec.build(task, best[1], known).fit(rows)
-    return Result(name, best[1], sign * best[0], float(np.std(best[2])), best[2], time.time() - began, latency(model, rows), model)
+    return Result(name, best[1], best[0], float(np.std(best[2])), best[2], time.time() - began, latency(model, rows), model)
 
 
 def leaderboard(spark, results: list[Result], metric: str) -> DataFrame:

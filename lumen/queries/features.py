@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import persist
 from ..operators.features import FeatureSpec, FeatureTransformer
+from ..operators.ordered import ordered_target
 from .registry import ORACLES, query, table
 
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
@@ -160,3 +161,17 @@ def feat_saved(spark, d):
     path = persist.new_folder(spark, "features")
     FeatureTransformer(ALL, "l_tax").fit(df.where("l_orderkey % 5 <> 0")).save(path)
     return _all_columns(persist.load(spark, path).transform(df.where("l_orderkey % 5 = 0")), df.columns)
+
+
+@query(
+    "feat_ordered_target",
+    f"""WITH r AS (SELECT {LINE_SQL}, coalesce(l_returnflag, 'MISSING') AS c, (l_quantity > 25)::INT AS y, md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey) AS h FROM lineitem),
+    m AS (SELECT avg(y) AS prior FROM r)
+    SELECT {LINE_SQL}, round((sum(y) OVER w - sum(y) OVER p + prior) / (count(*) OVER w - count(*) OVER p + 1), 9) AS l_returnflag_ordered FROM r, m
+    WINDOW w AS (PARTITION BY c ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY c, h)""",
+)
+def feat_ordered_target(spark, d):
+    """Target means over the rows before each one in a permutation that SQL can draw too."""
+    df = table(spark, d, "lineitem").withColumn("y", (F.col("l_quantity") > 25).cast("int"))
+    out = ordered_target(df, ["l_returnflag"], "y", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return out.select(*LINE, F.round("l_returnflag_ordered", 9).alias("l_returnflag_ordered"))
