@@ -8,14 +8,14 @@ import numpy as np
 from pyspark.ml import Model
 from pyspark.ml import regression as R
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .training import evaluate, positive
+from ..functions.persist import frozen
+from .training import LOWER_IS_BETTER, evaluate, positive
 
-#: Rows that explanations look at, by hash of the row's key.
-ROWS = 200
+#: Rows that explanations look at, by hash of the row's key; rows of a bucket within which values are dealt anew.
+ROWS, BUCKET_ROWS = 200, 100_000
 
 
 def sample(df: DataFrame, key: list[str], n: int = ROWS, seed: int = 42) -> DataFrame:
@@ -28,23 +28,29 @@ def _features(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def permutation_importance(df: DataFrame, model: Model, columns: list[str], key: list[str], metric: str, repeats: int = 3, seed: int = 42) -> DataFrame:
-    """feature, importance: loss of the metric when a column's values are dealt anew. Values travel by rank of two hashes, so the column's distribution stays."""
+    """feature, importance, std: loss of the metric when a column's values are dealt anew.
+
+    Values travel by rank of two hashes within buckets of rows, so a column's
+    distribution stays; the number of buckets follows the rows. A repeat is one
+    join, which brings every row another row's values of all columns.
+    """
     from pyspark.sql.window import Window
 
     base = evaluate(model.transform(_features(df, columns)), metric)
-    sign = -1 if metric in ("rmse", "mae") else 1
-    rows = []
-    for c in columns:
-        drops = []
-        for r in range(repeats):
-            place = lambda salt: F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed + r), *key), F.lit(64))).orderBy(F.xxhash64(F.lit(salt), *key), *key))  # noqa: B023, E731
-            part = F.pmod(F.xxhash64(F.lit(seed + r), *key), F.lit(64))
-            left = df.drop(c).withColumns({"_b": part, "_i": place(1)})
-            right = df.select(F.col(c), *[k for k in key if k != c]).withColumns({"_b": part, "_i": place(2)}).select("_b", "_i", c)
-            shuffled = left.join(right, ["_b", "_i"]).drop("_b", "_i")
-            drops.append(sign * (base - evaluate(model.transform(_features(shuffled, columns)), metric)))
-        rows.append((c, float(np.mean(drops)), float(np.std(drops))))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double, std double").orderBy(F.desc("importance"))
+    sign = -1 if metric in LOWER_IS_BETTER else 1
+    buckets = max(1, df.count() // BUCKET_ROWS)
+    drops: dict[str, list[float]] = {c: [] for c in columns}
+    for r in range(repeats):
+        part = F.pmod(F.xxhash64(F.lit(seed + r), *key), F.lit(buckets))
+        place = lambda salt: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(salt), *key), *key))
+        ranked = df.withColumn("_b", part)
+        other = ranked.withColumn("_i", place(2 * r + 2)).select("_b", "_i", *[F.col(c).alias(f"_other{i}") for i, c in enumerate(columns)])
+        dealt = frozen(ranked.withColumn("_i", place(2 * r + 1)).join(other, ["_b", "_i"]).drop("_b", "_i"))
+        for i, c in enumerate(columns):
+            shuffled = dealt.withColumn(c, F.col(f"_other{i}"))
+            drops[c].append(sign * (base - evaluate(model.transform(_features(shuffled, columns)), metric)))
+    rows = [(c, float(np.mean(d)), float(np.std(d))) for c, d in drops.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double, std double").orderBy(F.desc("importance"), "feature")
 
 
 def partial_dependence(df: DataFrame, model: Model, columns: list[str], feature: str, points: int = 10, regression: bool = False) -> DataFrame:
@@ -86,14 +92,14 @@ def sampled_shapley(df: DataFrame, model: Model, columns: list[str], key: list[s
     return per_row.groupBy(F.col("f").alias("feature")).agg(F.avg(F.abs("phi")).alias("importance"))
 
 
-def local_surrogate(df: DataFrame, model: Model, columns: list[str], row: dict, n: int = 500, seed: int = 42, k: int = 10) -> DataFrame:
+def local_surrogate(df: DataFrame, model: Model, columns: list[str], row: dict, n: int = 500, seed: int = 42, k: int = 10, regression: bool = False) -> DataFrame:
     """feature, weight: a weighted linear fit to the model around one row; the k largest weights."""
     spark = df.sparkSession
     scale = df.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
     noise = spark.range(n).select(*[(F.lit(float(row[c])) + F.randn(seed + i) * F.lit(float(scale[c] or 0.0))).alias(c) for i, c in enumerate(columns)])
     scored = model.transform(_features(noise, columns))
     far = sum(((F.col(c) - F.lit(float(row[c]))) / F.lit(float(scale[c] or 1.0))) ** 2 for c in columns)
-    near = scored.select("features", positive(scored).alias("_o"), F.exp(-far / (2 * 0.75**2 * len(columns))).alias("_w"))
+    near = scored.select("features", (F.col("prediction") if regression else positive(scored)).alias("_o"), F.exp(-far / (2 * 0.75**2 * len(columns))).alias("_w"))
     fit = R.LinearRegression(featuresCol="features", labelCol="_o", weightCol="_w", regParam=1e-3).fit(near)
     rows = sorted(((c, float(w)) for c, w in zip(columns, fit.coefficients, strict=True)), key=lambda x: (-abs(x[1]), x[0]))[:k]
     return spark.createDataFrame(rows, "feature string, weight double")
@@ -131,7 +137,3 @@ def eliminate(df: DataFrame, columns: list[str], fit: Callable[[DataFrame, list[
         rank = importances(fit(df, now), now)
         now = sorted(now, key=lambda c: (rank[c], c))[step:]
     return [c for c in columns if c in best[1]]
-
-
-def score_array(df: DataFrame):
-    return vector_to_array("probability")

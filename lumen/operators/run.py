@@ -116,7 +116,7 @@ def constant(train: DataFrame, test: DataFrame, task: str) -> DataFrame:
 
 @dataclass
 class Outcome:
-    """What a run found; `tests` and `tied` are of the held-out rows."""
+    """What a run found; `tests` and `tied` are of the held-out rows. `fitted`, `train` and `test` are as the run used them, with its columns RESERVED."""
 
     task: str
     metric: str
@@ -128,6 +128,11 @@ class Outcome:
     baseline: float
     tied: list[str]
     rows: dict[str, int]
+    winner: str
+    plan: Roles
+    fitted: dict[str, Bundle]
+    train: DataFrame
+    test: DataFrame
 
 
 def run(df: DataFrame, target: str, key: list[str], names: list[str] | None = None, specs: list = (), metric: str | None = None, trials: int = 1, folds: int = 3, is_test: Column | None = None, seed: int = 42, batch: int = 1) -> Outcome:
@@ -186,4 +191,4 @@ def run(df: DataFrame, target: str, key: list[str], names: list[str] | None = No
     elif len(fitted) > 1:
         same = ties({r.model_name: r.fold_scores for r in results}, seed=seed, lower=metric in T.LOWER_IS_BETTER)[1]
     sizes = {"train": train.count(), "test": test.count()}
-    return Outcome(task, metric, labels, results, T.leaderboard(df.sparkSession, results, metric), serving(fitted[winner], key, labels), tests, baseline, same, sizes)
+    return Outcome(task, metric, labels, results, T.leaderboard(df.sparkSession, results, metric), serving(fitted[winner], key, labels), tests, baseline, same, sizes, winner, plan, fitted, train, test)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import json
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,10 +73,40 @@ def score_batch(spark: SparkSession, source: str, model, sink: str, columns: lis
     return flat
 
 
-def write_artifact(path: str, content: dict) -> None:
-    """A JSON report; reports hold aggregates only."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(content, f, indent=2, default=str, sort_keys=True)
+def _file(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def write_artifact(path: str, content: dict | list) -> None:
+    """A JSON report, in any store that Spark can write to; reports hold aggregates only. Numbers that JSON has no form for become null."""
+
+    def plain(x):
+        if isinstance(x, dict):
+            return {str(k): plain(v) for k, v in x.items()}
+        if isinstance(x, (list, tuple)):
+            return [plain(v) for v in x]
+        return None if isinstance(x, float) and not math.isfinite(x) else x
+
+    spark = SparkSession.active()
+    fs, target = _file(spark, path)
+    fs.mkdirs(target.getParent())
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(json.dumps(plain(content), indent=2, default=str, sort_keys=True).encode()))
+    finally:
+        out.close()
+
+
+def read_artifact(path: str) -> dict | list:
+    """What `write_artifact` wrote."""
+    spark = SparkSession.active()
+    fs, target = _file(spark, path)
+    stream = fs.open(target)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
 
 
 def append_metrics(spark: SparkSession, path: str, run_id: str, metric: str, scores: dict[str, tuple[float, float]]) -> None:
