@@ -34,6 +34,8 @@ def letters(text: str | None) -> bytes:
     if not text:
         return b""
     out = _OTHER.sub(" ", text.lower()).strip()
+    if out and not out.replace(" ", "").isalpha():  # numerals that are no digits: fractions, circled numbers
+        out = " ".join("".join(c if c.isalpha() else " " for c in out).split())
     return f" {out} ".encode() if out else b""
 
 
@@ -142,7 +144,11 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     Whole texts. Null texts, texts without a letter, and any text if the model
     knows no language: `und`, score 0, rejected. A rejected text otherwise
     keeps its nearest language, with `rejected` true. Ties go to the first
-    language by name. Rows are independent: repeated rows get equal results.
+    language by name. Rows are independent: repeated rows get equal results, null
+    ids are ids like others, an empty table stays empty. Of `docs` only the id,
+    the text and `keep` are read; a column of `keep` may not have a name of the
+    result. Letters are what `str.isalpha` says: fractions, circled and other
+    numerals are none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -2,9 +2,10 @@
 
 A document of n tokens is cut into pieces of `max_len` tokens while it has that
 many, and the rest into pieces whose lengths are the binary digits of what is
-left, longest first. A piece is a sequence of its own, and sequences of equal
-length are batched together (`bucket`), so no sequence holds two documents and
-none is padded.
+left, longest first. A piece is a sequence of its own, so no sequence holds two
+documents and none is padded. `bucket` names the length that a reader batches it
+by (partitionBy("bucket") on writing gives a folder a length); the operator
+itself moves nothing, as a shuffle by a dozen lengths would only skew.
 """
 
 from __future__ import annotations

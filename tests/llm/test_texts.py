@@ -43,6 +43,15 @@ def test_language_of_odd_rows(spark):
     assert {r["lang_pred"] for r in language_id.predict(docs, empty).collect()} == {"und"}
 
 
+def test_what_counts_as_a_letter():
+    import sys
+
+    for c in range(sys.maxunicode + 1):
+        assert bool(language_id.letters(chr(c))) == any(x.isalpha() for x in chr(c).lower()), hex(c)
+    assert language_id.letters("\u00bd \u00b2") == language_id.letters("\u2460\u2461") == b""
+    assert language_id.letters("Stra\u00dfe \u00bd a\u00b2b 12") == " stra\u00dfe a b ".encode()
+
+
 def test_far_texts_are_rejected(spark):
     rng = random.Random(2)
     teach = spark.createDataFrame([(i, prose(rng, 80), "en") for i in range(40)], "doc_id long, text string, lang string")
