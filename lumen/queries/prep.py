@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import prep as R
+from ..operators.information import neighbour_information
 from .features import LINE, LINE_SQL
 from .profile import nulled, rounded
 from .registry import query, table
@@ -109,3 +110,17 @@ def sel_correlation_filter(spark, d):
 )
 def sel_mi_binned(spark, d):
     return rounded(R.binned_mutual_information(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"], "l_returnflag"))
+
+
+@query(
+    "sel_mi_neighbours",
+    """WITH t AS (SELECT CAST(round(o_totalprice * 100) AS BIGINT) AS x, o_orderstatus AS y FROM orders WHERE o_totalprice IS NOT NULL AND o_orderstatus IS NOT NULL),
+    s AS (SELECT x, y, count(*) OVER (PARTITION BY y) AS size, least(coalesce(x - lag(x, 3) OVER w, 1e18), greatest(coalesce(x - lag(x, 2) OVER w, 1e18), coalesce(lead(x, 1) OVER w - x, 1e18)), greatest(coalesce(x - lag(x, 1) OVER w, 1e18), coalesce(lead(x, 2) OVER w - x, 1e18)), coalesce(lead(x, 3) OVER w - x, 1e18))::BIGINT AS d FROM t WINDOW w AS (PARTITION BY y ORDER BY x)),
+    m AS (SELECT size, count(*) OVER (ORDER BY x RANGE BETWEEN greatest(d - 1, 0) PRECEDING AND greatest(d - 1, 0) FOLLOWING) AS m, count(*) OVER () AS n FROM s),
+    h AS (SELECT i, coalesce(sum(1.0 / (i - 1)) FILTER (WHERE i > 1) OVER (ORDER BY i), 0) - 0.5772156649015329 AS psi FROM range(1, (SELECT count(*) + 1 FROM t)) r(i))
+    SELECT 'price' AS feature, round(greatest(0, avg(a.psi) + (SELECT psi FROM h WHERE i = 3) - avg(b.psi) - avg(c.psi)), 6) AS mi FROM m JOIN h a ON a.i = m.n JOIN h b ON b.i = m.size JOIN h c ON c.i = m.m""",
+)
+def sel_mi_neighbours(spark, d):
+    """Information of an order's price on its status; SQL sorts the whole table, the operator does not."""
+    df = table(spark, d, "orders").select(F.round(F.col("o_totalprice") * 100).alias("price"), "o_orderstatus")
+    return rounded(neighbour_information(df, ["price"], "o_orderstatus"), 6)
