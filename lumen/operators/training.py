@@ -11,16 +11,16 @@ import numpy as np
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
-from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.persist import Saved
 from . import metrics as M
 from . import parzen
 from .boosting import Growth, NewtonBoosting
+from .neighbours import NearestNeighbours
 
 #: A search tries ensembles of at most so many trees, and so many settings, unless asked for more.
 MAX_TREES, TRIALS = 50, 5
@@ -111,7 +111,7 @@ REGISTRY: dict[str, Spec] = {
     "xgboost": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 8), "rate": _log(0.02, 0.3), "subsample": (0.6, 1.0), "columns": (0.5, 1.0), "l1": _log(1e-3, 1.0), "l2": _log(0.1, 10.0)}, _boosted("level"), "Newton steps, by level"),
     "lightgbm": Spec(ALL, {"n_trees": (20, MAX_TREES), "leaves": (7, 63), "rate": _log(0.02, 0.3), "subsample": (0.5, 1.0), "min_leaf": (5, 50)}, _boosted("leaf", l2=1e-3, least_hessian=1e-3, least_rows=20), "Newton steps, by leaf within depth 6"),
     "catboost": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 6), "rate": _log(0.02, 0.3), "l2": _log(1.0, 10.0)}, _boosted("same", l2=3.0), "Newton steps, one split a level; categories by ordered target statistics in a run"),
-    "knn": Spec(ALL, {"k": (3, 50)}, lambda task, p, facts: NearestNeighbours(task, int(p.get("k", 5))), "by random projection"),
+    "knn": Spec(ALL, {"k": (3, 50)}, lambda task, p, facts: NearestNeighbours(task, int(p.get("k", 5))), "exact, on scaled features"),
     "svm": Spec(CLASSES, {"c": _log(1e-3, 1e3), "gamma": _log(1e-2, 1.0)}, lambda task, p, facts: KernelMachine(float(p.get("c", 1.0)), float(p.get("gamma", 0.1)), facts), "random Fourier features"),
     "naive_bayes": Spec(CLASSES, {}, lambda task, p, facts: C.NaiveBayes(featuresCol="features", labelCol="label", modelType="gaussian")),
     "mlp": Spec(CLASSES, {"hidden": (8, 64)}, _mlp, "no regression, no dropout"),
@@ -160,49 +160,6 @@ class FourierFeatures(Saved, Model):
         return df.withColumn("_lifted", array_to_vector(F.transform(rows, lambda r: F.cos(dot(r)))))
 
 
-class NearestNeighbours(Estimator):
-    """Votes of the k nearest training rows, found by random projection; the training table stays distributed."""
-
-    def __init__(self, task: str, k: int, bucket: float = 2.0, tables: int = 3):
-        super().__init__()
-        self.task, self.k, self.bucket, self.tables = task, k, bucket, tables
-
-    def _fit(self, df: DataFrame) -> Model:
-        lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="_h", bucketLength=self.bucket, numHashTables=self.tables, seed=42).fit(df.select("features"))
-        labels = [r[0] for r in df.select("label").distinct().orderBy("label").limit(1001).collect()] if self.task != "regression" else []
-        prior = df.agg(F.avg("label")).first()[0]
-        return NeighboursModel(self, lsh, df.select("features", "label"), labels, prior)
-
-
-class NeighboursModel(Saved, Model):
-    def __init__(self, spec: NearestNeighbours, lsh, rows: DataFrame, labels: list, prior: float):
-        super().__init__()
-        self.spec, self.lsh, self.rows, self.labels, self.prior = spec, lsh, rows, labels, prior
-
-    def state(self):
-        s = self.spec
-        spec = {"task": s.task, "k": s.k, "bucket": s.bucket, "tables": s.tables}
-        return {"spec": spec, "labels": self.labels, "prior": self.prior}, {"rows": self.rows}, [self.lsh]
-
-    @classmethod
-    def restore(cls, values, tables, parts):
-        return cls(NearestNeighbours(**values["spec"]), parts[0], tables["rows"], values["labels"], values["prior"])
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        keyed = df.withColumn("_q", F.monotonically_increasing_id())
-        near = self.lsh.approxSimilarityJoin(keyed.select("_q", "features"), self.rows, float("inf"), "_d").select(F.col("datasetA._q").alias("_q"), F.col("datasetB.label").alias("_y"), "_d")
-        top = near.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy("_d", "_y"))).where(F.col("_r") <= self.spec.k)
-        if self.spec.task == "regression":
-            vote = top.groupBy("_q").agg(F.avg("_y").alias("prediction"))
-            return keyed.join(vote, "_q", "left").withColumn("prediction", F.coalesce("prediction", F.lit(self.prior))).drop("_q")
-        share = [F.coalesce(F.avg((F.col("_y") == label).cast("double")), F.lit(0.0)) for label in self.labels]
-        vote = top.groupBy("_q").agg(F.array(*share).alias("_p"))
-        flat = F.array(*[F.lit(1.0 / len(self.labels)) for _ in self.labels])
-        out = keyed.join(vote, "_q", "left").withColumn("_p", F.coalesce("_p", flat))
-        best = F.element_at(F.array(*[F.lit(float(v)) for v in self.labels]), F.array_position("_p", F.array_max("_p")).cast("int"))
-        return out.withColumn("prediction", best).withColumn("probability", array_to_vector("_p")).drop("_q", "_p")
-
-
 def assemble(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """features and label columns beside the rest."""
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df).withColumn("label", F.col(label).cast("double"))

@@ -98,6 +98,20 @@ def train_boosted_split(spark, d):
     return rounded(spark.createDataFrame(made, "feature string, threshold double, n_left long, n_right long, left_weight double, right_weight double"), 3)
 
 
+@query(
+    "train_neighbours",
+    """WITH d AS (SELECT s_suppkey, abs(round(s_acctbal * 100) - round(c_acctbal * 100)) AS d FROM supplier, customer), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d) AS r FROM d)
+    SELECT s_suppkey, round(sum(d)::DOUBLE, 2) AS distance, CAST(5 AS BIGINT) AS n FROM r WHERE r <= 5 GROUP BY s_suppkey""",
+)
+def train_neighbours(spark, d):
+    """Each supplier's distance to the five customers of nearest balance."""
+    cents = lambda t, c: table(spark, d, t).withColumn("v", F.round(F.col(c) * 100))
+    model = T.REGISTRY["knn"].build("regression", {"k": 5}, {}).fit(T.assemble(cents("customer", "c_acctbal"), ["v"], "v"))
+    asked = cents("supplier", "s_acctbal").select(F.col("s_suppkey").cast("long").alias("q"), F.array((F.col("v") - model.center[0]) / model.scale[0]).alias("x"))
+    found, _ = model.neighbours(asked)
+    return found.groupBy(F.col("q").alias("s_suppkey")).agg(F.round(F.sum(F.col("distance") * F.col("n")) * model.scale[0], 2).alias("distance"), F.sum("n").alias("n"))
+
+
 @query(
     "explain_tree",
     """WITH r AS (SELECT l_quantity <= 25 AS q, l_discount <= 0.05 AS s, l_extendedprice AS y FROM lineitem),
