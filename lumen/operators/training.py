@@ -20,6 +20,7 @@ from ..functions.persist import Saved
 from . import metrics as M
 from . import parzen
 from .boosting import Growth, NewtonBoosting
+from .descent import Descent
 from .neighbours import NearestNeighbours
 
 #: A search tries ensembles of at most so many trees, and so many settings, unless asked for more.
@@ -88,13 +89,19 @@ def _logistic(task: str, p: dict, facts: dict) -> Estimator:
 
 
 def _sgd(task: str, p: dict, facts: dict) -> Estimator:
-    alpha = float(p.get("alpha", 1e-4))
-    if task == "regression":
-        return R.LinearRegression(featuresCol="features", labelCol="label", loss="huber", regParam=alpha, maxIter=50)
-    return C.LogisticRegression(featuresCol="features", labelCol="label", regParam=alpha, maxIter=50)
+    loss = p.get("loss", "modified_huber") if task != "regression" else "squared_insensitive"
+    return Descent(task, loss, facts["classes"], l2=float(p.get("alpha", 1e-4)), seed=facts["seed"])
+
+
+def _svm(task: str, p: dict, facts: dict) -> Estimator:
+    """A squared-hinge machine (squared insensitive for numbers) over the kernel's features."""
+    loss = "squared_insensitive" if task == "regression" else "squared_hinge"
+    return Descent(task, loss, facts["classes"], l2=1 / (float(p.get("c", 1.0)) * facts["n"]), map={"rbf": "waves", "poly": "products", "linear": "plain"}[p.get("kernel", "rbf")], gamma=float(p.get("gamma", 0.1)), seed=facts["seed"])
 
 
 def _mlp(task: str, p: dict, facts: dict) -> Estimator:
+    if task == "regression":
+        return Descent(task, "squared", l2=float(p.get("alpha", 1e-4)), hidden=int(p.get("hidden", 16)), steps=100, seed=facts["seed"])
     return C.MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=[facts["width"], int(p.get("hidden", 16)), facts["classes"]], maxIter=60, seed=facts["seed"])
 
 
@@ -104,7 +111,7 @@ REGISTRY: dict[str, Spec] = {
     "ridge": Spec(("regression",), {"alpha": _log(1e-4, 1e3)}, _linear("ridge")),
     "lasso": Spec(("regression",), {"alpha": _log(1e-4, 1e2)}, _linear("lasso")),
     "elastic_net": Spec(("regression",), {"alpha": _log(1e-4, 1e2), "l1_ratio": (0.0, 1.0)}, _linear("elastic_net")),
-    "sgd": Spec(ALL, {"alpha": _log(1e-6, 1e-1)}, _sgd, "batch solver of the same losses; modified Huber is absent"),
+    "sgd": Spec(ALL, {"alpha": _log(1e-6, 1e-1), "loss": ["modified_huber", "squared_hinge"]}, _sgd, "full-batch descent"),
     "decision_tree": Spec(ALL, {"max_depth": (2, 20), "min_leaf": (1, 20)}, _trees(C.DecisionTreeClassifier, R.DecisionTreeRegressor)),
     "random_forest": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 12), "min_leaf": (1, 15)}, _trees(C.RandomForestClassifier, R.RandomForestRegressor)),
     "extra_trees": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 12), "min_leaf": (1, 15)}, _trees(C.RandomForestClassifier, R.RandomForestRegressor, bootstrap=False, featureSubsetStrategy="sqrt"), "no random thresholds"),
@@ -112,9 +119,9 @@ REGISTRY: dict[str, Spec] = {
     "lightgbm": Spec(ALL, {"n_trees": (20, MAX_TREES), "leaves": (7, 63), "rate": _log(0.02, 0.3), "subsample": (0.5, 1.0), "min_leaf": (5, 50)}, _boosted("leaf", l2=1e-3, least_hessian=1e-3, least_rows=20), "Newton steps, by leaf within depth 6"),
     "catboost": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 6), "rate": _log(0.02, 0.3), "l2": _log(1.0, 10.0)}, _boosted("same", l2=3.0), "Newton steps, one split a level; categories by ordered target statistics in a run"),
     "knn": Spec(ALL, {"k": (3, 50)}, lambda task, p, facts: NearestNeighbours(task, int(p.get("k", 5))), "exact, on scaled features"),
-    "svm": Spec(CLASSES, {"c": _log(1e-3, 1e3), "gamma": _log(1e-2, 1.0)}, lambda task, p, facts: KernelMachine(float(p.get("c", 1.0)), float(p.get("gamma", 0.1)), facts), "random Fourier features"),
+    "svm": Spec(ALL, {"c": _log(1e-3, 1e3), "gamma": _log(1e-2, 1.0), "kernel": ["rbf", "poly", "linear"]}, _svm, "random Fourier features; polynomials of degree two"),
     "naive_bayes": Spec(CLASSES, {}, lambda task, p, facts: C.NaiveBayes(featuresCol="features", labelCol="label", modelType="gaussian")),
-    "mlp": Spec(CLASSES, {"hidden": (8, 64)}, _mlp, "no regression, no dropout"),
+    "mlp": Spec(ALL, {"hidden": (8, 64)}, _mlp, "one hidden layer, no dropout"),
 }
 FAST = ("logistic_regression", "ridge", "random_forest", "xgboost", "naive_bayes")
 #: Families that need a deep-learning library; asked for, they are skipped with this reason.
@@ -125,41 +132,6 @@ def families(task: str, fast: bool = False) -> list[str]:
     return [m for m, s in REGISTRY.items() if task in s.tasks and (not fast or m in FAST)]
 
 
-class KernelMachine(Estimator):
-    """Linear machine over random Fourier features of a Gaussian kernel, with one-against-rest for several classes."""
-
-    def __init__(self, c: float, gamma: float, facts: dict, features: int = 100):
-        super().__init__()
-        self.c, self.gamma, self.facts, self.features = c, gamma, facts, features
-
-    def _fit(self, df: DataFrame) -> Model:
-        rng = np.random.default_rng(self.facts["seed"])
-        w = rng.normal(0, math.sqrt(2 * self.gamma), (self.features, self.facts["width"]))
-        b = rng.uniform(0, 2 * math.pi, self.features)
-        lift = FourierFeatures(w.tolist(), b.tolist())
-        one = C.LogisticRegression(featuresCol="_lifted", labelCol="label", regParam=1 / (self.c * self.facts["n"]), maxIter=50)
-        return PipelineModel([lift, one.fit(lift.transform(df))])
-
-
-class FourierFeatures(Saved, Model):
-    def __init__(self, w: list, b: list):
-        super().__init__()
-        self.w, self.b = w, b
-
-    def state(self):
-        return {"w": self.w, "b": self.b}, {}, []
-
-    @classmethod
-    def restore(cls, values, tables, parts):
-        return cls(values["w"], values["b"])
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        x = vector_to_array("features")
-        rows = F.array(*[F.struct(F.array(*map(F.lit, w)).alias("w"), F.lit(b).alias("b")) for w, b in zip(self.w, self.b, strict=True)])
-        dot = lambda r: F.aggregate(F.zip_with(r["w"], x, lambda a, c: a * c), r["b"], lambda t, v: t + v)
-        return df.withColumn("_lifted", array_to_vector(F.transform(rows, lambda r: F.cos(dot(r)))))
-
-
 def assemble(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """features and label columns beside the rest."""
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df).withColumn("label", F.col(label).cast("double"))
