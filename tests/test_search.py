@@ -100,8 +100,8 @@ def test_tuning_a_family(spark):
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([(i, float(a), float(a + b > 0.3)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))], "i int, a double, y double").withColumn("fold", F.col("i") % 3)
     rows = T.assemble(df, ["a"], "y").cache()
-    one = T.search(rows, ["a"], "logistic_regression", "binary", "roc_auc", trials=8, batch=2)
-    two = T.search(rows, ["a"], "logistic_regression", "binary", "roc_auc", trials=8, batch=2)
+    one = T.search(rows, ["a"], "logistic_regression", "binary", "roc_auc", trials=4, batch=2)
+    two = T.search(rows, ["a"], "logistic_regression", "binary", "roc_auc", trials=4, batch=2)
     base = T.search(rows, ["a"], "logistic_regression", "binary", "roc_auc", trials=1)
     assert one.params == two.params and one.cv_score == pytest.approx(two.cv_score) and one.cv_score >= base.cv_score and one.latency_ms > 0
 
