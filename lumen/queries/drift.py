@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import drift as D
+from ..streaming import drift as stream_drift
 from ..streaming import monitor
 from .profile import rounded
 from .registry import query, table
@@ -77,3 +78,27 @@ def stream_perf_windows(spark, d):
     """The windowed summary over the table; tests/test_streaming.py runs the same plan as a stream."""
     out = monitor.windows(table(spark, d, "events"), "ts", "event_type", "value", F.col("value") > 50)
     return rounded(out)
+
+
+def _windows_sql() -> str:
+    """Daily stability of events' values and types against their first week."""
+    inside = " ".join(f"WHEN value < lo + (hi - lo) / 10 * {k} THEN {k - 1}" for k in range(1, 10))
+    rows = f"""v AS (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE ts < TIMESTAMP '2024-01-08'),
+    r AS (SELECT ts, 'value' AS "column", CASE WHEN value < lo - 1e-6 OR value > hi + 1e-6 THEN '-' ELSE CAST(CASE {inside} ELSE 9 END AS VARCHAR) END AS cell FROM events, v WHERE value IS NOT NULL UNION ALL SELECT ts, 'event_type', event_type FROM events WHERE event_type IS NOT NULL)"""
+    return f"""WITH {rows},
+    t AS (SELECT date_trunc('day', ts) AS start, "column", count(*) AS n FROM r WHERE ts >= TIMESTAMP '2024-01-08' GROUP BY ALL),
+    names AS (SELECT DISTINCT "column", cell FROM r WHERE ts < TIMESTAMP '2024-01-08' AND "column" = 'event_type' UNION ALL SELECT 'value', CAST(i AS VARCHAR) FROM range(10) s(i)),
+    b AS (SELECT "column", count(*) AS n FROM r WHERE ts < TIMESTAMP '2024-01-08' GROUP BY ALL),
+    e AS (SELECT names."column", names.cell, greatest(count(r.cell) / any_value(b.n), 0.001) AS e FROM names JOIN b ON b."column" = names."column" LEFT JOIN r ON r."column" = names."column" AND r.cell = names.cell AND r.ts < TIMESTAMP '2024-01-08' GROUP BY names."column", names.cell),
+    a AS (SELECT t.start, e."column", e.cell, any_value(e.e) AS e, any_value(t.n) AS n, greatest(count(r.cell) / any_value(t.n), 0.001) AS a FROM t JOIN e ON e."column" = t."column" LEFT JOIN r ON r."column" = e."column" AND r.cell = e.cell AND date_trunc('day', r.ts) = t.start GROUP BY t.start, e."column", e.cell),
+    w AS (SELECT start, "column", n, e / sum(e) OVER p AS e, a / sum(a) OVER p AS a FROM a WINDOW p AS (PARTITION BY start, "column"))
+    SELECT start, "column", n, round(sum((a - e) * ln(a / e)), 6) AS psi, sum((a - e) * ln(a / e)) > 0.25 AS drifted FROM w GROUP BY start, "column", n"""
+
+
+@query("drift_windows", _windows_sql())
+def drift_windows(spark, d):
+    """Each day against the first week; the same aggregation runs over a stream."""
+    events = table(spark, d, "events")
+    first = events.where("ts < timestamp_ntz'2024-01-08 00:00:00'")
+    out = stream_drift.drift_windows(events.where("ts >= timestamp_ntz'2024-01-08 00:00:00'"), "ts", stream_drift.Baseline.of(first, ["value", "event_type"]), "1 day")
+    return out.withColumn("psi", F.round("psi", 6))
