@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import persist
+from ..operators.expressions import add_columns
 from ..operators.features import FeatureSpec, FeatureTransformer
 from ..operators.ordered import ordered_target
 from .registry import ORACLES, query, table
@@ -175,3 +176,11 @@ def feat_ordered_target(spark, d):
     df = table(spark, d, "lineitem").withColumn("y", (F.col("l_quantity") > 25).cast("int"))
     out = ordered_target(df, ["l_returnflag"], "y", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
     return out.select(*LINE, F.round("l_returnflag_ordered", 9).alias("l_returnflag_ordered"))
+
+
+@query("feat_expressions", f"SELECT {LINE_SQL}, l_extendedprice * (1 - l_discount) / greatest(l_quantity, 1) AS unit, CASE WHEN l_tax > 0.04 THEN l_tax ELSE l_discount END AS higher FROM lineitem")
+def feat_expressions(spark, d):
+    """Columns from texts; the two that must be refused are not among them."""
+    texts = {"unit": "l_extendedprice * (1 - l_discount) / greatest(l_quantity, 1)", "higher": "CASE WHEN l_tax > 0.04D THEN l_tax ELSE l_discount END", "leak": "l_returnflag", "drawn": "rand() * l_tax"}
+    out, _ = add_columns(table(spark, d, "lineitem"), texts, target="l_returnflag")
+    return out.select(*LINE, *[c for c in texts if c in out.columns])
