@@ -6,12 +6,9 @@ in, null out, and never raise on a division by zero.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGER = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -69,19 +66,6 @@ def correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def percent_rank_avg(order: Column) -> Column:
-    """Average rank over the number of rows: ties share the mean of their ranks."""
-    return (F.rank().over(Window.orderBy(order)) + (F.count("*").over(Window.partitionBy(order)) - 1) / 2) / F.count("*").over(Window.partitionBy())
-
-
 def entropy(p: Column) -> Column:
     """Summand of the entropy in bits of a share p."""
     return -p * F.log2(p + 1e-12)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

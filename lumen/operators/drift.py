@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -97,9 +96,3 @@ def serving_summary(df: DataFrame, latency: str, error: Column, confidence: str
 def prediction_distribution(df: DataFrame, prediction: str) -> DataFrame:
     n = df.groupBy(F.col(prediction).cast("string").alias("prediction")).agg(F.count("*").alias("n"))
     return n.join(F.broadcast(n.agg(F.sum("n").alias("_t")))).select("prediction", "n", (F.col("n") / F.col("_t")).alias("share"))
-
-
-def psi_of(expected: list[float], actual: list[float]) -> float:
-    """PSI of two lists of shares, for tables already reduced to histograms."""
-    e, a = ([max(v, FLOOR) for v in s] for s in (expected, actual))
-    return sum((x / sum(a) - y / sum(e)) * math.log((x / sum(a)) / (y / sum(e))) for x, y in zip(a, e, strict=True))

@@ -132,12 +132,13 @@ def confused_pairs(df: DataFrame, y: str, p: str, k: int = 10) -> DataFrame:
     return confusion(df, y, p).where("y <> p").orderBy(F.desc("n"), "y", "p").limit(k)
 
 
-def slices(df: DataFrame, features: list[str], correct: Column, least: int = 5, gap: float = 0.1, distinct: int = 10) -> DataFrame:
+def slices(df: DataFrame, features: list[str], correct: Column, least: int = 5, gap: float = 0.1, distinct: int = 10, most: int | None = 10) -> DataFrame:
     """feature, value, n, accuracy, underperforming: features of few values by value (groups of `least` rows on), others by quartile.
 
-    One grouping-sets aggregation over all features.
+    One grouping-sets aggregation over the features, of which only the first
+    `most` are looked at (all, if None): a report is to be read.
     """
-    features = features[:10]
+    features = features[:most]
     kinds = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in features]).first().asDict()
     numeric = [c for c in features if kinds[c] > distinct and dict(df.dtypes)[c] != "string"]
     edges = df.agg(*[quantile(double(c), [0.0, 0.25, 0.5, 0.75, 1.0]).alias(c) for c in numeric]).first().asDict() if numeric else {}

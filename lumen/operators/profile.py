@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.expr import INTEGER, any_of, correlation, double, entropy, kurtosis, quantile, ratio, skewness
+from ..functions.expr import INTEGER, correlation, double, entropy, kurtosis, quantile, ratio, skewness
 
 PERCENTILES = (1, 5, 25, 75, 95, 99)
 # fixed values: names of identifiers, and the shape of a date
@@ -259,10 +259,6 @@ def suggest_metric(target_type: str, distinct: int, imbalance: float) -> str:
     return ("roc_auc" if imbalance < 0.3 else "f1") if distinct == 2 else "f1_macro"
 
 
-def has_constant(df: DataFrame, columns: list[str]) -> Column:
-    return any_of([F.count_distinct(F.col(c)) <= 1 for c in columns])
-
-
 def check_outputs(df: DataFrame, columns: list[str], most_null: float = 0.5) -> DataFrame:
     """column, constant, null_share, ok: whether new columns are worth keeping."""
     return _long(df, {c: {"constant": F.count_distinct(F.col(c)) <= 1, "null_share": F.avg(F.col(c).isNull().cast("double"))} for c in columns}).withColumn("ok", ~F.col("constant") & (F.col("null_share") <= most_null))

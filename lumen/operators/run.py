@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.persist import Bundle, Saved, frozen
 from ..sources.io import check_target
-from . import metrics as M
 from . import training as T
 from .features import FeatureSpec, FeatureTransformer
 from .ordered import OrderedEncoder

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
+from ..operators.normality import LAST, LAST_BUT_ONE, normality
 from .registry import query, table
 
 NULLED = "o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 97 = 0 THEN NULL ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS priority, o_custkey"
@@ -183,3 +184,30 @@ def prof_types(spark, d):
 def prof_output_checks(spark, d):
     df = table(spark, d, "orders").selectExpr("CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS half", "1 AS flat", "o_totalprice * 2 AS fine")
     return rounded(P.check_outputs(df, ["half", "flat", "fine"]))
+
+
+def _normality_sql() -> str:
+    """W of suppliers' balances; the normal scores by a rational approximation."""
+    # fixed values: coefficients of the approximation, highest power first
+    a = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239]
+    b = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0]
+    c = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
+    d = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0]
+    # end of fixed values
+    horner = lambda cs, x: " + ".join(f"({v!r}::DOUBLE) * power({x}, {len(cs) - 1 - i})" for i, v in enumerate(cs))
+    tail = lambda q: f"({horner(c, q)}) / ({horner(d, q)})"
+    t = "sqrt(-2 * ln(least(q, 1 - q)))"
+    score = f"CASE WHEN q < 0.02425 THEN {tail(t)} WHEN q > 0.97575 THEN -({tail(t)}) ELSE (q - 0.5) * ({horner(a, '((q - 0.5) * (q - 0.5))')}) / ({horner(b, '((q - 0.5) * (q - 0.5))')}) END"
+    poly = lambda cs: " + ".join(f"({v!r}) * power(u, {i})" for i, v in enumerate(cs))
+    return f"""WITH x AS (SELECT s_acctbal::DOUBLE AS v, row_number() OVER (ORDER BY s_acctbal) AS i, count(*) OVER () AS n FROM supplier),
+    m AS (SELECT *, {score} AS m FROM (SELECT *, (i - 0.375) / (n + 0.25) AS q FROM x)),
+    s AS (SELECT sum(m * m) AS mm, max(m) AS m1, max(m) FILTER (WHERE i = n - 1) AS m2, any_value(n) AS n, 1 / sqrt(any_value(n)) AS u FROM m),
+    o AS (SELECT *, m1 / sqrt(mm) + {poly(LAST)} AS a1, m2 / sqrt(mm) + {poly(LAST_BUT_ONE)} AS a2 FROM s),
+    f AS (SELECT *, sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) AS r FROM o),
+    w AS (SELECT m.v, m.n, CASE m.i WHEN 1 THEN -a1 WHEN 2 THEN -a2 WHEN m.n - 1 THEN a2 WHEN m.n THEN a1 ELSE m.m / r END AS a FROM m, f)
+    SELECT 's_acctbal' AS "column", any_value(n) AS n, round(power(sum(a * v), 2) / (var_pop(v) * count(*)), 5) AS w FROM w"""
+
+
+@query("prof_normality", _normality_sql())
+def prof_normality(spark, d):
+    return normality(table(spark, d, "supplier"), ["s_acctbal"], ["s_suppkey"]).select("column", "n", F.round("w", 5).alias("w"))

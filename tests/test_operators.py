@@ -15,34 +15,48 @@ from lumen.sources import io
 
 
 def test_mcnemar_tails():
-    assert significance.mcnemar_p(10, 2) == pytest.approx(158 / 4096)
-    assert 0.0026 < significance.mcnemar_p(30, 10) < 0.0027
-    assert significance.mcnemar_p(0, 0) == 1.0
+    assert significance.mcnemar_p(7, 3) == significance.mcnemar_p(3, 7) == pytest.approx(2 * (1 + 10 + 45 + 120) / 1024)
+    assert significance.mcnemar_p(41, 22) == pytest.approx(math.erfc(math.sqrt(18**2 / 63 / 2)))
+    assert significance.mcnemar_p(6, 6) == 1.0  # the doubled tail is more than the whole
 
 
 def test_holm(spark):
-    for ps, want in (([0.001, 0.008, 0.039, 0.041, 0.042], [True, True, False, False, False]), ([0.01, 0.02, 0.03, 0.04, 0.05], [True, False, False, False, False])):
-        df = spark.createDataFrame(list(enumerate(ps)), "k int, p double")
-        assert [r["reject"] for r in significance.holm(df, "p", "k").orderBy("k").collect()] == want
+    """Against the step-down loop, on drawn values with ties."""
+    rng = np.random.default_rng(11)
+    for n in (1, 4, 9):
+        for _ in range(4):
+            ps = (rng.random(n) ** 3).round(2).tolist()
+            want, going = {}, True
+            for rank, k in enumerate(sorted(range(n), key=lambda k: (ps[k], k))):  # noqa: B023
+                going = going and ps[k] <= 0.05 / (n - rank)
+                want[k] = going
+            df = spark.createDataFrame(list(enumerate(ps)), "k int, p double")
+            assert {r["k"]: r["reject"] for r in significance.holm(df, "p", "k").collect()} == want
 
 
 def test_pareto(spark):
-    df = spark.createDataFrame([(0.7, 1.0), (0.9, 100.0), (0.8, 10.0), (0.75, 50.0), (0.8, 10.0), (None, 1.0)], "s double, l double")
-    assert [r["is_optimal"] for r in metrics.pareto(df, "s", "l").orderBy("s", "l").collect()] == [False, True, False, True, True, True]
+    """Against all pairs of rows, on drawn values with ties and nulls."""
+    rng = np.random.default_rng(12)
+    rows = [(i, None if i == 5 else float(rng.integers(6)) / 4, None if i == 9 else float(rng.integers(8))) for i in range(40)]
+    beats = lambda a, b: None not in a and a[1] >= b[1] and a[2] <= b[2] and a[1:] != b[1:]
+    want = {b[0]: None not in b and not any(beats(a, b) for a in rows) for b in rows}
+    df = spark.createDataFrame(rows, "i int, s double, l double")
+    assert {r["i"]: r["is_optimal"] for r in metrics.pareto(df, "s", "l").collect()} == want
 
 
 def test_threshold():
-    assert metrics.bayes_threshold(1, 9) == pytest.approx(0.1)
-    assert metrics.bayes_threshold(9, 1) == pytest.approx(0.9)
-    assert metrics.bayes_threshold(0, 1) == metrics.bayes_threshold(None, 1) == 0.5
+    for fp, fn in ((3, 2), (0.25, 0.75), (17, 17)):
+        p = metrics.bayes_threshold(fp, fn)
+        assert p * fn == pytest.approx((1 - p) * fp)  # acting and waiting cost the same there
+    assert metrics.bayes_threshold(-2, 4) == metrics.bayes_threshold(4, float("inf")) == metrics.bayes_threshold("x", 4) == 0.5
 
 
 def test_bootstrap():
-    assert significance.bootstrap_difference([0.9] * 10, [0.5] * 10) == pytest.approx((0.4, 0.4, 0.4))
-    rng = np.random.default_rng(0)
-    base = rng.normal(0.8, 0.02, 10)
-    leader, tied = significance.ties({"a": list(base), "b": list(base + rng.normal(0, 0.01, 10)), "c": list(base - 0.2)})
-    assert leader in tied and "c" not in tied
+    assert significance.bootstrap_difference([0.62] * 6, [0.37] * 6) == pytest.approx((0.25, 0.25, 0.25))
+    rng = np.random.default_rng(21)
+    base = rng.uniform(0.6, 0.7, 7)
+    leader, tied = significance.ties({"one": list(base), "two": list(base + rng.permutation(np.linspace(-0.02, 0.02, 7))), "far": list(base / 2)})
+    assert leader in tied and {"one", "two"} == set(tied)
 
 
 def test_drift_of_a_table_on_itself_and_of_empty_ones(spark):
