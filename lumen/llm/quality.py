@@ -101,7 +101,8 @@ def score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame
     fitted by distributed jobs. Null and empty texts have a text view of zeros;
     repeated rows get equal scores; null ids are scored and never learned from.
     With labels of one kind only, or none, every score is that kind's share (0.5
-    for none). An empty table gives none.
+    for none). An empty table gives none. Texts are scored whole, very long ones
+    too. Columns beside those of `documents` are not read and may have any name.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_lid")).agg(F.min("quality").cast("double").alias("_y"))

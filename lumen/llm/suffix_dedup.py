@@ -281,7 +281,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     A byte goes if a string of WIDTH bytes that covers it starts anywhere else,
     in the same document too; judged on the input. Null is the empty text;
     texts under WIDTH bytes keep all. Repeated rows are occurrences like any
-    other. Null ids are kept. An empty table gives none.
+    other. Null ids are kept. An empty table gives none. Only the two named
+    columns are read, so others may have any name.
     """
     base, found = spans(docs, id_col, text_col)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")

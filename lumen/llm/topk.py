@@ -106,7 +106,8 @@ def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec
     repeated row is a candidate like any other; a query row excludes itself
     only. Rows of unequal length are filled with zeros. Scores must fit a long.
     Vectors and queries are dealt into blocks by row, not by value, so equal
-    vectors spread evenly; a block pair is one task's work.
+    vectors spread evenly; a block pair is one task's work. An empty table gives
+    none. Only the two named columns are read, so others may have any name.
     """
     from .common import cut
 
