@@ -211,16 +211,16 @@ def _spellings(word: str) -> list[str]:
 
 
 def train(texts: list[str], labels: np.ndarray, stands: np.ndarray | None = None) -> dict:
-    """Fit on a bounded list of texts (0/1 labels). With one label only, every text scores that label's rate.
+    """Fit on a bounded list of texts (0/1 labels). With one label only, or toxic texts without any word, every text scores the rate of label 1.
 
     `stands` says how many labelled rows each text stands for (1 if not given), so
     that scores keep to the rate of the labels where they were sampled apart.
     """
     stands = np.ones(len(texts)) if stands is None else stands
     rate = float(labels.mean()) if len(labels) else 0.0
-    if not 0 < rate < 1:
-        return {"table": np.zeros(1 << 18, np.float32), "bias": -1.0, "beta": np.array([0, 0, 0, 0, np.log((rate + 1e-3) / (1 - rate + 1e-3))]), "mean": np.zeros(4), "scale": np.ones(4)}
     bags = [_words(t) for t in texts]
+    if not 0 < rate < 1 or not any(bag for bag, label in zip(bags, labels, strict=True) if label):
+        return {"table": np.zeros(1 << 18, np.float32), "bias": -1.0, "beta": np.array([0, 0, 0, 0, np.log((rate + 1e-3) / (1 - rate + 1e-3))]), "mean": np.zeros(4), "scale": np.ones(4)}
     toxic, clean = Counter(), Counter()
     for bag, label in zip(bags, labels, strict=True):
         (toxic if label else clean).update(bag)
@@ -315,7 +315,9 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     Whole texts, very long ones too. A null text is scored as the empty text.
     Rows are independent: repeated rows get equal scores, null ids are kept, an
-    empty table gives none. A model of no labelled rows scores near 0.
+    empty table gives none. A model of no labelled rows scores near 0. Of `docs`
+    only the id, the text and `keep` are read; a column of `keep` may not have a
+    name of the result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

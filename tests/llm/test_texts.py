@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumen.llm import language_id, pii, quality, toxicity
@@ -117,6 +118,15 @@ def test_scores_keep_to_the_rate_of_the_labels(spark):
     assert np.abs(got[0][:2] - got[1][:2]).max() < 0.8
 
 
+def test_toxic_texts_without_words_teach_the_rate_only():
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        model = toxicity.train(["", "!!", "some clean words here", "more of them"], np.array([1, 1, 0, 0]))
+    assert toxicity.probabilities(["", "some words", None], model).tolist() == pytest.approx([0.5] * 3)
+
+
 def test_letters_are_joined_within_one_text():
     sym, begins = toxicity.encode(["i d", "i o t", "ab c - d e fg h"])
     assert begins.tolist() == [0, 4, 10]
