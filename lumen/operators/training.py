@@ -20,6 +20,7 @@ from . import metrics as M
 from . import parzen
 from .boosting import Growth, NewtonBoosting
 from .descent import Descent
+from .extratrees import Forest, RandomCuts
 from .neighbours import NearestNeighbours
 
 #: A search tries ensembles of at most so many trees, and so many settings, unless asked for more.
@@ -75,6 +76,11 @@ def _boosted(by: str, **fixed):
     return build
 
 
+def _random_cuts(task: str, p: dict, facts: dict) -> Estimator:
+    tried = p.get("tried", 1.0 if task == "regression" else "sqrt")
+    return RandomCuts(task, Forest(int(p.get("n_trees", 20)), int(p.get("max_depth", 12)), int(p.get("min_split", 2)), int(p.get("min_leaf", 1)), tried, facts["seed"]), facts["classes"])
+
+
 def _linear(kind: str):
     def build(task: str, p: dict, facts: dict) -> Estimator:
         reg, mix = regularised(kind, float(p.get("alpha", 1.0)), facts["n"], facts["sd"], float(p.get("l1_ratio", 0.5)))
@@ -113,7 +119,7 @@ REGISTRY: dict[str, Spec] = {
     "sgd": Spec(ALL, {"alpha": _log(1e-6, 1e-1), "loss": ["modified_huber", "squared_hinge"]}, _sgd, "full-batch descent"),
     "decision_tree": Spec(ALL, {"max_depth": (2, 20), "min_leaf": (1, 20)}, _trees(C.DecisionTreeClassifier, R.DecisionTreeRegressor)),
     "random_forest": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 12), "min_leaf": (1, 15)}, _trees(C.RandomForestClassifier, R.RandomForestRegressor)),
-    "extra_trees": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 12), "min_leaf": (1, 15)}, _trees(C.RandomForestClassifier, R.RandomForestRegressor, bootstrap=False, featureSubsetStrategy="sqrt"), "no random thresholds"),
+    "extra_trees": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 20), "min_split": (2, 30), "min_leaf": (1, 15), "tried": ["sqrt", "log2", 0.5]}, _random_cuts, "depth of 12 unless asked for another"),
     "xgboost": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 8), "rate": _log(0.02, 0.3), "subsample": (0.6, 1.0), "columns": (0.5, 1.0), "l1": _log(1e-3, 1.0), "l2": _log(0.1, 10.0)}, _boosted("level"), "Newton steps, by level"),
     "lightgbm": Spec(ALL, {"n_trees": (20, MAX_TREES), "leaves": (7, 63), "rate": _log(0.02, 0.3), "subsample": (0.5, 1.0), "min_leaf": (5, 50)}, _boosted("leaf", l2=1e-3, least_hessian=1e-3, least_rows=20), "Newton steps, by leaf within depth 6"),
     "catboost": Spec(ALL, {"n_trees": (20, MAX_TREES), "max_depth": (3, 6), "rate": _log(0.02, 0.3), "l2": _log(1.0, 10.0)}, _boosted("same", l2=3.0), "Newton steps, one split a level; categories by ordered target statistics in a run"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import persist
 from ..operators import boosting as B
 from ..operators import explain as X
+from ..operators import extratrees as E
 from ..operators import trees
 from ..operators import run as R
 from ..operators import training as T
@@ -98,6 +99,27 @@ def train_boosted_split(spark, d):
     return rounded(spark.createDataFrame(made, "feature string, threshold double, n_left long, n_right long, left_weight double, right_weight double"), 3)
 
 
+_CUT = ["l_quantity", "l_discount", "l_tax"]
+_TRIED, _SHARES = (a.tolist() for a in E.drawn(42, 0, 1, len(_CUT)))
+
+
+@query(
+    "train_random_split",
+    f"""WITH r AS (SELECT l_quantity::DOUBLE AS l_quantity, l_discount::DOUBLE AS l_discount, l_tax::DOUBLE AS l_tax, (l_extendedprice * l_discount > 1500)::INT AS y FROM lineitem),
+    t AS ({" UNION ALL ".join(f"SELECT {i} AS i, '{_CUT[f]}' AS f, min({_CUT[f]}) + {_SHARES[f]!r}::DOUBLE * (max({_CUT[f]}) - min({_CUT[f]})) AS x FROM r" for i, f in enumerate(_TRIED))}),
+    s AS ({" UNION ALL ".join(f"SELECT t.i, t.f, t.x, r.{c} <= t.x AS low, y FROM r, t WHERE t.f = '{c}'" for c in _CUT)}),
+    c AS (SELECT i, f, x, (count(*) FILTER (WHERE low))::DOUBLE AS a, (sum(y) FILTER (WHERE low))::DOUBLE AS p, (count(*) FILTER (WHERE NOT low))::DOUBLE AS b, (sum(y) FILTER (WHERE NOT low))::DOUBLE AS q FROM s GROUP BY i, f, x)
+    SELECT f AS feature, round(x, 9) AS threshold, a::BIGINT AS n_left, b::BIGINT AS n_right, round(p / a, 9) AS left_value, round(q / b, 9) AS right_value FROM c ORDER BY round((p * p + (a - p) * (a - p)) / a + (q * q + (b - q) * (b - q)) / b, 6) DESC, i LIMIT 1""",
+)
+def train_random_split(spark, d):
+    """The first split of an extremely randomised tree that tries all features, and its leaves' shares; the SQL cuts at the same shares of the ranges."""
+    df = T.assemble(table(spark, d, "lineitem").withColumn("y", F.expr("cast(l_extendedprice * l_discount > 1500 as int)")), _CUT, "y")
+    made = E.RandomCuts("binary", E.Forest(trees=1, depth=1, tried=1.0)).fit(df).ensemble().trees[0]
+    a, b = int(made.left[0]), int(made.right[0])
+    row = (_CUT[int(made.feature[0])], float(made.threshold[0]), int(made.cover[a]), int(made.cover[b]), float(made.value[a]), float(made.value[b]))
+    return rounded(spark.createDataFrame([row], "feature string, threshold double, n_left long, n_right long, left_value double, right_value double"), 9)
+
+
 @query(
     "train_neighbours",
     """WITH d AS (SELECT s_suppkey, abs(round(s_acctbal * 100) - round(c_acctbal * 100)) AS d FROM supplier, customer), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d) AS r FROM d)
