@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.persist import frozen
+from .quantiles import quantiles
 from .training import LOWER_IS_BETTER, evaluate, positive
 
 #: Rows that explanations look at, by hash of the row's key; rows of a bucket within which values are dealt anew.
@@ -55,7 +56,7 @@ def permutation_importance(df: DataFrame, model: Model, columns: list[str], key:
 
 def partial_dependence(df: DataFrame, model: Model, columns: list[str], feature: str, points: int = 10, regression: bool = False) -> DataFrame:
     """value, mean: the mean output with one column set to each point of a grid between its 5th and 95th percentile. A row becomes `points` rows."""
-    lo, hi = df.agg(F.percentile(F.col(feature).cast("double"), F.array(F.lit(0.05), F.lit(0.95)))).first()[0]
+    lo, hi = quantiles(df, {feature: (F.col(feature).cast("double"), [0.05, 0.95])})[feature]
     grid = [float(v) for v in np.linspace(lo, hi, points)]
     rows = df.withColumn("_g", F.explode(F.array(*[F.lit(v) for v in grid]))).withColumn(feature, F.col("_g"))
     scored = model.transform(_features(rows, columns))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.expr import clip, double, finite, is_numeric, quantile, ratio
 from ..functions.persist import Saved, frozen
+from .quantiles import quantiles
 
 AGGREGATES = ("mean", "median", "std", "max", "min")
 #: Patterns that date texts may follow, tried in this order.
@@ -191,14 +192,15 @@ class FeatureTransformer(Estimator):
             raise ValueError("; ".join(problems))
         y = finite(_number(df, self.target)) if self.target else None
         scalars: dict[str, Column] = {"_rows": F.count("*")}
+        ranked: dict[str, tuple[Column, list[float]]] = {}
         tables: dict[str, dict[str, Column]] = {}
         for i, spec in enumerate(self.specs):
             p = full_params(spec)
             if spec.op == "winsorize":
-                scalars[f"v{i}"] = quantile(finite(_number(df, p["col"])), [0.01, 0.99])
+                ranked[f"v{i}"] = (finite(_number(df, p["col"])), [0.01, 0.99])
             elif spec.op == "quantile_bin":
                 x = finite(_number(df, p["col"]))
-                scalars[f"v{i}"] = quantile(x, [k / p["n_bins"] for k in range(1, p["n_bins"])])
+                ranked[f"v{i}"] = (x, [k / p["n_bins"] for k in range(1, p["n_bins"])])
                 scalars[f"lo{i}"], scalars[f"hi{i}"] = F.min(x), F.max(x)
             elif spec.op == "datetime_parts":
                 scalars[f"any{i}"] = F.count(_moment(df, p["col"], None))
@@ -214,12 +216,17 @@ class FeatureTransformer(Estimator):
                 tables.setdefault(p["col"], {}).update({f"t{i}_n": F.count(y), f"t{i}_m": F.avg(y)})
             elif spec.op == "group_aggregate":
                 x = finite(_number(df, p["col"]))
-                scalars[f"v{i}"] = _GROUPED[p["agg"]](x)
+                if p["agg"] == "median":
+                    ranked[f"v{i}"] = (x, [0.5])
+                else:
+                    scalars[f"v{i}"] = _GROUPED[p["agg"]](x)
                 tables.setdefault(p["by"], {})[f"t{i}"] = _GROUPED[p["agg"]](x)
             else:
                 for c in OPS[spec.op].columns:
                     _number(df, p[c])
         got = df.agg(*[e.alias(a) for a, e in scalars.items()]).first().asDict()
+        medians = {f"v{i}" for i, spec in enumerate(self.specs) if spec.op == "group_aggregate"}
+        got |= {a: v[0] if v and a in medians else v for a, v in quantiles(df, ranked).items()}
         self._check(got)
         learned = {}
         for by, exprs in tables.items():

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expr import double, quantile, ratio, skewness
+from ..functions.expr import double, ratio, skewness
+from .quantiles import quantiles
 
 ECE_EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
 BUCKETS = 64
@@ -141,7 +142,7 @@ def slices(df: DataFrame, features: list[str], correct: Column, least: int = 5,
     features = features[:most]
     kinds = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in features]).first().asDict()
     numeric = [c for c in features if kinds[c] > distinct and dict(df.dtypes)[c] != "string"]
-    edges = df.agg(*[quantile(double(c), [0.0, 0.25, 0.5, 0.75, 1.0]).alias(c) for c in numeric]).first().asDict() if numeric else {}
+    edges = quantiles(df, {c: (double(c), [0.0, 0.25, 0.5, 0.75, 1.0]) for c in numeric})
 
     def label(c: str) -> Column:
         if c not in numeric:

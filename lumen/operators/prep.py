@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expr import clip, double, quantile
+from ..functions.expr import clip, double
 from ..functions.persist import Saved
 from .profile import correlations
+from .quantiles import quantiles
 
 #: A one-hot column has at most so many categories.
 MAX_CATEGORIES = 1000
@@ -96,17 +97,16 @@ def select_names(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 class Preprocessor(Estimator):
-    """Clip, impute and scale numbers; fill and one-hot encode categories. `fit` is one aggregation and one distinct."""
+    """Clip, impute and scale numbers; fill and one-hot encode categories. `fit` is percentiles of bounded memory, one aggregation and one distinct."""
 
     def __init__(self, numeric: list[str], categorical: list[str], clipped: list[str] = (), keep: list[str] = (), indicators: bool = False):
         super().__init__()
         self.numeric, self.categorical, self.clipped, self.keep, self.indicators = list(numeric), list(categorical), list(clipped), list(keep), indicators
 
     def _fit(self, df: DataFrame) -> PreprocessorModel:
-        bounds = df.agg(*[quantile(double(c), [0.01, 0.99]).alias(c) for c in self.clipped]).first().asDict() if self.clipped else {}
-        bounds = {c: b for c, b in bounds.items() if b and b[0] is not None}
+        bounds = {c: b for c, b in quantiles(df, {c: (double(c), [0.01, 0.99]) for c in self.clipped}).items() if b}
         x = {c: clip(double(c), *bounds[c]) if c in bounds else double(c) for c in self.numeric}
-        medians = df.agg(*[quantile(e, 0.5).alias(c) for c, e in x.items()]).first().asDict() if x else {}
+        medians = {c: q[0] if q else None for c, q in quantiles(df, {c: (e, [0.5]) for c, e in x.items()}).items()}
         filled = {c: F.coalesce(e, F.lit(medians[c])) for c, e in x.items()}
         scale = df.agg(*[a for c, e in filled.items() for a in (F.avg(e).alias(f"m_{c}"), F.stddev_pop(e).alias(f"s_{c}"))]).first().asDict() if x else {}
         vocabulary: dict[str, list[str]] = {}

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.expr import INTEGER, correlation, double, entropy, kurtosis, quantile, ratio, skewness
+from .quantiles import quantiles
 
 PERCENTILES = (1, 5, 25, 75, 95, 99)
 # fixed values: names of identifiers, and the shape of a date
@@ -23,7 +24,7 @@ DATE_SHAPE = r"^\s*(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})
 # end of fixed values
 
 
-def _long(df: DataFrame, per_column: dict[str, dict[str, Column]], accuracy: int | None = None) -> DataFrame:
+def _long(df: DataFrame, per_column: dict[str, dict[str, Column]]) -> DataFrame:
     """One aggregation, turned into a row a column: `per_column` holds the named expressions of each."""
     flat = {f"s{i}": F.struct(F.lit(c).alias("column"), *[e.alias(n) for n, e in exprs.items()]) for i, (c, exprs) in enumerate(per_column.items())}
     one = df.agg(*[F.array(e).alias(a) for a, e in flat.items()])
@@ -35,14 +36,23 @@ def overview(df: DataFrame) -> DataFrame:
     return _long(df, {c: {"missing_pct": ratio(F.count_if(F.col(c).isNull()) * 100.0, F.count("*")), "n_unique": F.count_distinct(F.col(c)), "n_rows": F.count("*")} for c in df.columns})
 
 
+def percentiles(df: DataFrame, columns: list[str], shares: list[float], accuracy: int | None = None) -> dict[str, list[float] | None]:
+    """Those of each column, exact or (one pass less) by a sketch of an accuracy."""
+    if accuracy is None:
+        return quantiles(df, {c: (double(c), shares) for c in columns})
+    return df.agg(*[quantile(double(c), shares, accuracy).alias(f"q{i}") for i, c in enumerate(columns)]).select(*[F.col(f"q{i}").alias(c) for i, c in enumerate(columns)]).first().asDict()
+
+
 def numeric_stats(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """Moments, extremes, percentiles, zeros, negatives and outliers of each column; `accuracy` trades exact percentiles for bounded memory."""
-    q = df.agg(*[quantile(double(c), [0.25, 0.75], accuracy).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    """Moments, extremes, percentiles, zeros, negatives and outliers of each column; `accuracy` trades exact percentiles for fewer passes."""
+    shares = (*PERCENTILES, 50)
+    q = percentiles(df, columns, [v / 100 for v in shares], accuracy)
     exprs = {}
-    for i, c in enumerate(columns):
+    for c in columns:
         x = double(c)
-        lo, hi = fence(q[i])
-        p = quantile(x, [v / 100 for v in (*PERCENTILES, 50)], accuracy)
+        at = dict(zip(shares, q[c] or [None] * len(shares), strict=True))
+        lo, hi = fence([at[25], at[75]])
+        p = [F.lit(v).cast("double") for v in at.values()]
         exprs[c] = {
             "count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x), "median": p[len(PERCENTILES)],
             "skew": skewness(x), "kurtosis": kurtosis(x), "n_zeros": F.count_if(x == 0), "n_negatives": F.count_if(x < 0),
@@ -151,11 +161,12 @@ def co_missing(df: DataFrame, columns: list[str], least: float = 0.5) -> DataFra
 
 def outliers(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """column, n_iqr, n_z (over three population deviations), recommendation (clip if over 1 % lie outside the fence)."""
-    first = df.agg(*[e for i, c in enumerate(columns) for e in (quantile(double(c), [0.25, 0.75], accuracy).alias(f"q{i}"), F.avg(double(c)).alias(f"m{i}"), F.stddev_pop(double(c)).alias(f"s{i}"))]).first()
+    q = percentiles(df, columns, [0.25, 0.75], accuracy)
+    first = df.agg(*[e for i, c in enumerate(columns) for e in (F.avg(double(c)).alias(f"m{i}"), F.stddev_pop(double(c)).alias(f"s{i}"))]).first()
     exprs = {}
     for i, c in enumerate(columns):
         x = double(c)
-        lo, hi = fence(first[f"q{i}"])
+        lo, hi = fence(q[c])
         n_iqr = F.count_if((x < lo) | (x > hi))
         z = F.abs(F.try_divide(x - F.lit(first[f"m{i}"]), F.lit(first[f"s{i}"])))
         exprs[c] = {"n_iqr": n_iqr, "n_z": F.count_if(z > 3), "recommendation": F.when(ratio(n_iqr.cast("double"), F.count(x)) > 0.01, "clip").otherwise("none")}
@@ -178,8 +189,8 @@ def quality(df: DataFrame, dates: list[str], order: str, as_of: str) -> DataFram
     n = df.count()
     if not n:
         raise ValueError("an empty table has no quality")
-    q = df.agg(*[quantile(double(c), [0.25, 0.75]).alias(f"q{i}") for i, c in enumerate(numbers)]).first() if numbers else []
-    wild = [F.count_if((double(c) < fence(q[i])[0]) | (double(c) > fence(q[i])[1])).alias(f"w{i}") for i, c in enumerate(numbers)]
+    q = percentiles(df, numbers, [0.25, 0.75])
+    wild = [F.count_if((double(c) < fence(q[c])[0]) | (double(c) > fence(q[c])[1])).alias(f"w{i}") for i, c in enumerate(numbers)]
     nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns]) / (F.count("*") * len(df.columns))
     last = [F.max(F.col(dates[-1])).alias("last")] if dates else []
     got = df.agg(nulls.alias("nulls"), *wild, *last)
