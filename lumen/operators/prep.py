@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import clip, double
-from ..functions.persist import Saved
+from ..functions.persist import Saved, frozen
 from .profile import correlations
 from .quantiles import quantiles
 
@@ -47,17 +47,33 @@ def split(df: DataFrame, key: list[str], test_share: float = 0.2, by: str | None
     return out.select(*df.columns, "is_test")
 
 
+def _ranked(df: DataFrame, by: str | None, order: list[Column]) -> DataFrame:
+    """`df` with `_rank` from 1 in a given order, and `_all`, the rows of its class of `by`; a null is a class.
+
+    Rows are dealt to tasks by range of (class, order) and ranked there; the
+    tasks' counts, a row a class and task, are added up before. So a class that
+    holds most of the rows spans many tasks, unless its rows are equal in `order`.
+    """
+    parts = [F.col(by).alias("_y") if by else F.lit(0).alias("_y"), *[o.alias(f"_o{i}") for i, o in enumerate(order)]]
+    names = ["_y", *[f"_o{i}" for i in range(len(order))]]
+    rows = frozen(df.select("*", *parts).repartitionByRange(*names).withColumn("_part", F.spark_partition_id()))
+    task = Window.partitionBy("_y", "_part")
+    sizes = rows.groupBy("_y", "_part").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_y")
+    sizes = sizes.select(F.col("_y").alias("_y2"), F.col("_part").alias("_part2"), (F.sum("_n").over(w.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_all"))
+    ranked = rows.withColumn("_r", F.row_number().over(task.orderBy(*names[1:])))
+    out = ranked.join(sizes, F.col("_y").eqNullSafe(F.col("_y2")) & (F.col("_part") == F.col("_part2")))
+    return out.select(*df.columns, (F.col("_r") + F.col("_before")).alias("_rank"), "_all")
+
+
 def stratified(df: DataFrame, by: str, order: list[Column], test_share: float = 0.2) -> DataFrame:
-    """`is_test` for the first round(share * n) rows of each class in a given order; a class is one task's window, so prefer `split` for large tables."""
-    w = Window.partitionBy(by)
-    r = F.row_number().over(w.orderBy(*order))
-    return df.withColumn("is_test", r <= F.round(F.count("*").over(w) * test_share))
+    """`is_test` for the first round(share * n) rows of each class in a given order (ascending); `split` needs no sort."""
+    return _ranked(df, by, order).withColumn("is_test", F.col("_rank") <= F.round(F.col("_all") * test_share)).drop("_rank", "_all")
 
 
 def kfold(df: DataFrame, order: list[Column], k: int = 5, by: str | None = None) -> DataFrame:
-    """`fold` from 0 to k - 1, dealt in turn in a given order (within each class of `by`); the whole class is one task's window, so prefer `hash_fold` for large tables."""
-    w = Window.partitionBy(by) if by else Window.partitionBy()
-    return df.withColumn("fold", (F.row_number().over(w.orderBy(*order)) - 1) % k)
+    """`fold` from 0 to k - 1, dealt in turn in a given order (ascending; within each class of `by`); `hash_fold` needs no sort."""
+    return _ranked(df, by, order).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_all")
 
 
 def hash_fold(df: DataFrame, key: list[str], k: int = 5, seed: int = 42) -> DataFrame:

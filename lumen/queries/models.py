@@ -173,6 +173,20 @@ def explain_partial_dependence(spark, d):
     return X.partial_dependence(df.drop("features"), model, FEATURES, "l_discount", 5)
 
 
+@query(
+    "explain_dependence_plane",
+    """WITH r AS (SELECT l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b FROM lineitem),
+    s AS (SELECT avg(y) AS my, avg(a) AS ma, (covar_pop(y, a) * var_pop(b) - covar_pop(y, b) * covar_pop(a, b)) / (var_pop(a) * var_pop(b) - covar_pop(a, b) ^ 2) AS slope, quantile_cont(a, 0.05) AS lo, quantile_cont(a, 0.95) AS hi FROM r)
+    SELECT lo + i * (hi - lo) / 4 AS value, round(my + slope * (lo + i * (hi - lo) / 4 - ma), 3) AS mean FROM s, range(5) g(i)""",
+)
+def explain_dependence_plane(spark, d):
+    """How a least-squares plane depends on one of its two columns, the other as in the table."""
+    df = T.assemble(table(spark, d, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
+    plane = T.REGISTRY["ridge"].build("regression", {"alpha": 0.0}, T.facts(df, ["l_quantity", "l_discount"])).fit(df)
+    out = X.partial_dependence(df.withColumn("l_quantity", F.col("l_quantity").cast("double")), plane, ["l_quantity", "l_discount"], "l_quantity", 5, regression=True)
+    return out.withColumn("mean", F.round("mean", 3))
+
+
 @query("explain_permutation")
 def explain_permutation(spark, d):
     df = _rows(spark, d, "cast(l_extendedprice * l_discount > 1500 as int)")

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumen.operators import drift, metrics, prep, significance
 from lumen.operators import profile as P
@@ -148,3 +149,21 @@ def test_sources(spark, tmp_path):
 
 def test_semantics():
     assert semantics.sensitive_columns(["age", "mileage", "account_age_days"]) == ["age"]
+
+
+def test_ranks_span_tasks(spark):
+    """Splits and folds in a given order, with a class of most rows, null classes and many tasks."""
+    rows = [(i * 7 % 401, "a" if i % 10 else None if i % 20 else "b") for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.createDataFrame(rows, "id int, c string").repartition(6)
+    assert prep._ranked(df, "c", [F.col("id")]).count() == 400
+    got = {r["id"]: r["fold"] for r in prep.kfold(df, [F.col("id")], 3, "c").collect()}
+    whole = {r["id"]: r["fold"] for r in prep.kfold(df, [F.col("id")], 3).collect()}
+    test = {r["id"] for r in prep.stratified(df, "c", [F.col("id")], 0.25).where("is_test").collect()}
+    assert [whole[i] for i in sorted(whole)] == [i % 3 for i in range(400)]
+    for c in ("a", "b", None):
+        ids = sorted(i for i, v in rows if v == c)
+        assert [got[i] for i in ids] == [j % 3 for j in range(len(ids))]
+        assert {i for i in ids if i in test} == set(ids[: round(len(ids) * 0.25)])
+    assert prep.kfold(df.limit(0), [F.col("id")], 3).columns == ["id", "c", "fold"] and prep.kfold(df.limit(0), [F.col("id")], 3).count() == 0
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
