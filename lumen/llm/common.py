@@ -102,6 +102,29 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], heavy: DataFrame
     return cold.unionByName(rows.join(few, keys, "left_semi").join(F.broadcast(table.join(few, keys, "left_semi")), keys, how))
 
 
+#: Bits of a sieve: so many a key, and so many at most.
+SIEVE_KEY_BITS, SIEVE_BITS = 16, 1 << 25
+
+
+def sieve(keys: DataFrame, mark: Column, other: Column) -> tuple[DataFrame, Column]:
+    """(bits, caught): a broadcast row of bits, and the condition on another table joined to it that its `other` may be the `mark` of a row of `keys`.
+
+    True wherever it is one, and for few others; beyond SIEVE_BITS / SIEVE_KEY_BITS
+    keys for more of them. Both hashes are 64 bits.
+    """
+    n = 64
+    while n < min(SIEVE_BITS, SIEVE_KEY_BITS * keys.count()):
+        n *= 2
+    at = lambda h: F.pmod(h, F.lit(n))
+    word, bit = lambda h: F.shiftright(at(h), 6).cast("int"), lambda h: (at(h) % 64).cast("int")
+    found = keys.select(word(mark).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(mark)).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    words = [0] * (n // 64)
+    for r in found:
+        words[r["w"]] = r["b"]
+    bits = F.broadcast(keys.sparkSession.createDataFrame([(words,)], "_sieve array<long>"))
+    return bits, F.call_function("shiftright", F.get("_sieve", word(other)), bit(other)) % 2 != 0
+
+
 def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """`df` with its columns named c0, c1, ..., and the new name of each (of the first, where one occurs twice), so that no name of the caller's meets one of an operator's."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), {c: f"c{i}" for i, c in reversed(list(enumerate(df.columns)))}

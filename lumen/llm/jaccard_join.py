@@ -12,24 +12,29 @@ still to be expected at each depth, and the next nodes to look at are the deepes
 at which the target recall is reached, until it is. At the least depth used any
 pair at the threshold is found with the target probability, whatever was found
 before. A node that brings classes of several homes together is a task; a pair is
-verified once, on its shingle sets, in the first tree that has it.
+verified once, on its shingle sets, in the first tree that has it. Labels go to
+the tasks first, and the sets follow of those classes only that agree with another
+one in as many symbols as nearly any pair at the threshold does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, hot, lookup, plain_names, tidy
+from .common import cut, forget, hot, lookup, plain_names, sieve, tidy
 from .components import components
 
 N_WORDS, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH = 24, 8
 TARGET_RECALL = 0.99999
+#: Probability that a pair at the threshold agrees in fewer symbols than the tasks ask for.
+MISSED = 1e-12
 #: Classes of a block, of which a task takes two, and shingles that a block may have; classes compared with each other at once.
 BLOCK, WEIGHT, STEP = 1536, 1 << 22, 384
 #: Places of the histogram of similarities from the threshold to 1.
@@ -67,6 +72,16 @@ def next_depth(found: np.ndarray, at: int, least: int, threshold: float, trees:
     return least
 
 
+def least_matches(threshold: float, symbols: int, missed: float = MISSED) -> int:
+    """The most symbols that a pair at the threshold agrees in but with probability `missed`."""
+    below = 0.0
+    for m in range(symbols + 1):
+        below += math.comb(symbols, m) * threshold**m * (1 - threshold) ** (symbols - m)
+        if below > missed:
+            return m
+    return symbols
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -230,6 +245,61 @@ def _together(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _wanted(tree: int, labels: np.ndarray, home: np.ndarray, d: int, before: int | None, least: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which pairs of some members with others a task takes, as `_verify` says."""
+    if tree < 0:
+        some = _codes(labels, least)
+        return lambda p, q: _together(some, p, q)
+    never = _codes(labels[:, :tree], d)
+    if before is not None:
+        never = np.concatenate([never, _codes(labels, before)])
+    return lambda p, q: (home[p][:, None] != home[q][None, :]) & ~_together(never, p, q)
+
+
+def _steps(side: np.ndarray, one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The members to compare at once; the same array twice where they are compared with each other."""
+    a = np.arange(len(side)) if one else np.flatnonzero(side == 0)
+    b = a if one else np.flatnonzero(side == 1)
+    for x in range(0, len(a), STEP):
+        for y in range(x if one else 0, len(b), STEP):
+            p = a[x : x + STEP]
+            q = p if one and x == y else b[y : y + STEP]
+            if len(p) and len(q):
+                yield p, q
+
+
+def _screened(rows: DataFrame, d: int, before: int | None, least: int, trees: int, most: int, threshold: float) -> DataFrame:
+    """The rows of node tasks (with size and label) whose class agrees, in `least_matches` symbols, with another one that the task would verify it against; and a row a task with a null cid and the number of pairs that it compared."""
+    columns = ["g", "tree", "cid", "home", "b", "s", "b2", "s2", "side"]
+    enough = least_matches(threshold, trees * most)
+
+    def run(table: pa.Table) -> pa.Table:
+        # repeated rows may bring a class more than once
+        table = table.take(pa.array(np.unique(table["cid"].to_numpy(), return_index=True)[1]))
+        side, home, size = (table[c].to_numpy() for c in ("side", "home", "size"))
+        one = table["s"][0].as_py() == table["s2"][0].as_py() and table["b"][0].as_py() == table["b2"][0].as_py()
+        flat = np.frombuffer(b"".join(table["label"].to_pylist()), np.uint16).reshape(len(side), trees * most)
+        wanted = _wanted(table["tree"][0].as_py(), flat.reshape(len(side), trees, most), home, d, before, least)
+        close, pairs = np.zeros(len(side), bool), 0
+        for p, q in _steps(side, one):
+            takes = wanted(p, q)
+            if q is p:
+                takes = np.triu(takes, 1)
+            pairs += int(np.count_nonzero(takes))
+            ratio = size[p][:, None] / size[q][None, :]
+            i, j = np.nonzero(takes & (np.minimum(ratio, 1 / ratio) >= threshold))
+            for lo in range(0, len(i), 1 << 14):
+                x, y = p[i[lo : lo + (1 << 14)]], q[j[lo : lo + (1 << 14)]]
+                hit = np.count_nonzero(flat[x] == flat[y], axis=1) >= enough
+                close[x[hit]] = close[y[hit]] = True
+        kept = table.select(columns).filter(pa.array(close))
+        kept = kept.append_column("pairs", pa.array(np.zeros(kept.num_rows, np.int64)))
+        return pa.concat_tables([kept, pa.table([pa.array([pairs if f.name == "pairs" else None], f.type) for f in kept.schema], schema=kept.schema)])
+
+    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema), "pairs long"])
+    return rows.groupBy("g", "b", "s", "b2", "s2").applyInArrow(run, kinds)
+
+
 def _verify(rows: DataFrame, d: int, before: int | None, least: int, trees: int, most: int, threshold: float) -> DataFrame:
     """(kind, u, v, w): `e` links that connect what is linked, `l` linked documents of u, `s` links of depth and similarity step u, `n` pairs verified.
 
@@ -249,45 +319,33 @@ def _verify(rows: DataFrame, d: int, before: int | None, least: int, trees: int,
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["set"]]
         sizes = np.array([len(x) for x in sets], np.float64)
         labels = np.frombuffer(b"".join(table["label"].to_pylist()), np.uint16).reshape(len(cid), trees, most)
-        if tree < 0:
-            some, never = _codes(labels, least), []
-        else:
-            some, never = [], _codes(labels[:, :tree], d)
-            if before is not None:
-                never = np.concatenate([never, _codes(labels, before)])
+        takes = _wanted(tree, labels, home, d, before, least)
         links, i_all, j_all = np.zeros(len(cid), np.int64), [], []
         seen, pairs = np.zeros((most + 1) * BINS, np.int64), 0
-        a = np.arange(len(side)) if one else np.flatnonzero(side == 0)
-        b = a if one else np.flatnonzero(side == 1)
-        for x in range(0, len(a), STEP):
-            for y in range(x if one else 0, len(b), STEP):
-                p = a[x : x + STEP]
-                q = p if one and x == y else b[y : y + STEP]
-                if not len(p) or not len(q):
-                    continue
-                wanted = _together(some, p, q) if tree < 0 else (home[p][:, None] != home[q][None, :]) & ~_together(never, p, q)
-                if q is p:
-                    wanted = np.triu(wanted, 1)
-                pairs += int(np.count_nonzero(wanted))
-                ratio = sizes[p][:, None] / sizes[q][None, :]
-                wanted &= np.minimum(ratio, 1 / ratio) >= threshold
-                if not wanted.any():
-                    continue
-                s = _similar(sizes, sets, p, q, wanted)
-                hit = wanted & (s >= threshold)
-                links[p] += hit @ weight[q]
-                links[q] += hit.T @ weight[p]
-                i, j = np.nonzero(hit)
-                step = np.minimum(((s[i, j] - threshold) / (1 - threshold) * BINS).astype(int), BINS - 1)
-                i, j = p[i], q[j]
-                depth = np.full(len(i), d)
-                if tree < 0:
-                    for k in range(least, most + 1):
-                        codes = _codes(labels, k)
-                        depth[np.any(codes[:, i] == codes[:, j], axis=0)] = k
-                seen += np.bincount(depth * BINS + step, minlength=len(seen))
-                i_all.append(i)
-                j_all.append(j)
+        for p, q in _steps(side, one):
+            wanted = takes(p, q)
+            if q is p:
+                wanted = np.triu(wanted, 1)
+            pairs += int(np.count_nonzero(wanted))
+            ratio = sizes[p][:, None] / sizes[q][None, :]
+            wanted &= np.minimum(ratio, 1 / ratio) >= threshold
+            if not wanted.any():
+                continue
+            similar = _similar(sizes, sets, p, q, wanted)
+            hit = wanted & (similar >= threshold)
+            links[p] += hit @ weight[q]
+            links[q] += hit.T @ weight[p]
+            i, j = np.nonzero(hit)
+            step = np.minimum(((similar[i, j] - threshold) / (1 - threshold) * BINS).astype(int), BINS - 1)
+            i, j = p[i], q[j]
+            depth = np.full(len(i), d)
+            if tree < 0:
+                for k in range(least, most + 1):
+                    codes = _codes(labels, k)
+                    depth[np.any(codes[:, i] == codes[:, j], axis=0)] = k
+            seen += np.bincount(depth * BINS + step, minlength=len(seen))
+            i_all.append(i)
+            j_all.append(j)
         edges = np.array(_stars(np.concatenate(i_all), np.concatenate(j_all), len(side)) if i_all else [], np.int64).reshape(-1, 2)
         linked, steps = np.flatnonzero(links), np.flatnonzero(seen)
         none = lambda n: np.zeros(n, np.int64)
@@ -324,7 +382,7 @@ def _tasks(groups: DataFrame, threshold: float, total: int) -> DataFrame:
             F.transform(upto(F.col("_down")), lambda t: key(band - 1, t, band, s, F.lit(1))),
         )
     )
-    return rows.select("g", "tree", "cid", "home", F.explode(tasks).alias("k")).select("g", "tree", "cid", "home", "k.*")
+    return rows.select("g", "tree", "cid", "home", "size", F.explode(tasks).alias("k")).select("g", "tree", "cid", "home", "size", "k.*")
 
 
 def _homes(trie: DataFrame, total: int) -> DataFrame:
@@ -343,7 +401,7 @@ def classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tre
     """(sigs, final) for `docs` (doc_id, text): sigs has doc_id, _t (md5 of the text), ck; final has, for the classes with a link or a copy, ck, root, class_id, keep_id, keep_t (the row to keep of the class), n_links, n_class, n_docs. Both are written tables.
 
     `report`, if given, gets the depths visited, the pairs that nodes of the
-    least depth propose (with repeats), and the pairs verified.
+    least depth propose (with repeats), and the pairs verified, on labels first.
     """
     spark = docs.sparkSession
     least = least_depth(threshold, trees, most, target)
@@ -364,9 +422,10 @@ def classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tre
     trie = cut(trie.repartitionByRange("tree", "label", "cid").sortWithinPartitions("tree", "label", "cid"), "forest-trie")
     tidy(spark)
     # the texts of the classes that met another one are read again, once
-    met = classed.join(trie.select("cid").distinct(), "cid").select("cid", "doc_id", "_t", "label", "n_docs")
+    met = cut(classed.join(trie.select("cid").distinct(), "cid").select("cid", "doc_id", "_t", "label", "n_docs"), "forest-met")
     keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_t"), "text")
-    texts = keyed.join(met, keyed["doc_id"].eqNullSafe(met["doc_id"]) & (keyed["_t"] == met["_t"]), "inner").select("cid", "label", "n_docs", "text")
+    bits, caught = sieve(met, F.xxhash64("doc_id", "_t"), F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    texts = keyed.join(bits, caught, "left_semi").join(met, keyed["doc_id"].eqNullSafe(met["doc_id"]) & (keyed["_t"] == met["_t"]), "inner").select("cid", "label", "n_docs", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -377,6 +436,7 @@ def classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tre
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, pa.binary())], names=["cid", "label", "n_docs", "set"])
 
     about = cut(texts.mapInArrow(encode, "cid long, label binary, n_docs long, set binary"), "forest-sets")
+    forget(met)
     tidy(spark)
     homes = _homes(trie, total)
     member = cut(trie.join(homes, "cid", "left").join(classed.select("cid", "size"), "cid").select("tree", "label", "cid", F.coalesce("home", "cid").alias("home"), "size"), "forest-members")
@@ -385,17 +445,27 @@ def classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tre
     tables, histogram, verified, depths = [], np.zeros((most + 1, BINS)), 0, [most]
 
     def verify(groups: DataFrame, d: int, before: int | None) -> int:
+        near = groups is at_home
         groups = cut(groups, "forest-groups")
         tidy(spark)
-        tables.append(cut(_verify(_tasks(groups, threshold, total).join(about, "cid"), d, before, least, trees, most, threshold), "forest-found"))
-        forget(groups)
+        tasks, close = _tasks(groups, threshold, total), None
+        if not near:
+            # most classes that share a short prefix only are far from equal: their sets stay where they are
+            close = cut(_screened(tasks.join(about.select("cid", "label"), "cid"), d, before, least, trees, most, threshold), "forest-close")
+            tidy(spark)
+            compared = close.agg(F.sum("pairs")).first()[0] or 0
+            tasks = close.where("cid is not null").drop("pairs")
+        else:
+            tasks, compared = tasks.drop("size"), None
+        tables.append(cut(_verify(tasks.join(about, "cid"), d, before, least, trees, most, threshold), "forest-found"))
+        forget(groups, *([close] if close is not None else []))
         count = 0
         for r in tables[-1].where("kind in ('s', 'n')").groupBy("kind", "u").agg(F.sum("w").alias("w")).collect():
             if r["kind"] == "n":
                 count += r["w"]
             else:
                 histogram[divmod(r["u"], BINS)] += r["w"]
-        return count
+        return count if compared is None else compared
 
     verified += verify(at_home, most, None)
     before, d = None, most
@@ -471,7 +541,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     mark = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
     same = lambda t: ident.cast("long").eqNullSafe(t["doc_id"]) & (mark == t["_t"])
     gone = judged.where("not kept")
-    stay = safe.join(gone, same(gone), "left_anti")
+    # only the texts that the sieve holds back are shuffled to be compared
+    bits, caught = sieve(gone, F.xxhash64("doc_id", "_t"), F.xxhash64(ident.cast("long"), mark))
+    stay = safe.join(bits, caught, "left_anti").union(safe.join(bits, caught, "left_semi").join(gone, same(gone), "left_anti"))
     again = judged.where("kept and n > 1")
     if again.limit(1).count():
         # of equal rows that stand for a class, one

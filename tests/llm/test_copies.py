@@ -245,3 +245,32 @@ def test_spans_are_cut_out(spark):
 
 def test_contamination_agrees_with_sql(spark, sf_dir):
     same(decontamination.query(spark, sf_dir), connect(sf_dir), decontamination.oracle())
+
+
+def test_sieve_holds_every_key(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lumen.llm import common
+
+    rows = spark.range(4000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    for most in (common.SIEVE_BITS, 256):
+        monkeypatch.setattr(common, "SIEVE_BITS", most)
+        bits, caught = common.sieve(rows.where("k is null or k % 40 = 0"), F.xxhash64("k"), F.xxhash64("k"))
+        held = rows.join(bits, caught, "left_semi")
+        assert held.where("k is null or k % 40 = 0").count() == 100 and rows.join(bits, caught, "left_anti").count() == 4000 - held.count()
+        assert held.count() < (600 if most > 256 else 2500)
+    none, caught = common.sieve(rows.limit(0), F.xxhash64("k"), F.xxhash64("k"))
+    assert rows.join(none, caught, "left_semi").count() == 0
+
+
+def test_sets_go_only_to_nodes_with_similar_labels(spark, monkeypatch):
+    """Of texts that share a fifth of their shingles, and so many short prefixes, no set is sent to a task."""
+    sent = []
+    verify = jaccard_join._verify
+    monkeypatch.setattr(jaccard_join, "_verify", lambda rows, *a: sent.append(rows.count()) or verify(rows, *a))
+    common = " ".join(f"c{i}" for i in range(14))
+    df = spark.createDataFrame([(i, common + " " + " ".join(f"w{i}_{j}" for j in range(32))) for i in range(1500)], "doc_id long, text string")
+    seen: dict = {}
+    _, final = jaccard_join.classes(df, report=seen)
+    assert final.count() == 0 and seen["verified"] > 0 and sum(sent) == 0
+    assert jaccard_join.least_matches(0.8, 192) == 111 and jaccard_join.least_matches(0.8, 8) == 0
