@@ -16,6 +16,8 @@ from .quantiles import quantiles
 
 #: A one-hot column has at most so many categories.
 MAX_CATEGORIES = 1000
+#: A vocabulary up to this size is broadcast; in a longer one a value is frequent with more than one row in FREQUENT.
+BROADCAST_CLASSES, FREQUENT = 200_000, 1000
 
 
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:
@@ -86,10 +88,23 @@ def missing_indicators(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def label_index(df: DataFrame, column: str, out: str = "label") -> DataFrame:
-    """`out`: place of the value among the sorted distinct texts; null stays null. The vocabulary has a row a class; Spark broadcasts it if it is small."""
-    values = df.select(F.col(column).cast("string").alias("_v")).where("_v is not null").distinct()
-    index = values.withColumn(out, (F.row_number().over(Window.orderBy("_v")) - 1).cast("int"))
-    return df.join(index, F.col(column).cast("string") == F.col("_v"), "left").drop("_v")
+    """`out`: place of the value among the sorted distinct texts; null stays null.
+
+    The vocabulary has a row a class. Counted to be small, it is broadcast; beyond
+    that it is ranked in tasks by range and joined by shuffle, and the rows of
+    frequent values and of nulls stay where they are.
+    """
+    text = F.col(column).cast("string")
+    values = frozen(df.select(text.alias("_v")).where("_v is not null").groupBy("_v").agg(F.count("*").alias("_n")))
+    if values.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
+        index = values.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).cast("int").alias(out))
+        return df.join(F.broadcast(index), text == F.col("_v"), "left").drop("_v")
+    index = frozen(_ranked(values, None, [F.col("_v")]).select("_v", "_n", (F.col("_rank") - 1).cast("int").alias(out)))
+    # fewer than FREQUENT of them
+    often = F.broadcast(index.where(F.col("_n") > values.agg(F.sum("_n")).first()[0] // FREQUENT).select("_v", out))
+    stay = df.join(often, text == F.col("_v"), "left").where(text.isNull() | F.col("_v").isNotNull())
+    dealt = df.where(text.isNotNull()).join(often, text == F.col("_v"), "left_anti").join(index.select("_v", out), text == F.col("_v"))
+    return stay.unionByName(dealt).drop("_v")
 
 
 def sanitise(names: list[str]) -> list[str]:

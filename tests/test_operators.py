@@ -167,3 +167,23 @@ def test_ranks_span_tasks(spark):
         assert {i for i in ids if i in test} == set(ids[: round(len(ids) * 0.25)])
     assert prep.kfold(df.limit(0), [F.col("id")], 3).columns == ["id", "c", "fold"] and prep.kfold(df.limit(0), [F.col("id")], 3).count() == 0
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_label_index_leaves_large_tables_where_they_are(spark, monkeypatch):
+    rows = [(i, None if i % 7 == 0 else "often" if i % 3 else f"v{i % 50:02}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, c string")
+    place = {v: i for i, v in enumerate(sorted({v for _, v in rows if v is not None}))}
+    want = [(i, v, None if v is None else place[v]) for i, v in rows]
+    monkeypatch.setattr(prep, "FREQUENT", 5)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (prep.BROADCAST_CLASSES, 3):
+            monkeypatch.setattr(prep, "BROADCAST_CLASSES", most)
+            out = prep.label_index(df, "c")
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("SortMergeJoin" in plan) == (most == 3) and "BroadcastHashJoin" in plan
+            assert sorted(map(tuple, out.collect())) == want and out.columns == ["id", "c", "label"]
+        assert prep.label_index(df.limit(0), "c").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
