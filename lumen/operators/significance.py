@@ -162,10 +162,6 @@ def tied(df: DataFrame, y: str, predictions: list[str], metric: str = "accuracy"
     return out.withColumn("tied", (F.col("low") <= 0) & (F.col("high") >= 0))
 
 
-def metric_by_group(df: DataFrame, group: str, y: str, p: str, metric: Callable[[np.ndarray, np.ndarray], float]) -> DataFrame:
-    """group, value of a caller's metric on each group's labels and predictions; groups must fit a task."""
-
-    def run(table: pa.Table) -> pa.Table:
-        return pa.table({"g": table["g"].slice(0, 1).cast(pa.string()), "value": pa.array([float(metric(table["y"].to_numpy(), table["p"].to_numpy()))])})
-
-    return df.select(F.col(group).cast("string").alias("g"), F.col(y).alias("y"), F.col(p).alias("p")).groupBy("g").applyInArrow(run, "g string, value double")
+def metric_by_group(df: DataFrame, group: str, y: str, p: str, metric: Callable[[Column, Column], Column]) -> DataFrame:
+    """group, value of a caller's metric on each group's labels and predictions: an expression of aggregates, so no task holds a group."""
+    return df.groupBy(F.col(group).cast("string").alias("g")).agg(metric(F.col(y), F.col(p)).cast("double").alias("value"))

@@ -187,3 +187,13 @@ def test_label_index_leaves_large_tables_where_they_are(spark, monkeypatch):
         assert prep.label_index(df.limit(0), "c").count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_metric_by_group_is_an_aggregation(spark):
+    from lumen.operators import significance
+
+    rows = [("a" if i % 3 else None, float(i), float(i * i % 11)) for i in range(50)]
+    got = significance.metric_by_group(spark.createDataFrame(rows, "g string, y double, p double"), "g", "y", "p", lambda y, p: F.max(F.abs(y - p)) + F.count("*"))
+    want = {g: max(abs(y - p) for h, y, p in rows if h == g) + sum(h == g for h, _, _ in rows) for g in ("a", None)}
+    assert dict(map(tuple, got.collect())) == want
+    assert "InArrow" not in got._jdf.queryExecution().executedPlan().toString()
