@@ -116,3 +116,14 @@ def test_categories_of_a_run_by_ordered_statistics(spark, tmp_path):
     bundle.save(f"{tmp_path}/b")
     out = persist.load(spark, f"{tmp_path}/b").transform(made)
     assert T.evaluate(out, "accuracy") > 0.9
+
+
+def test_only_balanced_settings_are_weighted(spark, monkeypatch):
+    from lumen.operators import training
+
+    asked = []
+    weights = training.balanced_weights
+    monkeypatch.setattr(training, "balanced_weights", lambda df: asked.append(1) or weights(df))
+    df = training.assemble(spark.createDataFrame([(float(i), float(i % 3 == 0), i % 2) for i in range(40)], "x double, y double, fold int"), ["x"], "y")
+    training.search(df, ["x"], "logistic_regression", "binary", "roc_auc", trials=1, k=2)
+    assert not asked
