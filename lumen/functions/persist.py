@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,17 @@ def frozen(table: DataFrame) -> DataFrame:
     return table.checkpoint()
 
 
+def written(table: DataFrame) -> DataFrame:
+    """`frozen`, as Parquet: what reads it later reads its own columns only. Types that Parquet lacks leave it to `frozen`."""
+    spark = table.sparkSession
+    path = new_folder(spark, "table")
+    try:
+        table.write.parquet(path)
+    except AnalysisException:
+        return frozen(table)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def save(model: Transformer, path: str) -> None:
     """Write a model below `path`. Its description comes last, so a save that broke off cannot be loaded."""
     if isinstance(model, PipelineModel):

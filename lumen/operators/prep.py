@@ -135,20 +135,49 @@ class Preprocessor(Estimator):
         self.numeric, self.categorical, self.clipped, self.keep, self.indicators = list(numeric), list(categorical), list(clipped), list(keep), indicators
 
     def _fit(self, df: DataFrame) -> PreprocessorModel:
-        bounds = {c: b for c, b in quantiles(df, {c: (double(c), [0.01, 0.99]) for c in self.clipped}).items() if b}
-        x = {c: clip(double(c), *bounds[c]) if c in bounds else double(c) for c in self.numeric}
-        medians = {c: q[0] if q else None for c, q in quantiles(df, {c: (e, [0.5]) for c, e in x.items()}).items()}
-        filled = {c: F.coalesce(e, F.lit(medians[c])) for c, e in x.items()}
-        scale = df.agg(*[a for c, e in filled.items() for a in (F.avg(e).alias(f"m_{c}"), F.stddev_pop(e).alias(f"s_{c}"))]).first().asDict() if x else {}
-        vocabulary: dict[str, list[str]] = {}
-        if self.categorical:
-            pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _category(c).alias("v")) for c in self.categorical])).alias("p")).select("p.*").distinct()
-            for r in pairs.limit(MAX_CATEGORIES * len(self.categorical) + 1).collect():
-                vocabulary.setdefault(r["c"], []).append(r["v"])
-            for c, values in vocabulary.items():
-                if len(values) > MAX_CATEGORIES:
-                    raise ValueError(f"{c!r} has over {MAX_CATEGORIES} categories; encode it by frequency or target instead")
-        return PreprocessorModel(self, bounds, medians, scale, {c: sorted(v) for c, v in vocabulary.items()})
+        return fit_parts(df, [self], [F.lit(True)])[0]
+
+
+def fit_parts(df: DataFrame, specs: list[Preprocessor], parts: list[Column]) -> list[PreprocessorModel]:
+    """A model a spec, each learned on its own part of the rows only, in passes that all share. The last part should be the widest, as its sketches serve the others."""
+    wanted: dict[str, list[int]] = {}
+    for i, s in enumerate(specs):
+        for c in dict.fromkeys([*s.numeric, *s.clipped]):
+            wanted.setdefault(c, []).append(i)
+    # the median of clipped values is that of the values
+    asked = {(i, c): (F.when(parts[i], double(c)), [0.01, 0.5, 0.99] if c in specs[i].clipped else [0.5]) for c, at in wanted.items() for i in at}
+    found = quantiles(df, asked, {(i, c): (at[-1], c) for c, at in wanted.items() for i in at[:-1]})
+    bounds = [{c: [found[i, c][0], found[i, c][-1]] for c in s.clipped if found[i, c]} for i, s in enumerate(specs)]
+    medians = [{c: found[i, c][len(found[i, c]) // 2] if found[i, c] else None for c in s.numeric} for i, s in enumerate(specs)]
+    sums = []
+    for i, s in enumerate(specs):
+        for j, c in enumerate(s.numeric):
+            x = F.coalesce(clip(double(c), *bounds[i][c]) if c in bounds[i] else double(c), F.lit(medians[i][c]))
+            sums += [F.avg(F.when(parts[i], x)).alias(f"m{i}_{j}"), F.stddev_pop(F.when(parts[i], x)).alias(f"s{i}_{j}")]
+    got = df.agg(*sums).first().asDict() if sums else {}
+    scale = [{f"{k}_{c}": got[f"{k}{i}_{j}"] for j, c in enumerate(s.numeric) for k in "ms"} for i, s in enumerate(specs)]
+    return [PreprocessorModel(s, bounds[i], medians[i], scale[i], v) for i, (s, v) in enumerate(zip(specs, _vocabularies(df, specs, parts), strict=True))]
+
+
+def _vocabularies(df: DataFrame, specs: list[Preprocessor], parts: list[Column]) -> list[dict[str, list[str]]]:
+    columns = list(dict.fromkeys(c for s in specs for c in s.categorical))
+    out: list[dict[str, list[str]]] = [{} for _ in specs]
+    if not columns:
+        return out
+    within = F.array(*[F.coalesce(p, F.lit(False)) for p in parts])
+    seen = df.select(within.alias("w"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _category(c).alias("v")) for c in columns])).alias("p")).select("w", "p.*").distinct()
+    # which parts hold a value, a row a value
+    held = seen.groupBy("c", "v").agg(*[F.bool_or(F.col("w")[i] & F.col("c").isin(s.categorical)).alias(f"w{i}") for i, s in enumerate(specs)])
+    held = held.where(F.greatest(*[F.col(f"w{i}") for i in range(len(specs))], F.lit(False)))
+    # with more rows than this, some part has too many of some column
+    for r in held.limit(MAX_CATEGORIES * len(columns) * len(specs) + 1).collect():
+        for i in range(len(specs)):
+            if r[f"w{i}"]:
+                out[i].setdefault(r["c"], []).append(r["v"])
+    for c, values in ((c, v) for o in out for c, v in o.items()):
+        if len(values) > MAX_CATEGORIES:
+            raise ValueError(f"{c!r} has over {MAX_CATEGORIES} categories; encode it by frequency or target instead")
+    return [{c: sorted(v) for c, v in o.items()} for o in out]
 
 
 def _category(c: str) -> Column:
@@ -177,7 +206,8 @@ class PreprocessorModel(Saved, Model):
         flags = [f"{c}_is_missing" for c in self.spec.numeric] if self.spec.indicators else []
         return sanitise([*self.spec.numeric, *flags, *hot])
 
-    def _transform(self, df: DataFrame) -> DataFrame:
+    def expressions(self) -> list[Column]:
+        """What `output_columns` hold."""
         out: list[Column] = []
         for c in self.spec.numeric:
             x = clip(double(c), *self.bounds[c]) if c in self.bounds else double(c)
@@ -185,8 +215,10 @@ class PreprocessorModel(Saved, Model):
             out.append((F.coalesce(x, F.lit(self.medians[c])) - F.lit(m)) / F.lit(s if s else 1.0))
         if self.spec.indicators:
             out += [F.col(c).isNull().cast("double") for c in self.spec.numeric]
-        out += [(_category(c) == v).cast("double") for c in self.spec.categorical for v in self.vocabulary.get(c, [])]
-        return df.select(*self.spec.keep, *[e.alias(n) for e, n in zip(out, self.output_columns, strict=True)])
+        return out + [(_category(c) == v).cast("double") for c in self.spec.categorical for v in self.vocabulary.get(c, [])]
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.select(*self.spec.keep, *[e.alias(n) for e, n in zip(self.expressions(), self.output_columns, strict=True)])
 
 
 def impute_mode(df: DataFrame, column: str) -> DataFrame:
@@ -212,21 +244,32 @@ def correlation_filter(df: DataFrame, features: list[str], target: str, most: fl
 
 def binned_mutual_information(df: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:
     """feature, mi (nats): from the contingency table of equal-width bins and the target. An approximation of the nearest-neighbour estimate."""
-    ends = df.agg(*[e for i, c in enumerate(features) for e in (F.min(double(c)).alias(f"lo{i}"), F.max(double(c)).alias(f"hi{i}"))]).first()
+    return information_of_parts(df, features, target, [F.lit(True)], bins).drop("part")
+
+
+def information_of_parts(df: DataFrame, features: list[str], target: str, parts: list[Column], bins: int = 10) -> DataFrame:
+    """part, feature, mi: `binned_mutual_information` within each part of the rows, counted in one pass for all."""
+    ends = df.agg(*[e for k, p in enumerate(parts) for i, c in enumerate(features) for e in (F.min(F.when(p, double(c))).alias(f"lo{k}_{i}"), F.max(F.when(p, double(c))).alias(f"hi{k}_{i}"))]).first()
 
-    def bin_of(i: int, c: str) -> Column:
-        lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
+    def bin_of(k: int, i: int, c: str) -> Column:
+        lo, hi = ends[f"lo{k}_{i}"], ends[f"hi{k}_{i}"]
         if lo is None or hi == lo:
-            return F.when(F.col(c).isNotNull(), F.lit(0))
-        return F.least(F.floor((double(c) - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
-
-    rows = df.where(F.col(target).isNotNull()).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), bin_of(i, c).alias("x"), F.col(target).cast("string").alias("y")) for i, c in enumerate(features)])).alias("r")).select("r.*").where("x is not null")
-    cells = rows.groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
-    x = cells.groupBy("feature", "x").agg(F.sum("n").alias("nx"))
-    y = cells.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
-    t = cells.groupBy("feature").agg(F.sum("n").alias("t"))
+            return F.when(parts[k] & F.col(c).isNotNull(), F.lit(0))
+        return F.when(parts[k], F.least(F.floor((double(c) - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)).cast("int"))
+
+    at = [f"x{k}" for k in range(len(parts))]
+    each = [F.struct(F.lit(i).alias("i"), *[bin_of(k, i, c).alias(x) for k, x in enumerate(at)]) for i, c in enumerate(features)]
+    rows = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("y") if len(parts) == 1 else F.col(target).alias("y"), F.explode(F.array(*each)).alias("r"))
+    counts = rows.select("y", "r.*").groupBy("i", *at, "y").agg(F.count("*").alias("n"))
+    if len(parts) > 1:
+        counts = frozen(counts)
+    cells = counts.select(F.element_at(F.array(*[F.lit(c) for c in features]), F.col("i") + 1).alias("feature"), F.col("y").cast("string").alias("y"), "n", F.posexplode(F.array(*at)).alias("part", "x")).where("x is not null")
+    cells = cells.groupBy("part", "feature", "x", "y").agg(F.sum("n").alias("n"))
+    x = cells.groupBy("part", "feature", "x").agg(F.sum("n").alias("nx"))
+    y = cells.groupBy("part", "feature", "y").agg(F.sum("n").alias("ny"))
+    t = cells.groupBy("part", "feature").agg(F.sum("n").alias("t"))
     p = F.col("n") / F.col("t")
-    return cells.join(x, ["feature", "x"]).join(y, ["feature", "y"]).join(t, "feature").groupBy("feature").agg(F.sum(p * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")).cast("double"))).alias("mi"))
+    return cells.join(x, ["part", "feature", "x"]).join(y, ["part", "feature", "y"]).join(t, ["part", "feature"]).groupBy("part", "feature").agg(F.sum(p * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")).cast("double"))).alias("mi"))
 
 
 def select_by_information(scores: DataFrame, least: float = 0.01, fallback: int = 10) -> list[str]:

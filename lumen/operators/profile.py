@@ -225,7 +225,10 @@ def semantic_types(df: DataFrame, target: str | None = None, order: str | None =
     kinds = {f.name: f.dataType for f in df.schema.fields}
     for i, (c, k) in enumerate(kinds.items()):
         col = F.col(c)
-        exprs += [F.count_distinct(col).alias(f"u{i}"), F.count(col).alias(f"c{i}")]
+        exprs.append(F.count(col).alias(f"c{i}"))
+        # only these kinds are told by how many values differ
+        if isinstance(k, INTEGER) or (isinstance(k, T.NumericType) if c == target else isinstance(k, T.StringType)):
+            exprs.append(F.count_distinct(col).alias(f"u{i}"))
         if isinstance(k, T.NumericType):
             exprs += [F.min(col).alias(f"lo{i}"), F.max(col).alias(f"hi{i}"), F.count_if(~col.isin(0, 1)).alias(f"other{i}")]
         elif isinstance(k, T.StringType):
@@ -233,7 +236,7 @@ def semantic_types(df: DataFrame, target: str | None = None, order: str | None =
     got = df.agg(*exprs).first().asDict()
     out = {}
     for i, (c, k) in enumerate(kinds.items()):
-        rows, unique, there = got[n], got[f"u{i}"], got[f"c{i}"]
+        rows, unique, there = got[n], got.get(f"u{i}"), got[f"c{i}"]
         whole = isinstance(k, INTEGER) and there == rows
         if c == target:
             out[c] = _target_type(k, rows, unique, whole)

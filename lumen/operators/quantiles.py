@@ -20,6 +20,9 @@ from pyspark.sql.window import Window
 
 #: Size of a sketch; rows that a percentile's bracket may hold in the end; columns in one pass.
 ACCURACY, FEW, COLUMNS = 5_000, 1_000_000, 32
+#: How far in share of the rows a bracket reaches to either side: by a column's own sketch, and by that of a column it is a part of.
+SLACK = 3 / ACCURACY
+SLACKS = (SLACK, 2.5 * SLACK, 10 * SLACK, 40 * SLACK)
 
 
 @dataclass
@@ -75,19 +78,27 @@ def _prove(rows: DataFrame, brackets: list[_Bracket], ends: list[list[float]]) -
             b.lo, b.hi, b.below, b.upto = before
 
 
-def _some(df: DataFrame, asked: dict[str, tuple[Column, list[float]]]) -> dict[str, list[float] | None]:
+def _some(df: DataFrame, asked: dict[str, tuple[Column, list[float]]], like: dict[str, str]) -> dict[str, list[float] | None]:
     names = {c: f"x{i}" for i, c in enumerate(asked)}
     rows = df.select(*[x.cast("double").alias(names[c]) for c, (x, _) in asked.items()])
-    # the first sketch of a column serves all its percentiles, before its rows are counted
-    slack = 3 / ACCURACY
-    grid = {c: sorted({v for p in ps for v in (max(0.0, p - slack), min(1.0, p + slack))}) for c, (_, ps) in asked.items()}
-    first = rows.agg(*[e.alias(f"{k}{a}") for c, a in names.items() for k, e in (("n", F.count(a)), ("s", F.percentile_approx(a, grid[c], ACCURACY)))]).first()
+    # the first sketch of a column serves all its percentiles, and those of its parts, before its rows are counted
+    by = {c: like[c] if like.get(c) in asked else c for c in asked}
+    reach = lambda p, slack: (max(0.0, p - slack), min(1.0, p + slack))
+    grid: dict[str, set[float]] = {}
+    for c, (_, ps) in asked.items():
+        grid.setdefault(by[c], set()).update(v for p in ps for slack in (SLACKS[:1] if by[c] == c else SLACKS) for v in reach(p, slack))
+    counted = [F.count(a).alias(f"n{a}") for a in names.values()]
+    first = rows.agg(*counted, *[F.percentile_approx(names[c], sorted(g), ACCURACY).alias(f"s{names[c]}") for c, g in grid.items()]).first()
     of = {c: [_Bracket(a, p, first[f"n{a}"]) for p in asked[c][1]] if first[f"n{a}"] else [] for c, a in names.items()}
     brackets, ends = [], []
     for c, mine in of.items():
-        at = dict(zip(grid[c], first[f"s{names[c]}"] or [], strict=False))
-        brackets += mine
-        ends += [[at[max(0.0, b.share - slack)], at[min(1.0, b.share + slack)]] for b in mine]
+        at = dict(zip(sorted(grid[by[c]]), first[f"s{names[by[c]]}"] or [], strict=False))
+        for b in mine:
+            # a part drawn at random is off by some deviations of its ranks
+            need = SLACK + 4 * math.sqrt(b.share * (1 - b.share) / b.n) if by[c] != c else SLACK
+            lo, hi = reach(b.share, next((v for v in SLACKS if v >= need), SLACKS[-1]))
+            brackets.append(b)
+            ends.append([at[lo], at[hi]])
     if not brackets:
         return dict.fromkeys(asked)
     _prove(rows, brackets, ends)
@@ -95,17 +106,25 @@ def _some(df: DataFrame, asked: dict[str, tuple[Column, list[float]]]) -> dict[s
     while (wide := [b for b in brackets if b.many]) and size != sum(b.upto - b.below for b in wide):
         size = sum(b.upto - b.below for b in wide)
         _narrow(rows, wide)
-    found = _ranked(rows, brackets)
+    found = _ranked(rows, brackets, {names[c]: names[v] for c, v in by.items()})
     out, i = {}, iter(range(len(brackets)))
     for c, mine in of.items():
         out[c] = [_between(b, *found[next(i)]) for b in mine] or None
     return out
 
 
-def _ranked(rows: DataFrame, brackets: list[_Bracket]) -> dict[int, tuple[float, float]]:
-    """The values of rank k and the next of each bracket, from the rows inside."""
-    every = F.array(*[F.when(b.inside, F.struct(F.lit(i).alias("i"), F.col(b.column).alias("v"))) for i, b in enumerate(brackets)])
-    near = rows.where(reduce(lambda a, b: a | b, [b.inside for b in brackets])).select(F.explode(F.array_compact(every)).alias("e")).select("e.*")
+def _ranked(rows: DataFrame, brackets: list[_Bracket], by: dict[str, str]) -> dict[int, tuple[float, float]]:
+    """The values of rank k and the next of each bracket, from the rows inside. `by` names the column that holds all of a column's values."""
+    order = lambda v: (math.isnan(v), v)
+    # rows are looked at bracket by bracket only near one: within the hull of those of a percentile's parts
+    hulls: dict[tuple[str, float], tuple[float, float]] = {}
+    for b in brackets:
+        lo, hi = hulls.get((by[b.column], b.share), (b.lo, b.hi))
+        hulls[by[b.column], b.share] = (min(lo, b.lo, key=order), max(hi, b.hi, key=order))
+    near = rows.where(reduce(lambda a, b: a | b, [(F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi)) for (c, _), (lo, hi) in hulls.items()]))
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(rows.columns.index(b.column)).alias("c"), F.lit(b.lo).alias("lo"), F.lit(b.hi).alias("hi")) for i, b in enumerate(brackets)])
+    near = near.select(F.array(*rows.columns).alias("x")).withColumn("e", F.explode(F.filter(ends, lambda e: (F.col("x")[e["c"]] >= e["lo"]) & (F.col("x")[e["c"]] <= e["hi"]))))
+    near = near.select("e.i", F.col("x")[F.col("e.c")].alias("v"))
     counts = near.groupBy("i", "v").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     k, after = (F.element_at(F.array(*[F.lit(v - b.below).cast("long") for v, b in zip(at, brackets, strict=True)]), F.col("i") + 1) for at in ([b.k for b in brackets], [b.next for b in brackets]))
@@ -114,7 +133,6 @@ def _ranked(rows: DataFrame, brackets: list[_Bracket]) -> dict[int, tuple[float,
     for r in ranked.collect():  # the values of two ranks a bracket
         out.setdefault(r["i"], []).append(r["v"])
     # rank k's value is the least of them, the next one's the greatest
-    order = lambda v: (math.isnan(v), v)
     return {i: (min(v, key=order), max(v, key=order)) for i, v in out.items()}
 
 
@@ -124,13 +142,15 @@ def _between(b: _Bracket, low: float, high: float) -> float:
     return (b.next - b.place) * low + (b.place - b.k) * high
 
 
-def quantiles(df: DataFrame, asked: dict[str, tuple[Column, list[float]]]) -> dict[str, list[float] | None]:
+def quantiles(df: DataFrame, asked: dict[str, tuple[Column, list[float]]], like: dict[str, str] | None = None) -> dict[str, list[float] | None]:
     """For each name the percentiles (shares from 0 to 1, linearly interpolated) of its expression; None without values. Nulls are left out; NaN is above all numbers.
 
     `df` is read three times, and once or twice more for each narrowing beyond
-    that: one brings a bracket from n rows to about n / 800.
+    that: one brings a bracket from n rows to about n / 800. `like` may name, for
+    an expression over a part of the rows, the one over all of them, whose sketch
+    then serves both; counts prove what it gives, so it changes no result.
     """
     names, out = list(asked), {}
     for i in range(0, len(names), COLUMNS):
-        out |= _some(df, {c: asked[c] for c in names[i : i + COLUMNS]})
+        out |= _some(df, {c: asked[c] for c in names[i : i + COLUMNS]}, like or {})
     return out

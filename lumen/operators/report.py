@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import is_numeric
-from ..functions.persist import load
+from ..functions.persist import frozen, load
 from ..plans.semantics import leakage_suspects, sensitive_columns
 from ..sources.io import read_artifact, read_baseline, write_artifact, write_baseline
 from . import explain as E
@@ -82,7 +82,7 @@ def _explained(got: R.Outcome, scored: DataFrame, metric: str, seed: int) -> tup
     model, columns = steps[-1], steps[-2].columns
     safe, regression = [f"f{i}" for i in range(len(columns))], got.task == "regression"
     x = vector_to_array("features")
-    rows = R.frozen(scored.select("row_of_run", "label", *[x[i].alias(c) for i, c in enumerate(safe)]))
+    rows = frozen(scored.select("row_of_run", "label", *[x[i].alias(c) for i, c in enumerate(safe)]))
     named = lambda df, value: {columns[int(r["feature"][1:])]: r[value] for r in df.collect()}
     if hasattr(model, "ensemble") or hasattr(model, "featureImportances"):
         how, found = "trees", trees.importance(E._features(rows, safe), model, safe)
@@ -111,7 +111,7 @@ def complete(df: DataFrame, target: str, key: list[str], folder: str, names: lis
     usable, refused = triage(list(specs), [c for c in rows.columns if c not in (*key, target)])
     got = R.run(rows, target, key, names, usable, metric, trials, is_test=is_test, seed=seed)
     kept = list(dict.fromkeys(["row_of_run", *[c for c in rows.columns if c not in key and c != "label"]]))
-    scored = R.frozen(got.fitted[got.winner].transform(got.test).select("row_of_run", "label", "prediction", "features", *(["probability"] if got.task != "regression" else [])).join(got.test.select(*kept), "row_of_run"))
+    scored = frozen(got.fitted[got.winner].transform(got.test).select("row_of_run", "label", "prediction", "features", *(["probability"] if got.task != "regression" else [])).join(got.test.select(*kept), "row_of_run"))
     best = next(r for r in got.results if r.model_name == got.winner)
     other = R.hash_fold(got.train.drop("fold"), ["row_of_run"], honest_folds, seed + 1)
     honest = T.honest_score(other, lambda part: R.Whole(got.plan, target, got.winner, got.task, best.params, ["label"], seed), got.metric, best.cv_score, honest_folds)

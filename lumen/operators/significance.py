@@ -101,9 +101,10 @@ def _score(metric: str, labels: list) -> Column:
 def _resampled(df: DataFrame, y: str, names: list[str], metric: str, labels: list, replicates: int, seed: int) -> DataFrame:
     """model, replicate, n and v, the model's metric over Poisson(1) draws of the rows.
 
-    The generator is seeded by the row's partition, so rows are resampled where
-    they are, all models see the same draws, and only sums a replicate are
-    shuffled.
+    All models see the same draws, and only sums a replicate are shuffled. Errors
+    are resampled where their rows are, by a generator seeded by the partition.
+    For counts, rows of equal label and predictions are counted first: draws of n
+    such rows sum to one Poisson(n) draw, seeded by the label and predictions.
     """
     if metric not in SUMMED:
         raise ValueError(f"no bootstrap of {metric!r}; offered are {', '.join(SUMMED)}")
@@ -117,7 +118,13 @@ def _resampled(df: DataFrame, y: str, names: list[str], metric: str, labels: lis
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         got, n = np.zeros((replicates, len(sums) * len(names))), np.zeros(replicates)
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]).astype(float)
+            if counted:
+                for hashed, rows, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), x, strict=True):
+                    w = np.random.default_rng([seed, hashed % (1 << 64)]).poisson(rows, size=replicates)
+                    got += np.outer(w, one)
+                    n += w
+                continue
             for lo in range(0, len(x), 1000):
                 part = x[lo : lo + 1000]
                 for block in range(blocks):
@@ -130,7 +137,10 @@ def _resampled(df: DataFrame, y: str, names: list[str], metric: str, labels: lis
             yield pa.RecordBatch.from_arrays([pa.array([m] * replicates), pa.array(np.arange(replicates)), pa.array(n), *own], names=["model", "replicate", "n", *sums])
 
     adds = [F.coalesce(e.cast("double"), F.lit(0.0)).alias(f"s{j}_{i}") for j, p in enumerate(parts) for i, e in enumerate(p.values())]
-    drawn = df.select(*adds).mapInArrow(run, f"model string, replicate long, n double, {', '.join(f'{c} double' for c in sums)}")
+    counted = metric not in ("rmse", "mae")
+    alike = df.groupBy(*[F.col(f"`{c}`") for c in (y, *names)]).agg(F.count("*").alias("_rows")) if counted else df.withColumn("_rows", F.lit(1))
+    key = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in (y, *names)]) if counted else F.lit(0).cast("long")
+    drawn = alike.select(key.alias("_key"), F.col("_rows").cast("long"), *adds).mapInArrow(run, f"model string, replicate long, n double, {', '.join(f'{c} double' for c in sums)}")
     return drawn.groupBy("model", "replicate").agg(*[F.sum(c).alias(c) for c in ("n", *sums)]).withColumn("v", _score(metric, labels))
 
 

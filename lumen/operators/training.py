@@ -144,7 +144,11 @@ def assemble(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def facts(df: DataFrame, features: list[str], seed: int = 42) -> dict:
     r = df.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("sd"), F.max("label").alias("top")).first()
-    return {"n": max(1, r["n"]), "sd": r["sd"] or 1.0, "classes": int(r["top"] or 0) + 1, "width": len(features), "seed": seed}
+    return as_facts(r["n"], r["sd"], r["top"], len(features), seed)
+
+
+def as_facts(n: int, sd: float | None, top: float | None, width: int, seed: int) -> dict:
+    return {"n": max(1, n), "sd": sd or 1.0, "classes": int(top or 0) + 1, "width": width, "seed": seed}
 
 
 def balanced_weights(df: DataFrame) -> DataFrame:

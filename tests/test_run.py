@@ -103,3 +103,28 @@ def test_baseline_and_log_loss_by_hand(spark):
     assert M.multiclass_log_loss(df.where("y is null"), "y", "p").first()[0] == pytest.approx(-math.log(1e-15))
     train, test = spark.createDataFrame([(1.0,), (3.0,)], "y double"), spark.createDataFrame([(2.0,), (5.0,)], "y double")
     assert M.mean_baseline(train, test, "y").first()["mae"] == pytest.approx(1.5)
+
+
+def test_parts_learn_in_shared_passes_what_each_learns_alone(raw):
+    rows = raw.withColumns({"label": (F.col("feel") == "warm").cast("double"), "fold": F.col("nr") * 7 % 13 % 3}).withColumn("wide2", F.col("width") * F.col("nr"))
+    plan = R.roles(rows.drop("label", "fold"), "feel", ["nr"], [{"op": "ratio", "params": {"a": "heat", "b": "width"}}, {"op": "product", "params": {"a": "heat", "b": "width"}}, {"op": "log1p", "params": {"col": "heat"}}])
+    parts = [F.col("fold") != i for i in range(3)] + [F.lit(True)]
+    shared = R.prepare(rows, parts, plan, "binary", [["label"]] * 4)
+    for part, got in zip(parts, shared, strict=True):
+        alone = R.prepare(rows.where(part), [F.lit(True)], plan, "binary", [["label"]])[0]
+        (a, b) = (p.steps[-2].state()[0] for p in (got, alone))
+        assert (a["spec"], a["bounds"], a["medians"], a["vocabulary"]) == (b["spec"], b["bounds"], b["medians"], b["vocabulary"])
+        assert a["scale"] == pytest.approx(b["scale"]) and got.facts == pytest.approx(alone.facts)
+
+
+def test_families_share_what_comes_before_them(raw, monkeypatch):
+    asked, learn = [], R.fit_parts
+    monkeypatch.setattr(R, "fit_parts", lambda df, specs, parts: asked.append(len(parts)) or learn(df, specs, parts))
+    R.run(raw, "feel", ["nr"], ["decision_tree", "naive_bayes"], metric="f1")
+    assert asked == [4]
+
+
+def test_ties_do_not_depend_on_where_rows_are(spark):
+    df = spark.createDataFrame([(i % 2, i % 2 if i % 10 else 1 - i % 2, i % 2 if (i + 5) % 9 else 1 - i % 2) for i in range(900)], "y int, a int, b int").cache()
+    one, two = (sorted(S.tied(df.repartition(n, "a"), "y", ["a", "b"], "f1", replicates=100).collect()) for n in (1, 3))
+    assert all(x["mean"] == pytest.approx(y["mean"]) and x["low"] == pytest.approx(y["low"]) for x, y in zip(one, two, strict=True))
