@@ -127,3 +127,14 @@ def test_only_balanced_settings_are_weighted(spark, monkeypatch):
     df = training.assemble(spark.createDataFrame([(float(i), float(i % 3 == 0), i % 2) for i in range(40)], "x double, y double, fold int"), ["x"], "y")
     training.search(df, ["x"], "logistic_regression", "binary", "roc_auc", trials=1, k=2)
     assert not asked
+
+
+def test_the_leaderboard_searches_both_families(spark, sf_dir, monkeypatch):
+    from lumen.queries import models
+
+    tried = []
+    monkeypatch.setattr(T, "cross_validate", lambda df, make, metric, k: tried.append(make(df)) or [0.5 + len(tried) / 1000] * k)
+    got = models.train_leaderboard(spark, sf_dir)
+    assert got.count() == 2 and len(tried) == 2 * T.TRIALS
+    for kind, name in (("LogisticRegression", "regParam"), ("DecisionTreeClassifier", "maxDepth")):
+        assert len({e.getOrDefault(name) for e in tried if type(e).__name__ == kind}) > 2
